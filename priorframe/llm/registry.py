@@ -5,7 +5,9 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "secret_scan",
     "quality_rules",
+    "mixing",
 )
 
 
