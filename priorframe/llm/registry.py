@@ -7,6 +7,7 @@ from importlib import import_module
 MODULES = (
     "secret_scan",
     "quality_rules",
+    "warc_archive",
     "mixing",
 )
 
