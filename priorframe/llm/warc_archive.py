@@ -87,10 +87,12 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url: str = "url", h
     is_response = F.col("page_id").eqNullSafe(F.col("first_id"))
     header = record_header(F.col("page_id"), F.col("url"), F.col("n_bytes"), F.col("sha1"), is_response, F.col("first_id"), date)
     headers = materialize(known.select("page_id", "digest", header.alias("header")), "warc-headers")
-    # The stored bytes are those of the first page; rows that repeat it are one.
-    owner = first.select(F.col("first_id"), F.col("digest").alias("of_digest"))
-    stored = rows.withColumn("digest", address).join(owner, (F.col("digest") == F.col("of_digest")) & F.col("page_id").eqNullSafe(F.col("first_id")), "left_semi")
-    payloads = materialize(stored.dropDuplicates(["digest"]).select("digest", "payload", F.octet_length("payload").cast("long").alias("n_bytes")), "warc-payloads")
+    # The stored bytes are those of the first page. Rows that repeat it have the same
+    # key, so they fold into one where the join has already brought them together.
+    key = lambda digest, page_id: F.concat_ws("/", digest, F.coalesce(page_id.cast("string"), F.lit("null")))
+    owner = first.select(key(F.col("digest"), F.col("first_id")).alias("key"))
+    stored = rows.select(key(address, F.col("page_id")).alias("key"), address.alias("digest"), "payload").join(owner, "key", "left_semi")
+    payloads = materialize(stored.dropDuplicates(["key"]).select("digest", "payload", F.octet_length("payload").cast("long").alias("n_bytes")), "warc-payloads")
     return Archive(headers, payloads)
 
 
