@@ -10,6 +10,7 @@ MODULES = (
     "warc_archive",
     "decontaminate",
     "mixing",
+    "suffix_dedup",
     "near_dup",
 )
 
