@@ -1,7 +1,7 @@
 """From band buckets to components: candidates, exact verification, distributed union-find.
 
 Nodes are 64-bit content hashes of distinct texts. No step gathers a bucket or a
-component in one task: a bucket is reduced to four of its members by min and max
+component in one task: a bucket is reduced to two or four of its members by min and max
 (pre-aggregated before the shuffle), each member is compared to those, and
 components come from rounds of star contractions, which are joins and minima.
 """
@@ -19,18 +19,20 @@ from pyspark.sql import functions as F
 from priorframe.llm.common import materialize
 
 
-def candidate_pairs(bands: DataFrame) -> DataFrame:
+def candidate_pairs(bands: DataFrame, global_order: bool = True) -> DataFrame:
     """Pairs (a > b, shared) of nodes that share a bucket with, and one of which stands for, the bucket.
 
-    bands: node, bucket. A bucket's representatives are its least and greatest node,
-    and those in an order of its own (nodes and bucket are hashes, so XOR shuffles).
+    bands: node, bucket. A bucket's representatives are the least and greatest node in
+    an order of its own (nodes and bucket are hashes, so XOR shuffles), and with
+    global_order also those in the order of all buckets.
     """
     node, bucket = F.col("node"), F.col("bucket")
     own = node.bitwiseXOR(bucket)
-    reps = bands.groupBy("bucket").agg(F.min("node").alias("r0"), F.max("node").alias("r1"), F.min(own).alias("x2"), F.max(own).alias("x3"))
-    reps = reps.filter("r0 <> r1").select("bucket", "r0", "r1", F.col("x2").bitwiseXOR(bucket).alias("r2"), F.col("x3").bitwiseXOR(bucket).alias("r3"))
-    met = bands.join(materialize(reps, "buckets"), "bucket")
-    pairs = met.select("node", F.explode(F.array_distinct(F.array("r0", "r1", "r2", "r3"))).alias("rep")).filter("node <> rep")
+    least = [F.min(own).alias("x0"), F.max(own).alias("x1"), *([F.min("node").alias("r2"), F.max("node").alias("r3")] if global_order else [])]
+    reps = bands.groupBy("bucket").agg(*least).filter("x0 <> x1")
+    members = [F.col("x0").bitwiseXOR(bucket), F.col("x1").bitwiseXOR(bucket), *([F.col("r2"), F.col("r3")] if global_order else [])]
+    met = bands.join(materialize(reps.select("bucket", F.array_distinct(F.array(*members)).alias("reps")), "buckets"), "bucket")
+    pairs = met.select("node", F.explode("reps").alias("rep")).filter("node <> rep")
     pairs = pairs.select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b"))
     return materialize(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
 
@@ -82,7 +84,7 @@ def jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray])
     return float(common / (x[1].sum() + y[1].sum() - common))
 
 
-def link(bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingles: Callable, threshold: float) -> DataFrame:
+def link(bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingles: Callable, threshold: float, global_order: bool = True) -> DataFrame:
     """node, label of nodes that are linked to another, but for the least of each component.
 
     texts_of(nodes): node, text for a frame of nodes. First each node is compared to
@@ -90,8 +92,8 @@ def link(bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingles:
     that still lie in different components, so a large group costs one text
     comparison a member.
     """
-    pairs = candidate_pairs(bands)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    pairs = candidate_pairs(bands, global_order)
+    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     texts = materialize(texts_of(nodes), "texts")
     best = pairs.select(F.col("a").alias("node"), "b", "shared").groupBy("node").agg(F.max(F.struct("shared", "b")).alias("p"))
     first = materialize(verified(best.select(F.col("node").alias("a"), F.col("p.b").alias("b")), texts, shingles, threshold), "links")

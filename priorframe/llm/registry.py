@@ -8,6 +8,7 @@ MODULES = (
     "secret_scan",
     "quality_rules",
     "warc_archive",
+    "line_dedup",
     "decontaminate",
     "mixing",
     "suffix_dedup",
