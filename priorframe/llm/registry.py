@@ -8,6 +8,7 @@ MODULES = (
     "secret_scan",
     "quality_rules",
     "warc_archive",
+    "token_counts",
     "line_dedup",
     "decontaminate",
     "mixing",
