@@ -14,6 +14,7 @@ MODULES = (
     "mixing",
     "suffix_dedup",
     "near_dup",
+    "toxicity",
 )
 
 
