@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("windows",)
+MODULES = ("windows", "positions", "aggregates", "scalars")
 
 
 def load() -> tuple[dict, dict]:

@@ -1 +1 @@
-
+"""Readers and writers of landed files."""
