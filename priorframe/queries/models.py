@@ -183,10 +183,10 @@ def mixture(spark, sf):
 def score_batch(spark, sf):
     """Features to trial-count pmf, unit probabilities, success pmf and line probabilities: column expressions alone."""
     ep = asof.prior_sums(episodes(spark, sf), ["entity"], ["day"], ["n", "s"])
-    rate = shrink_rate("prior_s", "prior_n", 0.2, 20)
-    trials = X.normalize(X.negbin_pmf(4 + F.col("prior_n") / 20, F.lit(0.05), 15))
-    probs = F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: F.least(rate * (1 - 0.01 * i), F.lit(0.99)))
-    x = ep.withColumn("pmf", X.compound(probs, trials))
+    # Each step is a column of its own, so that the folds below refer to it and do not compute it again.
+    x = ep.withColumn("rate", shrink_rate("prior_s", "prior_n", 0.2, 20)).withColumn("trials", X.normalize(X.negbin_pmf(4 + F.col("prior_n") / 20, F.lit(0.05), 15)))
+    x = x.withColumn("probs", F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: F.least(F.col("rate") * (1 - 0.01 * i), F.lit(0.99))))
+    x = x.withColumn("pmf", X.compound(F.col("probs"), F.col("trials")))
     return x.select("entity", "day", *(F.round(X.tail_above(F.col("pmf"), F.lit(v)), 7).alias(n) for n, v in (("over_0", 0.5), ("over_1", 1.5), ("over_2", 2.5))))
 
 
