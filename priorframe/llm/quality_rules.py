@@ -125,6 +125,19 @@ def apply_policy(ledger: DataFrame, policy: str = "v1") -> DataFrame:
     return ledger.withColumn("kept", F.col("failed_bits").bitwiseAND(F.lit(policy_mask(policy))) == 0)
 
 
+def keep_documents(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
+    """Rows of docs that no rule of the policy fails, with their own columns, whatever their names.
+
+    The condition is tied to the partition's number, which is never negative: a filter
+    on it stays above the measurements, where otherwise the optimizer would copy the
+    tree of all rules into it once for every use of a measurement.
+    """
+    boxed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
+    ledger = apply_policy(rule_ledger(boxed, "_text"), policy)
+    kept = ledger.select("_row", (F.col("kept") & (F.spark_partition_id() >= 0)).alias("_kept"))
+    return kept.filter("_kept").select("_row.*")
+
+
 def ablations(ledger: DataFrame, policy: str = "v1") -> DataFrame:
     """For each rule of a policy: documents that fail it, that only it drops, and that the policy drops with and without it.
 
@@ -154,7 +167,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^ 	-]+') AS ws FROM d),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^ 	-
+]+') AS ws FROM d),
 win AS (SELECT rid, i, list_slice(ws, i, i + 4) AS g
         FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 dup AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
@@ -162,9 +176,11 @@ cov AS (SELECT rid, count(DISTINCT i + o) AS n
         FROM (SELECT rid, i, unnest(range(0, 5)) AS o FROM dup) GROUP BY rid),
 lines AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup
           FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)
-          WHERE regexp_matches(line, '[^ 	-]') GROUP BY rid),
+          WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY rid),
 m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
-             CAST(length(regexp_replace(t, '[ 	-]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[ 	-
+]', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,

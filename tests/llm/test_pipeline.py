@@ -1,5 +1,6 @@
 import corpus_pipeline as P
 
+from priorframe.llm.quality_rules import apply_policy, rule_ledger
 from tests.llm import test_decontaminate, test_line_dedup, test_near_dup, test_quality_rules
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +20,7 @@ def test_stages_match_brute_force(spark, tmp_path):
         if name != "source mix":
             assert docs.columns == columns
         if name == "quality rules":
-            ledger = {r.doc_id: r for r in P.apply_policy(P.rule_ledger(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+            ledger = {r.doc_id: r for r in apply_policy(rule_ledger(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
             base = {i for i, t in rows if (m := test_quality_rules.brute(t))[0] < 10 or 100 * m[4] > 20 * m[0]}
             assert set(after) == {i for i in before if ledger[i].kept} and not set(after) & base
         elif name == "line dedup":
