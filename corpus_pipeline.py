@@ -16,7 +16,7 @@ from priorframe.llm.decontaminate import contaminated, mark_contamination
 from priorframe.llm.line_dedup import drop_duplicate_lines
 from priorframe.llm.mixing import mix_documents
 from priorframe.llm.near_dup import keep_one_of_each
-from priorframe.llm.quality_rules import apply_policy, rule_ledger
+from priorframe.llm.quality_rules import keep_documents
 
 
 def _boxed(docs: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def _boxed(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a rule of the policy go."""
-    return apply_policy(rule_ledger(_boxed(docs))).filter("kept").select("_row.*")
+    return keep_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
