@@ -9,13 +9,13 @@ components come from rounds of star contractions, which are joins and minima.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from priorframe.llm import textkit
 from priorframe.llm.common import materialize
 
 
@@ -37,43 +37,78 @@ def candidate_pairs(bands: DataFrame, global_order: bool = True) -> DataFrame:
     return materialize(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
 
 
+def is_star(pairs: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u."""
+    roles = pairs.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(pairs.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+    clash = roles.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).filter("ups > 1 or (ups = 1 and low = 0)")
+    return clash.isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, label: the least node of its component, for nodes of edges (a, b) that are not the least."""
+    """node, label: the least node of its component, for nodes of edges (a, b) that are not the least.
+
+    Rounds of large-star and small-star contractions until only stars are left.
+    """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    state, seen = materialize(pairs, "components"), None
+    state = materialize(pairs, "components")
     while True:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = materialize(large, "large")
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         state = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
-        now = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == seen:
+        if is_star(state):
             return state.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        seen = now
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[str], tuple[np.ndarray, np.ndarray]], threshold: float) -> DataFrame:
+#: Bytes of text that a step of the verification works on.
+STEP_BYTES = 2 << 20
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], threshold: float) -> DataFrame:
     """pairs (a, b) whose weighted Jaccard similarity is at least threshold, with it.
 
-    texts: node, text, one row a node. shingles(text): sorted hashes and their weights.
+    texts: node, text, one row a node. shingles(bytes, offsets): hashes and the text of
+    each, for many texts at once; a hash weighs as often as it occurs.
     """
     t = texts.select("node", "text")
     joined = pairs.select("a", "b").join(t.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cached = lru_cache(64)(shingles)
         for batch in batches:
             a, b, ta, tb = (batch.column(batch.schema.get_field_index(n)) for n in ("a", "b", "ta", "tb"))
-            value = np.array([jaccard(cached(x.as_py()), cached(y.as_py())) for x, y in zip(ta, tb)])
-            keep = np.flatnonzero(value >= threshold - 1e-12)
-            yield pa.RecordBatch.from_arrays([a.take(pa.array(keep)), b.take(pa.array(keep)), pa.array(value[keep], pa.float64())], names=["a", "b", "similarity"])
+            size = np.cumsum(np.diff(textkit.utf8(ta)[1]) + np.diff(textkit.utf8(tb)[1]))
+            first = 0
+            while first < len(a):
+                past = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + STEP_BYTES, "right")))
+                part = slice(first, past)
+                value = similarities(a[part], b[part], ta[part], tb[part], shingles)
+                keep = pa.array(np.flatnonzero(value >= threshold - 1e-12))
+                yield pa.RecordBatch.from_arrays([a[part].take(keep), b[part].take(keep), pa.array(value).take(keep)], names=["a", "b", "similarity"])
+                first = past
 
     return joined.mapInArrow(run, "a long, b long, similarity double")
 
 
+def similarities(a: pa.Array, b: pa.Array, ta: pa.Array, tb: pa.Array, shingles: Callable) -> np.ndarray:
+    """Weighted Jaccard similarity of each pair; a node's text is worked on once."""
+    nodes = np.concatenate([a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False)])
+    _, where, which = np.unique(nodes, return_index=True, return_inverse=True)
+    hashes, owner = shingles(*textkit.utf8(pa.concat_arrays([ta, tb]).take(pa.array(where))))
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    begin = np.flatnonzero(new)
+    weight = np.diff(np.append(begin, len(hashes)))
+    hashes, owner = hashes[begin], owner[begin]
+    cut = np.searchsorted(owner, np.arange(len(where) + 1))
+    sets = lambda i: (hashes[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]])
+    return np.array([jaccard(sets(i), sets(j)) for i, j in zip(which[: len(a)], which[len(a) :])])
+
+
 def jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
     """Sum of the lesser weights over the sum of the greater ones."""
     if not len(x[0]) or not len(y[0]):
