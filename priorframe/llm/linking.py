@@ -4,6 +4,11 @@ Nodes are 64-bit content hashes of distinct texts. No step gathers a bucket or a
 component in one task: a bucket is reduced to two or four of its members by min and max
 (pre-aggregated before the shuffle), each member is compared to those, and
 components come from rounds of star contractions, which are joins and minima.
+
+Members of a bucket that then still lie in different components, and of which neither
+stood for the bucket, go on by prefix filtering, which is exact: of two sets that are
+similar enough, the first few elements in a common order have one in common. Rare
+elements come first, so what all members of a hot bucket share is no key.
 """
 
 from __future__ import annotations
@@ -19,8 +24,8 @@ from priorframe.llm import textkit
 from priorframe.llm.common import materialize
 
 
-def candidate_pairs(bands: DataFrame, global_order: bool = True) -> DataFrame:
-    """Pairs (a > b, shared) of nodes that share a bucket with, and one of which stands for, the bucket.
+def candidate_pairs(bands: DataFrame, global_order: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a > b, shared) of nodes that share a bucket with, and one of which stands for, the bucket; and the buckets (bucket, reps, n rows).
 
     bands: node, bucket. A bucket's representatives are the least and greatest node in
     an order of its own (nodes and bucket are hashes, so XOR shuffles), and with
@@ -29,12 +34,112 @@ def candidate_pairs(bands: DataFrame, global_order: bool = True) -> DataFrame:
     node, bucket = F.col("node"), F.col("bucket")
     own = node.bitwiseXOR(bucket)
     least = [F.min(own).alias("x0"), F.max(own).alias("x1"), *([F.min("node").alias("r2"), F.max("node").alias("r3")] if global_order else [])]
-    reps = bands.groupBy("bucket").agg(*least).filter("x0 <> x1")
+    reps = bands.groupBy("bucket").agg(*least, F.count(F.lit(1)).alias("n")).filter("x0 <> x1")
     members = [F.col("x0").bitwiseXOR(bucket), F.col("x1").bitwiseXOR(bucket), *([F.col("r2"), F.col("r3")] if global_order else [])]
-    met = bands.join(materialize(reps.select("bucket", F.array_distinct(F.array(*members)).alias("reps")), "buckets"), "bucket")
+    reps = materialize(reps.select("bucket", F.array_distinct(F.array(*members)).alias("reps"), "n"), "buckets")
+    met = bands.join(reps.drop("n"), "bucket")
     pairs = met.select("node", F.explode("reps").alias("rep")).filter("node <> rep")
     pairs = pairs.select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b"))
-    return materialize(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
+    return materialize(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs"), reps
+
+
+def open_nodes(bands: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, label of nodes that share a bucket with one of another component, where neither stands for the bucket."""
+    large = reps.filter(F.col("n") > F.size("reps") + 1)
+    members = bands.join(large, "bucket").filter(~F.array_contains("reps", F.col("node"))).select("bucket", "node").distinct()
+    known = materialize(members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "members")
+    mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return materialize(known.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "label").distinct(), "open")
+
+
+#: Counters of elements; what is broadcast is 4 bytes for each.
+SLOTS = 1 << 20
+#: Pairs of a key that a join row group may try; a key with more is dealt out.
+KEY_PAIRS = 1 << 20
+
+
+def units(hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One hash for each unit of weight: the j-th occurrence of an element in a text is element (hash, j)."""
+    order = np.lexsort((hashes, texts))
+    hashes, texts = hashes[order], texts[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (texts[1:] != texts[:-1])
+    begin = np.flatnonzero(new)
+    nth = np.arange(len(hashes)) - np.repeat(begin, np.diff(np.append(begin, len(hashes))))
+    return textkit.mix(hashes + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), texts
+
+
+def slots(elements: np.ndarray) -> np.ndarray:
+    return (elements % np.uint64(SLOTS)).astype(np.int64)
+
+
+def element_counts(texts: DataFrame, shingles: Callable) -> np.ndarray:
+    """How many elements of texts fall into each of SLOTS counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, _, buf, offsets in textkit.chunks(*textkit.utf8(batch.column(0)), STEP_BYTES):
+                total += np.bincount(slots(units(*shingles(buf, offsets))[0]), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    found = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.uint32)
+    out[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 0xFFFFFFFF)
+    return out
+
+
+def prefixes(texts: DataFrame, shingles: Callable, threshold: float) -> DataFrame:
+    """node, label, text to node, label, size, and the elements of its prefix: key, pos, idx.
+
+    The order is by counter, then by hash. Two sets of similarity threshold have
+    their first common element in the prefix of the larger one, and where idx holds
+    in that of the smaller one.
+    """
+    counts = texts.sparkSession.sparkContext.broadcast(element_counts(texts, shingles))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for first, past, buf, offsets in textkit.chunks(*textkit.utf8(batch.column(2)), STEP_BYTES):
+                element, owner = units(*shingles(buf, offsets))
+                order = np.lexsort((element, counts.value[slots(element)], owner))
+                element, owner = element[order], owner[order]
+                size = np.bincount(owner, minlength=past - first)
+                pos = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+                least = lambda share: (size - np.ceil(size * share - 1e-9).astype(np.int64) + 1)[owner]
+                keep = pos < least(threshold)
+                idx = (pos < least(2 * threshold / (1 + threshold)))[keep]
+                element, owner, pos = element[keep], owner[keep], pos[keep]
+                columns = [node[first:past][owner], label[first:past][owner], size[owner].astype(np.int64), element.view(np.int64), pos, idx]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "label", "size", "key", "pos", "idx"])
+
+    return texts.select("node", "label", "text").mapInArrow(run, "node long, label long, size long, key long, pos long, idx boolean")
+
+
+def prefix_pairs(texts: DataFrame, shingles: Callable, threshold: float) -> DataFrame:
+    """Pairs (a > b) of nodes of different labels that hold all pairs of similarity threshold. texts: node, label, text.
+
+    Of two labels one is not the most common of the key, so only its other nodes meet all.
+    """
+    rows = materialize(prefixes(texts, shingles, threshold), "prefixes")
+    of = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    keys = of.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("top")).filter("n > most")
+    keys = materialize(keys.select("key", "top", F.least("n", F.ceil(F.col("n") * (F.col("n") - F.col("most")) / KEY_PAIRS)).cast("int").alias("deal")), "keys")
+    met = materialize(rows.join(keys, "key"), "met")
+    side = lambda df, x: df.select("key", "salt", *(F.col(c).alias(c + x) for c in ("node", "label", "size", "pos", "idx")))
+    x = side(met.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("deal")).cast("int")), "_x")
+    y = side(met.filter("label <> top").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))), "_y")
+    smaller = F.struct("size_x", "node_x") < F.struct("size_y", "node_y")
+    # What a first common element leaves; a pair that is similar passes at its first.
+    common = F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y"))
+    met = (
+        (F.col("label_x") != F.col("label_y")) & F.when(smaller, F.col("idx_x")).otherwise(F.col("idx_y"))
+        & (F.least("size_x", "size_y") >= threshold * F.greatest("size_x", "size_y") - 1e-9)
+        & (common >= threshold / (1 + threshold) * (F.col("size_x") + F.col("size_y")) - 1e-9)
+    )
+    return x.join(y, ["key", "salt"]).filter(met).select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
 
 
 def is_star(pairs: DataFrame) -> bool:
@@ -125,9 +230,11 @@ def link(bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingles:
     texts_of(nodes): node, text for a frame of nodes. First each node is compared to
     the candidate it shares most buckets with; a second round verifies only the pairs
     that still lie in different components, so a large group costs one text
-    comparison a member.
+    comparison a member. A third one takes the members of a bucket that are in
+    different components and met none of each other: all similar pairs that share a
+    bucket are in one component in the end.
     """
-    pairs = candidate_pairs(bands, global_order)
+    pairs, reps = candidate_pairs(bands, global_order)
     nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     texts = materialize(texts_of(nodes), "texts")
     best = pairs.select(F.col("a").alias("node"), "b", "shared").groupBy("node").agg(F.max(F.struct("shared", "b")).alias("p"))
@@ -137,7 +244,17 @@ def link(bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingles:
     apart = pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
     tried = best.select(F.col("node").alias("a"), F.col("p.b").alias("b"))
     rest = apart.join(tried, ["a", "b"], "left_anti")
-    second = materialize(verified(rest, texts, shingles, threshold), "links")
-    if second.isEmpty():
+    labels = with_links(labels, materialize(verified(rest, texts, shingles, threshold), "links"))
+    left = open_nodes(bands, reps, labels)
+    if left.isEmpty():
+        return labels
+    # Pairs of the first rounds are verified or in one component.
+    unmet = prefix_pairs(materialize(texts.join(left, "node"), "left"), shingles, threshold).join(pairs, ["a", "b"], "left_anti")
+    return with_links(labels, materialize(verified(materialize(unmet, "unmet"), texts, shingles, threshold), "links"))
+
+
+def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of labels and links together."""
+    if links.isEmpty():
         return labels
-    return connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(second.select("a", "b")))
+    return connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links.select("a", "b")))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from priorframe.llm import textkit
 from priorframe.llm.common import materialize, table
-from priorframe.llm.linking import link
+from priorframe.llm.linking import link, units
 from priorframe.llm.node_filter import reduce_to
 
 SHINGLE = 5
@@ -56,17 +56,6 @@ def shingles_of(buf: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple
     return np.concatenate([grams[whole], np.array([h for _, h in short], np.uint64)]), texts
 
 
-def units(hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One hash for each unit of weight: the j-th occurrence of an element in a text is element (hash, j)."""
-    order = np.lexsort((hashes, texts))
-    hashes, texts = hashes[order], texts[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (texts[1:] != texts[:-1])
-    begin = np.flatnonzero(new)
-    nth = np.arange(len(hashes)) - np.repeat(begin, np.diff(np.append(begin, len(hashes))))
-    return textkit.mix(hashes + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), texts
-
-
 def uniform(x: np.ndarray) -> np.ndarray:
     """In (0, 1], from the high bits."""
     return ((x >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53

@@ -81,6 +81,19 @@ def test_copies_and_fuzzy_lines_match_brute_force(spark):
     assert got == want
 
 
+def test_hot_buckets_match_brute_force(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    boilerplate, rows = text(150), []
+    for i in range(150):
+        own = text(22)
+        # Alike by 0.75 to all others, and by 0.8 to 0.9 to the next.
+        rows += [(2 * i, boilerplate + own), (2 * i + 1, boilerplate + own[:12] + text(10) if i % 3 else boilerplate + text(22))]
+    got, want = agreement(spark, rows, frame(spark, rows))
+    assert len(want) >= 90
+    assert got == want
+
+
 def test_documents_match_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
