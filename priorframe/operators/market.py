@@ -62,6 +62,8 @@ def devig_ladder(ladder: DataFrame, holds: DataFrame, key: str, milestone: str,
 GAP_MIN, RUNGS, RUNG_FRACTION, ENTITY_CAP = 1.5, 2, 0.5, 3.5
 LADDER_THRESHOLD = max(2 * prices.ALT_SIDE_MARGIN + prices.HOLD_MARGIN, prices.MIN_EDGE)
 DAILY_CAP, REPEAT_HAIRCUT = 10.0, 0.15
+#: Parts that the bets of a day are dealt to.
+DAY_PARTS = 256
 #: Rungs an entity may have: the support of its distribution.
 MAX_RUNGS = 39
 
@@ -112,10 +114,27 @@ def evaluate_ladder(rungs: DataFrame, entity: str, columns: dict[str, str], conf
 def portfolio_cap(bets: DataFrame, day: str, key: str, episode: str, stake: str, edge: str, daily: float = DAILY_CAP) -> DataFrame:
     """Stakes under a daily cap: by edge, plays only, a repeated episode cut by the haircut, stepped down to clean stakes.
 
-    A fold over the bets of one day, which are as many as a day has plays.
+    A fold over the bets of a day that can have a stake. While a day is not spent, a
+    bet whose stake is clean after the haircut too gets a positive stake, and of
+    smaller ones of an episode only the first may; each of the latter that gets none
+    follows a stake of its episode. So once twice as many such bets as the cap has
+    least stakes came before a bet, of its day or of any part of it, the day is spent.
+    Others are capped where they stand.
     """
+    least = min(prices.DENOMINATIONS)
+    most = 2 * (int(daily / least) + 1)
     item = F.struct((-F.col(edge)).alias("e"), F.col(key).alias("key"), F.col(episode).alias("episode"), F.col(stake).cast("double").alias("stake"))
-    days = bets.groupBy(day).agg(F.sort_array(F.collect_list(item)).alias("bets"))
+    rows = bets.select(F.col(day), item.alias("x"), F.pmod(F.xxhash64(F.col(key)), F.lit(DAY_PARTS)).alias("part")).filter("x.stake > 0")
+    small = (F.col("x.stake") * (1 - REPEAT_HAIRCUT) < least - 1e-9) & F.col("x.episode").isNotNull()
+    rows = rows.withColumn("kind", F.when(F.col("x.stake") < least - 1e-9, 0).when(small, 1).otherwise(2))
+    for _ in ("within parts", "within days"):
+        # Bets that are out stay in their parts, where they are numbered apart.
+        rows = rows.withColumn("first", F.row_number().over(Window.partitionBy(day, "part", "kind", F.when(F.col("kind") == 1, F.col("x.episode"))).orderBy("x")))
+        rows = rows.withColumn("kind", F.when((F.col("kind") == 1) & (F.col("first") > 1), 0).otherwise(F.col("kind")))
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(day, "part", F.col("kind") > 0).orderBy("x")))
+        rows = rows.withColumn("kind", F.when(F.col("place") > most, 0).otherwise(F.col("kind")))
+        rows = rows.withColumn("part", F.when(F.col("kind") > 0, F.lit(-1).cast("long")).otherwise(F.col("part")))
+    days = rows.filter("kind > 0").groupBy(day).agg(F.sort_array(F.collect_list("x")).alias("bets"))
     kind = bets.schema[episode].dataType.simpleString()
 
     def step(acc: Column, x: Column) -> Column:
@@ -127,7 +146,8 @@ def portfolio_cap(bets: DataFrame, day: str, key: str, episode: str, stake: str,
 
     key_kind = bets.schema[key].dataType.simpleString()
     start = F.struct(F.lit(float(daily)).alias("left"), F.array().cast(f"array<{kind}>").alias("seen"), F.array().cast(f"array<struct<key:{key_kind},units:double,capped:boolean>>").alias("out"))
-    return days.select(day, F.explode(F.aggregate(F.filter("bets", lambda b: b["stake"] > 0), start, step)["out"]).alias("b")).select(day, F.col("b.key").alias(key), "b.units", "b.capped")
+    staked = days.select(day, F.explode(F.aggregate("bets", start, step)["out"]).alias("b")).select(day, F.col("b.key").alias(key), "b.units", "b.capped")
+    return staked.unionByName(rows.filter("kind = 0").select(day, F.col("x.key").alias(key), F.lit(0.0).alias("units"), F.lit(True).alias("capped")))
 
 
 def equity_curve(days: DataFrame, scenario: list[str], order: str, gain: str, unit: float = 100.0) -> DataFrame:

@@ -355,13 +355,13 @@ def override(spark, sf):
 
 
 def boards(spark, sf):
-    """Market documents, one a day, made of the log."""
+    """Market documents of parts of days, made of the log."""
     e = log(spark, sf).groupBy("day", "entity").agg(F.max("k").alias("k"), F.min("event_id").alias("id"), F.round(F.avg("value"), 1).alias("v"))
     event = F.struct(F.col("day").cast("string").alias("id"), F.col("day").cast("string").alias("start"), F.array(F.struct(F.lit("home").alias("role"), F.lit("AA").alias("abbr"))).alias("teams"))
     market = F.struct(F.col("id").cast("string").alias("id"), F.col("day").cast("string").alias("event"), F.concat(F.lit("Player "), F.col("entity").cast("string"), F.lit(" Strikeouts")).alias("name"))
     chosen = lambda label, odds: F.struct(F.col("id").cast("string").alias("market"), F.lit(label).alias("label"), (F.col("k") + 0.5).alias("points"), odds.alias("odds"))
     over, under = chosen("Over", F.lit("+110")), chosen("Under", F.concat(F.lit("−"), (100 + F.col("k")).cast("string")))
-    rows = e.groupBy("day").agg(F.array_distinct(F.collect_list(event)).alias("events"), F.collect_list(market).alias("markets"), F.flatten(F.collect_list(F.array(over, under))).alias("selections"))
+    rows = e.groupBy("day", S.slate_part("entity")).agg(F.array_distinct(F.collect_list(event)).alias("events"), F.collect_list(market).alias("markets"), F.flatten(F.collect_list(F.array(over, under))).alias("selections"))
     return rows.select(F.to_json(F.struct("events", "markets", "selections")).alias("board"))
 
 
@@ -383,7 +383,7 @@ def slate(spark, sf):
 def nest(spark, sf):
     rows = log(spark, sf).groupBy("day", "entity", F.col("k").alias("milestone")).agg(F.max("value").alias("odds")).withColumn("line", F.lit(2.5))
     docs = S.nest_slate(rows, "day", "entity", ["line"], ["milestone", "odds"])
-    return docs.select("day", F.json_array_length(F.get_json_object("document", "$.pitchers")).cast("long").alias("entities"))
+    return docs.groupBy("day").agg(F.sum(F.json_array_length(F.get_json_object("document", "$.pitchers")).cast("long")).alias("entities"))
 
 
 @query("game_context", f"WITH {LOG}, x AS (SELECT day, k % 2 AS side, k, row_number() OVER (PARTITION BY day, k % 2 ORDER BY event_id) AS pos FROM log) SELECT day AS date, CASE side WHEN 0 THEN 'home' ELSE 'away' END AS side, CAST(pos AS INTEGER) AS pos, CAST(k AS BIGINT) AS batter, 'confirmed' AS lineup_source FROM x WHERE pos <= 9")

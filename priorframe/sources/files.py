@@ -53,7 +53,8 @@ def explode_board(boards: DataFrame, column: str, suffix: str, milestones: bool
     market's name without its suffix.
     """
     doc = boards.select(F.from_json(column, BOARD).alias("d"))
-    event = doc.select(F.explode("d.events").alias("e")).select(F.col("e.id").alias("event"), F.col("e.start").alias("start"), F.try_element_at(F.filter("e.teams", lambda t: t["role"] == "home"), F.lit(1))["abbr"].alias("home"))
+    # Documents of parts of a day each hold its event.
+    event = doc.select(F.explode("d.events").alias("e")).select(F.col("e.id").alias("event"), F.col("e.start").alias("start"), F.try_element_at(F.filter("e.teams", lambda t: t["role"] == "home"), F.lit(1))["abbr"].alias("home")).distinct()
     market = doc.select(F.explode("d.markets").alias("m")).select(F.col("m.id").alias("market"), F.col("m.event").alias("event"), F.trim(F.regexp_replace(F.col("m.name"), F.lit(suffix + "$"), F.lit(""))).alias("entity"))
     chosen = doc.select(F.explode("d.selections").alias("s")).select("s.market", "s.label", "s.points", "s.odds")
     rows = chosen.join(market, "market").join(event, "event", "left")
@@ -73,10 +74,19 @@ def flatten_slate(slates: DataFrame, column: str) -> DataFrame:
     return s.select("date", "reconstructed", "p.pitcher_id", "p.line", "p.expected", F.explode_outer("p.ladder").alias("r")).select("date", "reconstructed", "pitcher_id", "line", "expected", "r.milestone", "r.odds", "r.units")
 
 
+#: Documents of a day.
+SLATE_PARTS = 64
+
+
+def slate_part(entity: str) -> Column:
+    """The part of a day that an entity's documents are in: no document holds a whole day."""
+    return F.pmod(F.xxhash64(entity), F.lit(SLATE_PARTS)).cast("int")
+
+
 def nest_slate(rows: DataFrame, day: str, entity: str, values: list[str], rung: list[str]) -> DataFrame:
-    """One JSON document a day: its entities, each with its rungs in order."""
+    """JSON documents of the parts (see slate_part) of each day: their entities, each with its rungs in order."""
     rungs = rows.groupBy(day, entity, *values).agg(F.sort_array(F.collect_list(F.when(F.col(rung[0]).isNotNull(), F.struct(*rung)))).alias("ladder"))
-    return rungs.groupBy(day).agg(F.to_json(F.struct(F.col(day), F.sort_array(F.collect_list(F.struct(entity, *values, "ladder"))).alias("pitchers"))).alias("document"))
+    return rungs.groupBy(day, slate_part(entity).alias("part")).agg(F.to_json(F.struct(F.col(day), F.sort_array(F.collect_list(F.struct(entity, *values, "ladder"))).alias("pitchers"))).alias("document"))
 
 
 CONTEXT = "struct<game:bigint,date:date,home:struct<id:int,lineup:array<bigint>>,away:struct<id:int,lineup:array<bigint>>>"

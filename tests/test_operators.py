@@ -40,6 +40,38 @@ def test_portfolio_cap(spark):
     assert got[0] == got[1] == 2.0 and got[2] == 1.5 and sum(got.values()) <= 10
 
 
+def test_portfolio_cap_of_many_bets_matches_a_loop(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    rows = [(d, i, rng.choice([None, *range(6 * d)]), rng.choice([0.0, 0.1, 0.25, 0.27, 0.3, 0.5, 2.0][: 5 + d % 3]), rng.choice([0.01, 0.02, 0.1])) for d in (1, 2, 40) for i in range(1200)]
+    df = spark.createDataFrame(rows, "day int, bet int, game int, stake double, edge double")
+    want = {}
+    for d in (1, 2, 40):
+        left, seen = 10.0, set()
+        for _, bet, game, stake, _ in sorted((r for r in rows if r[0] == d and r[3] > 0), key=lambda r: (-r[4], r[1])):
+            asked = stake * 0.85 if game in seen else stake
+            given = max((x for x in market.prices.DENOMINATIONS if min(asked, left) >= x - 1e-9), default=0.0) if left > 0 else 0.0
+            left -= given
+            seen |= {game} if given > 0 and game is not None else set()
+            want[d, bet] = (given, given <= 0)
+    # No list holds more than a day's leading bets.
+    order = F.sort_array
+    monkeypatch.setattr(market.F, "sort_array", lambda x: F.when(F.size(x) > 100, F.raise_error(F.lit("a whole day in one list"))).otherwise(order(x)))
+    for parts in (2, 256):
+        monkeypatch.setattr(market, "DAY_PARTS", parts, raising=False)
+        capped = market.portfolio_cap(df, "day", "bet", "game", "stake", "edge")
+        assert {(r.day, r.bet): (r.units, r.capped) for r in capped.collect()} == want
+
+
+def test_no_slate_document_holds_a_whole_day(spark):
+    from priorframe.sources import files
+
+    rows = spark.range(2000).selectExpr("'d' AS day", "id AS entity", "1.5 AS line", "1 AS milestone", "100 AS odds")
+    docs = files.nest_slate(rows, "day", "entity", ["line"], ["milestone", "odds"]).collect()
+    assert len(docs) > 1 and sum(r.document.count('"entity"') for r in docs) == 2000
+
+
 @pytest.mark.parametrize("rule", ["round", "floor", "chunk"])
 def test_equal_count_bins(spark, rule):
     n, bins = 103, 10
