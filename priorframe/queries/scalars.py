@@ -372,10 +372,20 @@ def board_ou(spark, sf):
 
 @query("flatten_slate", f"WITH {LOG} SELECT day AS date, false AS reconstructed, entity AS pitcher_id, 2.5::DOUBLE AS line, k AS milestone, CAST(round(min(value)) AS INTEGER) AS odds FROM log WHERE entity < 40 GROUP BY day, entity, k")
 def slate(spark, sf):
-    e = log(spark, sf).filter("entity < 40").groupBy("day", "entity", "k").agg(F.round(F.min("value")).cast("int").alias("odds"))
+    return flat_slate(log(spark, sf).filter("entity < 40"))
+
+
+@query("flatten_slate_all", f"WITH {LOG} SELECT day AS date, false AS reconstructed, entity AS pitcher_id, 2.5::DOUBLE AS line, k AS milestone, CAST(round(min(value)) AS INTEGER) AS odds FROM log GROUP BY day, entity, k")
+def slate_all(spark, sf):
+    return flat_slate(log(spark, sf))
+
+
+def flat_slate(rows):
+    """Slate documents of parts of days, made of rows, and flattened."""
+    e = rows.groupBy("day", "entity", "k").agg(F.round(F.min("value")).cast("int").alias("odds"))
     ladder = F.sort_array(F.collect_list(F.struct(F.col("k").alias("milestone"), "odds"))).alias("ladder")
-    p = e.groupBy("day", "entity").agg(ladder).select("day", F.struct(F.col("entity").alias("pitcher_id"), F.lit(2.5).alias("line"), "ladder").alias("p"))
-    docs = p.groupBy("day").agg(F.collect_list("p").alias("pitchers")).select(F.to_json(F.struct(F.col("day").alias("date"), F.lit(False).alias("reconstructed"), "pitchers")).alias("doc"))
+    p = e.groupBy("day", "entity").agg(ladder).select("day", "entity", F.struct(F.col("entity").alias("pitcher_id"), F.lit(2.5).alias("line"), "ladder").alias("p"))
+    docs = p.groupBy("day", S.slate_part("entity")).agg(F.collect_list("p").alias("pitchers")).select(F.to_json(F.struct(F.col("day").alias("date"), F.lit(False).alias("reconstructed"), "pitchers")).alias("doc"))
     return S.flatten_slate(docs, "doc").select("date", "reconstructed", "pitcher_id", "line", "milestone", "odds")
 
 
