@@ -72,6 +72,14 @@ def test_no_slate_document_holds_a_whole_day(spark):
     assert len(docs) > 1 and sum(r.document.count('"entity"') for r in docs) == 2000
 
 
+def test_all_entities_are_flattened(spark):
+    from priorframe.queries import load
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.pitcher_id for r in load()[0]["flatten_slate_all"](spark, sf).select("pitcher_id").distinct().collect()}
+    assert got == {r.user_id for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().collect()}
+
+
 @pytest.mark.parametrize("rule", ["round", "floor", "chunk"])
 def test_equal_count_bins(spark, rule):
     n, bins = 103, 10
