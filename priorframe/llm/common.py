@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of materialized frames that nothing reads any more."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.work_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def boxed(docs: DataFrame, *more: Column, names: list[str] | None = None) -> DataFrame:
+    """Whole rows (or the columns names) in the one column row, and what an operator adds beside it: no name can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in (docs.columns if names is None else names))).alias("row"), *more)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def words_of(text: Column) -> Column:

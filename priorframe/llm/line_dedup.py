@@ -28,55 +28,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorframe.llm import textkit
-from priorframe.llm.common import BLANKS, materialize, table
+from priorframe.llm.common import BLANKS, boxed, discard, let, materialize, table
 from priorframe.llm.linking import link
-from priorframe.llm.node_filter import maybe_in, node_filter
+from priorframe.llm.node_filter import maybe_among, maybe_in, node_filter
 
 SHINGLE = 8
 THRESHOLD = 0.8
 BANDS = 8
 ROWS = 4
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def line_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, text and number of all lines that have a word."""
     if not len(buf):
         return (np.zeros(0, np.int64),) * 4
-    feeds = np.flatnonzero(buf == 10)
-    starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], feeds + 1)
-    starts = starts[starts < len(buf)]
+    begins = offsets[:-1][np.diff(offsets) > 0]
+    mark = np.zeros(len(buf) + 1, bool)
+    mark[1:] = buf == 10
+    mark[begins] = True
+    starts = np.flatnonzero(mark[:-1])
     text = np.searchsorted(offsets, starts, "right") - 1
     ends = np.append(starts[1:], len(buf))
-    fed = (ends > starts) & (buf[ends - 1] == 10)
-    ends = ends - fed
-    words = np.concatenate([[0], np.cumsum(textkit.NOT_BLANK[buf])])
-    before = np.concatenate([[0], np.cumsum(buf == 10)])
-    number = before[starts] - before[offsets[text]]
-    keep = words[ends] > words[starts]
+    keep = np.logical_or.reduceat(textkit.NOT_BLANK[buf], starts)
+    ends = ends - (buf[ends - 1] == 10)
+    number = np.arange(len(starts)) - np.searchsorted(starts, offsets[text])
     return starts[keep], ends[keep], text[keep], number[keep]
 
 
 def char_grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the character k-grams of spans of UTF-8 bytes, and the span of each."""
-    points = np.frombuffer(textkit.LOWER[buf].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    place = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-    first, past = place[starts], place[ends]
-    n = np.maximum(past - first - k + 1, 1)
-    of = np.repeat(np.arange(len(n)), n)
-    at = np.repeat(first, n) + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    prefix = textkit.prefix_hash(points)
-    return textkit.span_hash(prefix, at, np.minimum(at + k, past[of])), of
+    """Hashes of the character k-grams of spans of UTF-8 bytes, in order and apart from each other, and the span of each.
+
+    A span of fewer than k characters is one gram.
+    """
+    points = np.frombuffer(textkit.LOWER[buf].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(points) < len(buf):
+        place = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+        starts, ends = place[starts], place[ends]
+    points += np.uint64(1)
+    grams = textkit.gram_hash(points, k)
+    n = ends - starts - k + 1
+    short = np.flatnonzero(n <= 0)
+    n = np.maximum(n, 0)
+    # Marks where a span's grams begin and end, summed up, tell the grams that lie in a span.
+    edge = np.zeros(len(grams) + 1, np.int8)
+    long_ = n > 0
+    np.add.at(edge, starts[long_], 1)
+    np.add.at(edge, starts[long_] + n[long_], -1)
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    hashes, of = grams[inside], np.repeat(np.arange(len(n)), n)
+    if not len(short):
+        return hashes, of
+    few = [textkit.gram_hash(points[starts[i] : ends[i]], int(ends[i] - starts[i]))[0] for i in short]
+    return np.append(hashes, np.array(few, np.uint64)), np.append(of, short)
 
 
 def line_shingles(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of lines, and the line of each."""
-    hashes, of = char_grams(buf, offsets[:-1], offsets[1:])
-    order = np.lexsort((hashes, of))
-    hashes, of = hashes[order], of[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
-    return hashes[new], of[new]
+    """Shingles of lines, one line after the other, and the line of each."""
+    return char_grams(buf, offsets[:-1], offsets[1:])
 
 
 def signatures(hashes: np.ndarray, of: np.ndarray, n: int, k: int) -> np.ndarray:
@@ -90,11 +99,14 @@ def signatures(hashes: np.ndarray, of: np.ndarray, n: int, k: int) -> np.ndarray
     np.minimum.at(sign, of * k + coordinate, hashes.astype(np.uint32) & np.uint32(0xFFFFFFFE))
     filled = sign.reshape(n, k)
     out = filled.copy()
+    row, column = np.nonzero(out == empty)
     attempt = 0
-    while (gaps := np.argwhere(out == empty)).size:
+    while len(row):
         # The same coordinate of two sets probes the same coordinates in the same order.
-        probe = textkit.mix(gaps[:, 1].astype(np.uint64) * np.uint64(textkit.BASE) + np.uint64(attempt))
-        out[gaps[:, 0], gaps[:, 1]] = filled[gaps[:, 0], (probe % np.uint64(k)).astype(np.int64)]
+        probe = textkit.mix(np.arange(k, dtype=np.uint64) * np.uint64(textkit.BASE) + np.uint64(attempt)) % np.uint64(k)
+        value = filled[row, probe.astype(np.int64)[column]]
+        out[row, column] = value
+        row, column = row[value == empty], column[value == empty]
         attempt += 1
     return out.astype(np.uint64)
 
@@ -144,8 +156,7 @@ def line_texts(named: DataFrame, nodes: DataFrame) -> DataFrame:
                 node, once = np.unique(node.view(np.int64), return_index=True)
                 maybe = maybe_in(words.value, node)
                 node, once = node[maybe], once[maybe]
-                lines = [buf[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[once], ends[once])]
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(lines, pa.string())], names=["node", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), textkit.slices(buf, starts[once], ends[once])], names=["node", "text"])
 
     return named.select("doc", "text").mapInArrow(run, "node long, text string")
 
@@ -162,9 +173,9 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     buckets = scanned.filter("buckets is not null").select("node", F.explode("buckets").alias("bucket"))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        return line_texts(named, nodes).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        return line_texts(named, nodes).join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
 
-    labels = link(buckets, texts_of, line_shingles, threshold, global_order=False)
+    labels = link(buckets, texts_of, line_shingles, threshold, global_order=False, weighted=False)
     # Documents in the order of their ids; equal ids by their texts.
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("doc").alias("doc"))
     many = lines.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
@@ -172,23 +183,43 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     groups = materialize(many.join(linked, "node", "left").filter("n > 1 or label is not null").select("node", F.coalesce("label", "node").alias("label")), "groups")
     places = named.select("doc", order.alias("place")).dropDuplicates(["doc"])
     found = materialize(lines.join(groups, "node").select("doc", "line_no", "label").join(places, "doc"), "occurrences")
+    discard(scanned, labels, groups)
     keeper = materialize(found.groupBy("label").agg(F.min(F.struct("place", "line_no")).alias("keep")), "keepers")
     gone = found.join(keeper, "label").filter((F.col("doc") != F.col("keep.place.doc")) | (F.col("line_no") != F.col("keep.line_no")))
-    return materialize(gone.groupBy("doc").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
+    removed = materialize(gone.groupBy("doc").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
+    discard(found, keeper)
+    return removed
+
+
+def without_lines(text: F.Column, removed: F.Column) -> F.Column:
+    """text without the lines of the given numbers (sorted, from 0): what lies between two that go stays, in one pass."""
+
+    def between(lines: F.Column) -> F.Column:
+        before, after = F.concat(F.array(F.lit(-1)), removed), F.concat(removed, F.array(F.size(lines)))
+        return F.array_join(F.flatten(F.zip_with(before, after, lambda b, a: F.slice(lines, b + 2, a - b - 1))), "\n")
+
+    return let(F.split(text, "\n", -1), between)
 
 
 def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
-    """docs without their duplicate lines; documents of which no word is left go. A column n_chars follows the text."""
-    gone = duplicate_lines(docs, id_col, text, **options).select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed"))
-    rows = docs.withColumn("_doc", doc_key(id_col, text)).join(gone, "_doc", "left")
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_removed", i)), "\n")
-    rows = rows.withColumn(text, F.when(F.col("_removed").isNotNull(), kept).otherwise(F.col(text)))
-    emptied = F.col("_removed").isNotNull() & (F.translate(F.col(text), " " + BLANKS, "") == "")
-    rows = rows.filter(~emptied)
+    """docs without their duplicate lines; documents of which no word is left go. A column n_chars follows the text.
+
+    Only documents that lose a line are shuffled, to meet the numbers of those lines.
+    """
+    gone = duplicate_lines(docs, id_col, text, **options)
+    box = boxed(docs, doc_key(id_col, text).alias("doc"), F.col(text).alias("text"))
+    box = box.withColumn("maybe", maybe_among(gone.select(F.col("doc").alias("node")), "doc"))
+    whole = box.filter("not maybe").select("row.*")
+    met = box.filter("maybe").drop("maybe").join(gone.hint("merge"), "doc", "left")
+    fields = {text: F.col("kept")}
     if n_chars in docs.columns:
-        rows = rows.withColumn(n_chars, F.when(F.col("_removed").isNotNull(), F.char_length(F.col(text)).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
-    return rows.select(*docs.columns)
+        fields[n_chars] = F.char_length("kept").cast(docs.schema[n_chars].dataType)
+    row = F.col("row")
+    for name, value in fields.items():
+        row = row.withField(f"`{name}`", value)
+    cut = met.filter("removed is not null").select("row", without_lines(F.col("text"), F.col("removed")).alias("kept"))
+    cut = cut.filter(F.translate("kept", " " + BLANKS, "") != "").select(row.alias("row"))
+    return whole.unionByName(met.filter("removed is null").select("row.*")).unionByName(cut.select("row.*"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

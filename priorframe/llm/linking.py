@@ -21,35 +21,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorframe.llm import textkit
-from priorframe.llm.common import materialize
+from priorframe.llm.common import discard, materialize
+from priorframe.llm.node_filter import maybe_among
 
 
 def candidate_pairs(bands: DataFrame, global_order: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a > b, shared) of nodes that share a bucket with, and one of which stands for, the bucket; and the buckets (bucket, reps, n rows).
+    """Pairs (a > b, shared) of nodes that share a bucket with, and one of which stands for, the bucket; and the members of those buckets.
 
     bands: node, bucket. A bucket's representatives are the least and greatest node in
     an order of its own (nodes and bucket are hashes, so XOR shuffles), and with
-    global_order also those in the order of all buckets.
+    global_order also those in the order of all buckets. Most buckets have one member;
+    their rows are set apart before the others are shuffled.
     """
     node, bucket = F.col("node"), F.col("bucket")
     own = node.bitwiseXOR(bucket)
     least = [F.min(own).alias("x0"), F.max(own).alias("x1"), *([F.min("node").alias("r2"), F.max("node").alias("r3")] if global_order else [])]
     reps = bands.groupBy("bucket").agg(*least, F.count(F.lit(1)).alias("n")).filter("x0 <> x1")
-    members = [F.col("x0").bitwiseXOR(bucket), F.col("x1").bitwiseXOR(bucket), *([F.col("r2"), F.col("r3")] if global_order else [])]
-    reps = materialize(reps.select("bucket", F.array_distinct(F.array(*members)).alias("reps"), "n"), "buckets")
-    met = bands.join(reps.drop("n"), "bucket")
-    pairs = met.select("node", F.explode("reps").alias("rep")).filter("node <> rep")
+    chosen = [F.col("x0").bitwiseXOR(bucket), F.col("x1").bitwiseXOR(bucket), *([F.col("r2"), F.col("r3")] if global_order else [])]
+    reps = materialize(reps.select("bucket", F.array_distinct(F.array(*chosen)).alias("reps"), "n"), "buckets")
+    met = bands.filter(maybe_among(reps.select(bucket.alias("node")), "bucket")).join(reps, "bucket")
+    members = materialize(met, "members")
+    discard(reps)
+    pairs = members.select("node", F.explode("reps").alias("rep")).filter("node <> rep")
     pairs = pairs.select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b"))
-    return materialize(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs"), reps
+    return materialize(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs"), members
 
 
-def open_nodes(bands: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+def open_nodes(members: DataFrame, labels: DataFrame) -> DataFrame:
     """node, label of nodes that share a bucket with one of another component, where neither stands for the bucket."""
-    large = reps.filter(F.col("n") > F.size("reps") + 1)
-    members = bands.join(large, "bucket").filter(~F.array_contains("reps", F.col("node"))).select("bucket", "node").distinct()
-    known = materialize(members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "members")
+    large = members.filter(F.col("n") > F.size("reps") + 1).filter(~F.array_contains("reps", F.col("node"))).select("bucket", "node").distinct()
+    known = materialize(large.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "labelled")
     mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    return materialize(known.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "label").distinct(), "open")
+    out = materialize(known.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "label").distinct(), "open")
+    discard(known)
+    return out
 
 
 #: Counters of elements; what is broadcast is 4 bytes for each.
@@ -58,29 +63,47 @@ SLOTS = 1 << 20
 KEY_PAIRS = 1 << 20
 
 
-def units(hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One hash for each unit of weight: the j-th occurrence of an element in a text is element (hash, j)."""
-    order = np.lexsort((hashes, texts))
-    hashes, texts = hashes[order], texts[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (texts[1:] != texts[:-1])
-    begin = np.flatnonzero(new)
-    nth = np.arange(len(hashes)) - np.repeat(begin, np.diff(np.append(begin, len(hashes))))
-    return textkit.mix(hashes + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), texts
+#: Odd factors that tell apart the copies of an element, and the texts of a batch.
+COPY, TEXT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407)
+
+
+def units(hashes: np.ndarray, texts: np.ndarray, weighted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """One hash for each unit of weight, and its text: the j-th occurrence of an element in a text is element (hash, j).
+
+    Without weighted only first occurrences count.
+    """
+    of_text = textkit.mix(hashes + texts.astype(np.uint64) * TEXT)
+    ordered = np.sort(of_text)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return textkit.mix(hashes), texts
+    again = np.flatnonzero(np.isin(of_text, twice))
+    again = again[np.argsort(of_text[again], kind="stable")]
+    copy = np.zeros(len(hashes), np.uint64)
+    copy[again] = nth(of_text[again])
+    if not weighted:
+        return textkit.mix(hashes[copy == 0]), texts[copy == 0]
+    return textkit.mix(hashes + copy * COPY), texts
+
+
+def nth(ordered: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each one of a sorted array."""
+    begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return np.arange(len(ordered)) - np.repeat(begin, np.diff(np.append(begin, len(ordered))))
 
 
 def slots(elements: np.ndarray) -> np.ndarray:
     return (elements % np.uint64(SLOTS)).astype(np.int64)
 
 
-def element_counts(texts: DataFrame, shingles: Callable) -> np.ndarray:
+def element_counts(texts: DataFrame, shingles: Callable, weighted: bool) -> np.ndarray:
     """How many elements of texts fall into each of SLOTS counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for _, _, buf, offsets in textkit.chunks(*textkit.utf8(batch.column(0)), STEP_BYTES):
-                total += np.bincount(slots(units(*shingles(buf, offsets))[0]), minlength=SLOTS)
+                total += np.bincount(slots(units(*shingles(buf, offsets), weighted)[0]), minlength=SLOTS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
@@ -90,20 +113,20 @@ def element_counts(texts: DataFrame, shingles: Callable) -> np.ndarray:
     return out
 
 
-def prefixes(texts: DataFrame, shingles: Callable, threshold: float) -> DataFrame:
+def prefixes(texts: DataFrame, shingles: Callable, threshold: float, weighted: bool) -> DataFrame:
     """node, label, text to node, label, size, and the elements of its prefix: key, pos, idx.
 
     The order is by counter, then by hash. Two sets of similarity threshold have
     their first common element in the prefix of the larger one, and where idx holds
     in that of the smaller one.
     """
-    counts = texts.sparkSession.sparkContext.broadcast(element_counts(texts, shingles))
+    counts = texts.sparkSession.sparkContext.broadcast(element_counts(texts, shingles, weighted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for first, past, buf, offsets in textkit.chunks(*textkit.utf8(batch.column(2)), STEP_BYTES):
-                element, owner = units(*shingles(buf, offsets))
+                element, owner = units(*shingles(buf, offsets), weighted)
                 order = np.lexsort((element, counts.value[slots(element)], owner))
                 element, owner = element[order], owner[order]
                 size = np.bincount(owner, minlength=past - first)
@@ -118,16 +141,17 @@ def prefixes(texts: DataFrame, shingles: Callable, threshold: float) -> DataFram
     return texts.select("node", "label", "text").mapInArrow(run, "node long, label long, size long, key long, pos long, idx boolean")
 
 
-def prefix_pairs(texts: DataFrame, shingles: Callable, threshold: float) -> DataFrame:
+def prefix_pairs(texts: DataFrame, shingles: Callable, threshold: float, weighted: bool) -> DataFrame:
     """Pairs (a > b) of nodes of different labels that hold all pairs of similarity threshold. texts: node, label, text.
 
     Of two labels one is not the most common of the key, so only its other nodes meet all.
     """
-    rows = materialize(prefixes(texts, shingles, threshold), "prefixes")
+    rows = materialize(prefixes(texts, shingles, threshold, weighted), "prefixes")
     of = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     keys = of.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("top")).filter("n > most")
     keys = materialize(keys.select("key", "top", F.least("n", F.ceil(F.col("n") * (F.col("n") - F.col("most")) / KEY_PAIRS)).cast("int").alias("deal")), "keys")
     met = materialize(rows.join(keys, "key"), "met")
+    discard(rows, keys)
     side = lambda df, x: df.select("key", "salt", *(F.col(c).alias(c + x) for c in ("node", "label", "size", "pos", "idx")))
     x = side(met.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("deal")).cast("int")), "_x")
     y = side(met.filter("label <> top").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))), "_y")
@@ -156,29 +180,33 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     state = materialize(pairs, "components")
-    while True:
+    while not is_star(state):
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = materialize(large, "large")
+        discard(state, least)
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         state = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
-        if is_star(state):
-            return state.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        discard(large, least)
+    out = state.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    out.work_path = state.work_path
+    return out
 
 
 #: Bytes of text that a step of the verification works on.
 STEP_BYTES = 2 << 20
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], threshold: float) -> DataFrame:
-    """pairs (a, b) whose weighted Jaccard similarity is at least threshold, with it.
+def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], threshold: float, weighted: bool) -> DataFrame:
+    """pairs (a, b) whose Jaccard similarity is at least threshold, with it.
 
     texts: node, text, one row a node. shingles(bytes, offsets): hashes and the text of
-    each, for many texts at once; a hash weighs as often as it occurs.
+    each, for many texts at once; with weighted a hash weighs as often as it occurs.
+    Texts grow with the data, so the joins say that they are shuffled at any size.
     """
-    t = texts.select("node", "text")
+    t = texts.select("node", "text").hint("merge")
     joined = pairs.select("a", "b").join(t.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +217,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[np.ndarray,
             while first < len(a):
                 past = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + STEP_BYTES, "right")))
                 part = slice(first, past)
-                value = similarities(a[part], b[part], ta[part], tb[part], shingles)
+                value = similarities(a[part], b[part], ta[part], tb[part], shingles, weighted)
                 keep = pa.array(np.flatnonzero(value >= threshold - 1e-12))
                 yield pa.RecordBatch.from_arrays([a[part].take(keep), b[part].take(keep), pa.array(value).take(keep)], names=["a", "b", "similarity"])
                 first = past
@@ -197,34 +225,33 @@ def verified(pairs: DataFrame, texts: DataFrame, shingles: Callable[[np.ndarray,
     return joined.mapInArrow(run, "a long, b long, similarity double")
 
 
-def similarities(a: pa.Array, b: pa.Array, ta: pa.Array, tb: pa.Array, shingles: Callable) -> np.ndarray:
-    """Weighted Jaccard similarity of each pair; a node's text is worked on once."""
+def similarities(a: pa.Array, b: pa.Array, ta: pa.Array, tb: pa.Array, shingles: Callable, weighted: bool) -> np.ndarray:
+    """Jaccard similarity of each pair; a node's text is worked on once, and all pairs by two sorts.
+
+    A sort key has the number of the text or pair above and the high bits of the element below.
+    """
     nodes = np.concatenate([a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False)])
     _, where, which = np.unique(nodes, return_index=True, return_inverse=True)
     hashes, owner = shingles(*textkit.utf8(pa.concat_arrays([ta, tb]).take(pa.array(where))))
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    begin = np.flatnonzero(new)
-    weight = np.diff(np.append(begin, len(hashes)))
-    hashes, owner = hashes[begin], owner[begin]
-    cut = np.searchsorted(owner, np.arange(len(where) + 1))
-    sets = lambda i: (hashes[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]])
-    return np.array([jaccard(sets(i), sets(j)) for i, j in zip(which[: len(a)], which[len(a) :])])
-
-
-def jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
-    """Sum of the lesser weights over the sum of the greater ones."""
-    if not len(x[0]) or not len(y[0]):
-        return 0.0
-    at = np.minimum(np.searchsorted(y[0], x[0]), len(y[0]) - 1)
-    both = y[0][at] == x[0]
-    common = np.minimum(x[1][both], y[1][at[both]]).sum()
-    return float(common / (x[1].sum() + y[1].sum() - common))
-
-
-def link(bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingles: Callable, threshold: float, global_order: bool = True) -> DataFrame:
+    bits = np.uint64(len(nodes).bit_length())
+    up = np.uint64(64) - bits
+    keyed = lambda number, element: (number.astype(np.uint64) << up) | (element >> bits)
+    key = np.sort(keyed(owner, hashes))
+    copy = nth(key)
+    if not weighted:
+        key, copy = key[copy == 0], copy[copy == 0]
+    element = textkit.mix((key << bits) + copy.astype(np.uint64) * COPY)
+    size = np.bincount((key >> up).astype(np.int64), minlength=len(where))
+    start = np.cumsum(size) - size
+    i, j = which[: len(a)], which[len(a) :]
+    pair = np.arange(len(a))
+    both = np.sort(np.concatenate([keyed(np.repeat(pair, size[x]), element[textkit.ranges(start[x], size[x])]) for x in (i, j)]))
+    common = np.bincount((both[1:][both[1:] == both[:-1]] >> up).astype(np.int64), minlength=len(a))
+    union = size[i] + size[j] - common
+    return np.where(union > 0, common / np.maximum(union, 1), 0.0)
+
+
+def link(bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingles: Callable, threshold: float, global_order: bool = True, weighted: bool = True) -> DataFrame:
     """node, label of nodes that are linked to another, but for the least of each component.
 
     texts_of(nodes): node, text for a frame of nodes. First each node is compared to
@@ -234,27 +261,34 @@ def link(bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingles:
     different components and met none of each other: all similar pairs that share a
     bucket are in one component in the end.
     """
-    pairs, reps = candidate_pairs(bands, global_order)
+    pairs, members = candidate_pairs(bands, global_order)
     nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     texts = materialize(texts_of(nodes), "texts")
+    discard(nodes)
+    check = lambda found: materialize(verified(found, texts, shingles, threshold, weighted), "links")
     best = pairs.select(F.col("a").alias("node"), "b", "shared").groupBy("node").agg(F.max(F.struct("shared", "b")).alias("p"))
-    first = materialize(verified(best.select(F.col("node").alias("a"), F.col("p.b").alias("b")), texts, shingles, threshold), "links")
+    best = materialize(best.select(F.col("node").alias("a"), F.col("p.b").alias("b")), "best")
+    first = check(best)
     labels = connected_components(first)
+    discard(first)
     la, lb = (labels.select(F.col("node").alias(n), F.col("label").alias(f"l{n}")) for n in "ab")
     apart = pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-    tried = best.select(F.col("node").alias("a"), F.col("p.b").alias("b"))
-    rest = apart.join(tried, ["a", "b"], "left_anti")
-    labels = with_links(labels, materialize(verified(rest, texts, shingles, threshold), "links"))
-    left = open_nodes(bands, reps, labels)
-    if left.isEmpty():
-        return labels
-    # Pairs of the first rounds are verified or in one component.
-    unmet = prefix_pairs(materialize(texts.join(left, "node"), "left"), shingles, threshold).join(pairs, ["a", "b"], "left_anti")
-    return with_links(labels, materialize(verified(materialize(unmet, "unmet"), texts, shingles, threshold), "links"))
+    labels = with_links(labels, check(apart.join(best, ["a", "b"], "left_anti")))
+    left = open_nodes(members, labels)
+    if not left.isEmpty():
+        # Pairs of the first rounds are verified or in one component.
+        rest = materialize(texts.join(left.hint("merge"), "node"), "left")
+        unmet = materialize(prefix_pairs(rest, shingles, threshold, weighted).join(pairs, ["a", "b"], "left_anti"), "unmet")
+        labels = with_links(labels, check(unmet))
+        discard(rest, unmet)
+    discard(pairs, members, texts, best, left)
+    return labels
 
 
 def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Components of labels and links together."""
-    if links.isEmpty():
-        return labels
-    return connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links.select("a", "b")))
+    """Components of labels and links together; both are used up."""
+    if not links.isEmpty():
+        old, labels = labels, connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links.select("a", "b")))
+        discard(old)
+    discard(links)
+    return labels

@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorframe.llm import textkit
-from priorframe.llm.common import materialize, table
+from priorframe.llm.common import boxed, discard, materialize, table
 from priorframe.llm.linking import link, units
-from priorframe.llm.node_filter import reduce_to
+from priorframe.llm.node_filter import maybe_among
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -124,48 +124,69 @@ def text_node(text: str) -> F.Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each distinct text: node, class_id (least id of its class), class_docs, label (least node)."""
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """(links, classes) of the distinct texts (nodes) that have a class beside themselves.
+
+    links: node, label; classes: label, class_id (least id of the class), class_docs.
+    A text that no other row has, and none is near to, is in neither.
+    """
     named = docs.select(F.col(id_col).alias("id"), text_node(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     buckets = materialize(signature_bands(named, bands, rows), "bands")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        return reduce_to(named.select("node", "text"), nodes).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        return named.select("node", "text").filter(maybe_among(nodes, "node")).join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
 
     labels = link(buckets, texts_of, shingles_of, threshold)
+    discard(buckets)
+    stars = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
     texts = named.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    known = materialize(texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    classes = known.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_docs"))
-    return materialize(known.select("node", "label").join(materialize(classes, "classes"), "label"), "classes")
+    known = texts.join(stars, "node", "left").filter("n > 1 or label is not null").withColumn("label", F.coalesce("label", "node"))
+    known = materialize(known, "labelled")
+    discard(labels)
+    classes = materialize(known.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_docs")), "classes")
+    return known.select("node", "label"), classes
 
 
-def with_classes(docs: DataFrame, id_col: str, text: str, **options) -> DataFrame:
-    """docs with _node, _label, _class_id and _class_docs."""
-    classes = near_duplicate_classes(docs, id_col, text, **options)
-    classes = classes.select(*(F.col(c).alias(f"_{c}") for c in classes.columns))
-    return docs.withColumn("_node", text_node(text)).join(classes, "_node")
+def labelled(rows: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows (node, id, ...) with class_id and class_docs; a row in no class is its own."""
+    found = rows.join(links, "node", "left").join(classes, "label", "left")
+    alone = F.col("label").isNull()
+    return found.withColumn("class_id", F.when(alone, F.col("id")).otherwise(F.col("class_id"))).withColumn("class_docs", F.coalesce("class_docs", F.lit(1)))
 
 
 def label_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with class_id and class_docs."""
-    rows = with_classes(docs, id_col, text, **options)
+    """docs with class_id and class_docs, which replace columns of those names."""
     names = [c for c in docs.columns if c not in ("class_id", "class_docs")]
-    return rows.select(*names, F.col("_class_id").alias("class_id"), F.col("_class_docs").alias("class_docs"))
+    box = boxed(docs, text_node(text).alias("node"), F.col(id_col).alias("id"), names=names)
+    return labelled(box, *near_duplicate_classes(docs, id_col, text, **options)).select("row.*", "class_id", "class_docs")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each class: that with the least id (of rows that repeat it, one)."""
-    chosen = with_classes(docs, id_col, text, **options).filter(F.col(id_col).eqNullSafe(F.col("_class_id")))
+    """One document of each class: that with the least id (of rows that repeat it, one).
+
+    Only rows whose text is in a class of two or more rows are shuffled.
+    """
+    links, classes = near_duplicate_classes(docs, id_col, text, **options)
+    box = boxed(docs, text_node(text).alias("node"), F.col(id_col).alias("id"))
+    grouped = box.withColumn("maybe", maybe_among(links, "node"))
+    alone = grouped.filter("not maybe").select("row.*")
+    # The few that the filter can't tell have no label, and stay.
+    maybe = grouped.filter("maybe").drop("maybe").join(links.hint("merge"), "node", "left").join(classes, "label", "left")
+    chosen = maybe.filter(F.col("label").isNull() | F.col("id").eqNullSafe(F.col("class_id")))
     # Ids that stand twice in a class: rare, and only those rows are grouped.
-    twice = materialize(chosen.groupBy("_label").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_label"), "repeated")
-    out = chosen.join(twice, "_label", "left_anti")
-    if not twice.isEmpty():
-        out = out.unionByName(chosen.join(twice, "_label", "left_semi").dropDuplicates(["_label"]))
-    return out.select(*docs.columns)
+    narrow = docs.select(text_node(text).alias("node"), F.col(id_col).alias("id")).join(links, "node").join(classes, "label").filter(F.col("id").eqNullSafe(F.col("class_id")))
+    twice = materialize(narrow.groupBy("label").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("label"), "repeated")
+    if twice.isEmpty():
+        return alone.unionByName(chosen.select("row.*"))
+    once = chosen.join(twice, "label", "left_anti").select("row.*")
+    again = chosen.join(twice, "label", "left_semi").dropDuplicates(["label"]).select("row.*")
+    return alone.unionByName(once).unionByName(again)
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_docs")
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("id"), text_node("text").alias("node"))
+    return labelled(rows, *near_duplicate_classes(docs)).select(F.col("id").alias("doc_id"), "class_id", "class_docs")
 
 
 QUERIES = {"op9_near_duplicates": op9_near_duplicates}

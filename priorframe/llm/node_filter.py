@@ -1,9 +1,9 @@
 """Semi-join reduction by a Bloom filter of bounded size.
 
-Candidates are a small part of all texts. Before texts are shuffled to meet them,
-each task drops those whose node can't be a candidate. The filter never drops a
-candidate, so the join after it stays exact; it has at most ``MAX_BITS`` bits (16
-MB), whatever the number of candidates: beyond about ten million it only drops less.
+What a decision touches is often a small part of all rows. Before rows are shuffled to
+meet it, each task sets those apart that it surely doesn't touch. The filter never misses a
+row that is touched, so the join after it stays exact; it has at most ``MAX_BITS`` bits (16
+MB), whatever the number of nodes: beyond about ten million it only sets less apart.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_BITS = 27
@@ -42,15 +42,15 @@ def maybe_in(table: np.ndarray, node: np.ndarray) -> np.ndarray:
     return (hit(low) & hit(high)).astype(bool)
 
 
-def reduce_to(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """rows (with a column node) but for most of those whose node is not in nodes."""
+def maybe_among(nodes: DataFrame, column: str) -> Column:
+    """Whether a column of 64-bit hashes may be in nodes: false only where it is surely not.
+
+    Only that column goes through Python; the rows stay where they are.
+    """
     words = node_filter(nodes)
-    at = rows.columns.index("node")
 
-    def run(batches):
-        for batch in batches:
-            keep = maybe_in(words.value, batch.column(at).to_numpy(zero_copy_only=False))
-            if keep.any():
-                yield batch.filter(pa.array(keep))
+    @F.arrow_udf("boolean")
+    def probe(values: pa.Array) -> pa.Array:
+        return pa.array(maybe_in(words.value, values.to_numpy(zero_copy_only=False)))
 
-    return rows.mapInArrow(run, rows.schema)
+    return probe(F.col(column))

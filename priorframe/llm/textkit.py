@@ -107,15 +107,39 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def gram_hash(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive word hashes (n - k + 1, or none)."""
+    """Hash of each k consecutive word hashes (n - k + 1, or none): a polynomial in BASE, built by doubling."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = words[:n].copy()
-    for j in range(1, k):
-        out *= np.uint64(BASE)
-        out += words[j : j + n]
-    return mix(out)
+    out, have, piece, size = None, 0, words, 1
+    while True:
+        if k & size:
+            # piece stands before the part that is already there.
+            out, have = (piece, size) if out is None else (joined(piece, size, out, have), have + size)
+        if 2 * size > k:
+            return mix(out[:n])
+        piece, size = joined(piece, size, piece, size), 2 * size
+
+
+def joined(left: np.ndarray, size: int, right: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of size + length elements from those of size (left) and of length (right)."""
+    n = len(right) - size
+    out = left[:n] * np.uint64(pow(BASE, length, 1 << 64))
+    out += right[size:]
+    return out
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers starts[i] .. starts[i] + sizes[i] - 1, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def slices(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Spans of UTF-8 bytes, cut between characters, as a string array."""
+    data = memoryview(np.ascontiguousarray(buf))
+    whole = b"".join([data[s:e] for s, e in zip(starts.tolist(), ends.tolist())])
+    at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(whole))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
