@@ -10,7 +10,9 @@ number of documents and the number of words, until each is 0 or 1 but for a few.
 The flight runs in blocks of a source, each a few thousand documents dealt by hash,
 so a hot source is many blocks. What a block can't decide (at most three units)
 flies again with that of other blocks, level by level, until one block of a source
-is left; its last units land on the choice with the least deviation.
+is left; its last 14 units land on the choice with the least deviation of words.
+Documents much longer than the others are decided before, each against all smaller
+ones at once, which keeps the words but not the number of documents.
 
 The unit is a distinct (id, source, size): repeated rows share one decision, which
 is a function of those values, so reruns agree and rows can be joined to it. Only
@@ -24,43 +26,52 @@ table gives no rows.
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from priorframe.llm.common import materialize, n_words_of, table
+from priorframe.llm.common import boxed, discard, materialize, n_words_of, table
+from priorframe.llm.node_filter import maybe_among
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 4000
 MERGE = 500
 EDGE = 1e-9
+#: Units that a landing tries all choices of, and the size, in means, from which a unit is decided against all others.
+LANDING = 14
+GIANT = 4
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = 3.0) -> DataFrame:
-    """Columns source, source_size, n_units, target, from one row for each document (source, size, n_rows).
+def source_targets(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = 3.0) -> DataFrame:
+    """Columns source, source_size, n_units, target, from one row for each unit (source, size, n_rows).
 
-    The cap binds for the sources with the least size for their weight, so targets
-    are a prefix sum over sources ordered by that ratio. The windows below run over
-    one row for each source.
+    Sources are numbered by a distributed sort and the counts of its partitions. The
+    level (target for a weight of one) rises until the sources whose limit it exceeds
+    are the same twice; each step is one aggregate over the sources.
     """
-    by_source = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size"), F.count(F.lit(1)).alias("n_units"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
-    rows = by_source.withColumn("place", place).withColumn("weight", weight).withColumn("limit", cap * F.col("source_size"))
-    ordered = Window.orderBy(F.col("limit") / F.col("weight"), "place")
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.coalesce(F.sum("limit").over(before), F.lit(0.0))
-    left = F.sum("weight").over(ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = rows.withColumn("level", (F.sum("source_size").over(whole) - cut) / left)
-    rows = rows.withColumn("free", F.col("level") * F.col("weight") <= F.col("limit"))
-    rate = F.min(F.when(F.col("free"), F.struct(F.col("limit") / F.col("weight"), "place", "level"))).over(whole)["level"]
-    target = F.least(F.col("limit"), F.coalesce(rate * F.col("weight"), F.col("limit")))
-    return rows.select("source", "source_size", "n_units", target.alias("target"))
+    by_source = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size"), F.count(F.lit(1)).alias("n_units"))
+    numbered = materialize(by_source.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "sources")
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r["part"]: r["n"] for r in numbered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = dict(zip(sorted(counts), itertools.accumulate([0, *(counts[k] for k in sorted(counts))])))
+    base = F.create_map(*(F.lit(x) for k in before for x in (k, before[k])))[part] if before else F.lit(0)
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((base + within) % len(weights) + 1).cast("int"))
+    rows = numbered.select("source", "source_size", "n_units", weight.alias("weight"), (cap * F.col("source_size")).alias("limit"))
+    level, capped = math.inf, -1
+    while True:
+        full = F.col("limit") < level * F.col("weight") if level < math.inf else F.lit(False)
+        left = F.when(full, F.lit(0.0))
+        got = rows.agg(
+            F.count_if(full).alias("capped"), (F.sum("source_size") - F.sum(F.when(full, F.col("limit")).otherwise(0.0))).alias("words"), F.sum(F.coalesce(left, F.col("weight"))).alias("weight"),
+        ).first()
+        if got["capped"] == capped or not got["weight"]:
+            break
+        level, capped = got["words"] / got["weight"], got["capped"]
+    return rows.select("source", "source_size", "n_units", F.least(F.col("limit"), F.lit(level if level < math.inf else 0.0) * F.col("weight")).alias("target"))
 
 
 def _null_vector(a: np.ndarray) -> np.ndarray:
@@ -73,18 +84,47 @@ def _null_vector(a: np.ndarray) -> np.ndarray:
     return u if np.abs(u).max() > EDGE else np.array([1.0, 0.0, 0.0])
 
 
-def flight(x: np.ndarray, totals: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Move probabilities x (n) until fewer than three are between 0 and 1.
+def spread(x: np.ndarray, words: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Decide the giants: units of more than GIANT times the mean size, largest first.
+
+    The null-space direction of a giant has all smaller open units against it, each in
+    proportion to its room, so it ends at 0 or 1 while they stay open and the words stay
+    the same. A giant that they can't outweigh is left to the flight.
+    """
+    x = x.copy()
+    for g in np.argsort(-words, kind="stable"):
+        open_ = np.flatnonzero((x > EDGE) & (x < 1 - EDGE))
+        if not len(open_) or words[g] <= GIANT * words[open_].mean():
+            break
+        others = open_[(words[open_] <= words[g]) & (open_ != g)]
+        if not EDGE < x[g] < 1 - EDGE or not len(others):
+            continue
+        room = np.minimum(x[others] / (1 - x[g]), (1 - x[others]) / x[g])
+        mass = (words[others] * room).sum()
+        if mass <= words[g]:
+            continue
+        step = -words[g] / mass * room
+        move = 1 - x[g] if rng.random() < x[g] else -x[g]
+        x[others] = np.clip(x[others] + move * step, 0, 1)
+        x[g] = round(x[g] + move)
+    return x
+
+
+def flight(x: np.ndarray, totals: np.ndarray, rng: np.random.Generator, leave: int = 2) -> np.ndarray:
+    """Move probabilities x (n) until at most leave (two or more) are between 0 and 1.
 
     totals (2 x n): sum(totals * x) of both rows stays. The expectation of each
-    result is its probability.
+    result is its probability. Large units go first, so that small ones are left.
     """
     x = x.astype(float).copy()
+    size = totals[1]
     scale = np.abs(totals).max(axis=1, keepdims=True)
     totals = totals / np.where(scale > 0, scale, 1)
-    waiting = iter(np.flatnonzero((x > EDGE) & (x < 1 - EDGE)))
+    open_ = np.flatnonzero((x > EDGE) & (x < 1 - EDGE))
+    order = open_[np.argsort(-size[open_], kind="stable")]
+    waiting, left = iter(order), len(order)
     active = list(itertools.islice(waiting, 3))
-    while len(active) == 3:
+    while len(active) == 3 and left > leave:
         p, u = x[active], _null_vector(totals[:, active])
         with np.errstate(divide="ignore", invalid="ignore"):
             up = np.where(u > 0, (1 - p) / u, np.where(u < 0, -p / u, np.inf)).min()
@@ -94,6 +134,7 @@ def flight(x: np.ndarray, totals: np.ndarray, rng: np.random.Generator) -> np.nd
         p[p > 1 - EDGE] = 1
         x[active] = p
         active = [i for i in active if 0 < x[i] < 1]
+        left -= 3 - len(active)
         active += list(itertools.islice(waiting, 3 - len(active)))
     return x
 
@@ -101,11 +142,12 @@ def flight(x: np.ndarray, totals: np.ndarray, rng: np.random.Generator) -> np.nd
 def land(x: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """Round the few units left to the choice that keeps the words nearest, then the documents."""
     x = x.copy()
-    left = np.flatnonzero((x > 0) & (x < 1))
-    if not len(left):
-        return x
-    cost = lambda choice: tuple(np.abs(totals[:, left] @ (np.array(choice) - x[left]))[::-1].round(6))
-    x[left] = min(itertools.product((0.0, 1.0), repeat=len(left)), key=cost)
+    left = np.flatnonzero((x > EDGE) & (x < 1 - EDGE))
+    x[x <= EDGE], x[x >= 1 - EDGE] = 0, 1
+    if len(left):
+        choice = np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1
+        documents, words = np.abs((choice - x[left]) @ totals[:, left].T).round(6).T
+        x[left] = choice[np.lexsort((documents, words))[0]]
     return x
 
 
@@ -114,8 +156,8 @@ def _fly_block(last: bool, seed: int, level: int):
         pdf = pdf.sort_values(["h", "size"], kind="stable", na_position="last").reset_index(drop=True)
         rng = np.random.default_rng(zlib.crc32(f"{seed}|{level}|{key}".encode()))
         totals = np.stack([pdf["n_rows"].to_numpy(float), (pdf["size"] * pdf["n_rows"]).to_numpy(float)])
-        x = flight(pdf["x"].to_numpy(), totals, rng)
-        pdf["x"] = land(x, totals) if last else x
+        x = spread(pdf["x"].to_numpy(float), totals[1], rng)
+        pdf["x"] = land(flight(x, totals, rng, LANDING), totals) if last else flight(x, totals, rng)
         return pdf
 
     return run
@@ -167,13 +209,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     return drawn.select("id", "source", "size", "n_rows", "source_size", "target", copies.alias("copies"))
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs that the mix takes at least once, with the column mix_copies."""
-    choice = mix(docs, **options)
-    choice = choice.filter("copies > 0").select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("mix_copies"))
-    sized = docs.drop("mix_copies").withColumn("_n", n_words_of(F.col(options.get("text", "text"))))
-    same = F.col(options.get("id_col", "doc_id")).eqNullSafe(F.col("_id")) & F.col(options.get("source", "source")).eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    return sized.join(choice, same).drop("_id", "_source", "_size", "_n")
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """docs that the mix takes at least once, with the column mix_copies. Texts that it doesn't take are not shuffled."""
+    choice = materialize(mix(docs, id_col, text, source, **options).filter("copies > 0").select("id", "source", "size", "copies"), "choice")
+    key = F.xxhash64("id", "source", "size").alias("node")
+    box = boxed(docs, F.col(id_col).alias("id"), F.col(source).alias("source"), n_words_of(F.col(text)).alias("size"), names=[c for c in docs.columns if c != "mix_copies"])
+    taken = box.withColumn("node", key).filter(maybe_among(choice.select(key), "node"))
+    c = choice.select(F.col("id").alias("of_id"), F.col("source").alias("of_source"), F.col("size").alias("of_size"), "copies").hint("merge")
+    same = F.col("id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))
+    return taken.join(c, same).select("row.*", F.col("copies").alias("mix_copies"))
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
