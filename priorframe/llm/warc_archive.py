@@ -7,10 +7,12 @@ names the response). Joining headers to payloads gives back every record, and
 every page's payload, byte for byte.
 
 The first page (smallest id) with a payload is its response. Which page that is
-comes from an aggregate over digests, so payloads are not grouped: one is stored by
-a join on the page it belongs to. A payload that a third of all pages share is one
-row of the store; the join that hands it to its pages is split by adaptive skew
-handling.
+comes from an aggregate over digests, so payloads are not grouped. A payload of one
+page alone is stored where it is read; only those that more pages share are shuffled,
+to meet the page they belong to. A payload that a third of all pages share is one row
+of the store. What is known of a payload (its size and digests, counted from the
+stored bytes) is computed there, once, so a reader that asks for no bytes moves none;
+the join that hands payloads to their pages is split by adaptive skew handling.
 
 Edge cases: a null html is an empty payload; a null url gives no target URI; line
 breaks in a url are percent-encoded; rows that repeat the id and payload of a
@@ -26,7 +28,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorframe.llm.common import materialize, table
+from priorframe.llm.common import discard, materialize, table
+from priorframe.llm.node_filter import maybe_among
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -82,7 +85,8 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url: str = "url", h
     # Below min_bytes the id is part of the address, so that nothing is shared.
     address = F.when(F.octet_length("payload") >= min_bytes, content).otherwise(F.concat_ws("-", content, F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
     facts = rows.select("page_id", "url", F.octet_length("payload").cast("long").alias("n_bytes"), base32_sha1(F.col("payload")).alias("sha1"), address.alias("digest"))
-    first = facts.groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    facts = materialize(facts, "warc-facts")
+    first = materialize(facts.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "warc-first")
     known = facts.join(first, "digest")
     is_response = F.col("page_id").eqNullSafe(F.col("first_id"))
     header = record_header(F.col("page_id"), F.col("url"), F.col("n_bytes"), F.col("sha1"), is_response, F.col("first_id"), date)
@@ -90,9 +94,15 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url: str = "url", h
     # The stored bytes are those of the first page. Rows that repeat it have the same
     # key, so they fold into one where the join has already brought them together.
     key = lambda digest, page_id: F.concat_ws("/", digest, F.coalesce(page_id.cast("string"), F.lit("null")))
-    owner = first.select(key(F.col("digest"), F.col("first_id")).alias("key"))
-    stored = rows.select(key(address, F.col("page_id")).alias("key"), address.alias("digest"), "payload").join(owner, "key", "left_semi")
-    payloads = materialize(stored.dropDuplicates(["key"]).select("digest", "payload", F.octet_length("payload").cast("long").alias("n_bytes")), "warc-payloads")
+    many = first.filter("n > 1")
+    place = F.xxhash64("digest")
+    stored = rows.select(key(address, F.col("page_id")).alias("key"), address.alias("digest"), "payload")
+    stored = stored.withColumn("place", place).withColumn("shared", maybe_among(many.select(place.alias("node")), "place"))
+    alone = stored.filter("not shared").select("digest", "payload")
+    owner = first.select(key(F.col("digest"), F.col("first_id")).alias("key")).hint("merge")
+    owned = stored.filter("shared").drop("shared").join(owner, "key", "left_semi").dropDuplicates(["key"]).select("digest", "payload")
+    payloads = materialize(alone.unionByName(owned).withColumn("n_bytes", F.octet_length("payload").cast("long")), "warc-payloads")
+    discard(facts, first)
     return Archive(headers, payloads)
 
 
@@ -111,25 +121,32 @@ def verified_payloads(archive: Archive) -> DataFrame:
 
 
 def read_archive(archive: Archive) -> DataFrame:
-    """Records read back: page_id, record_type, refers_to, payload_digest, payload, record (the exact bytes)."""
-    joined = archive.headers.join(verified_payloads(archive), "digest")
+    """Records read back: page_id, record_type, refers_to, url, payload, payload_bytes and payload_digest (of the stored bytes), and record (the exact bytes).
+
+    Fails where the digest that a header states is not that of the stored bytes.
+    """
+    bytes_ = F.col("payload")
+    stored = verified_payloads(archive).select("digest", "payload", F.octet_length(bytes_).cast("long").alias("payload_bytes"), base32_sha1(bytes_).alias("payload_digest"))
+    joined = archive.headers.join(stored.hint("merge"), "digest")
     is_response = header_field("WARC-Type") == "response"
     end = F.lit("\r\n\r\n").cast("binary")
     record = F.concat(F.col("header").cast("binary"), F.when(is_response, F.col("payload")).otherwise(F.lit("").cast("binary")), end)
+    stated = F.substring(header_field("WARC-Payload-Digest"), 6, 32)
     return joined.select(
         page_of(header_field("WARC-Record-ID")).alias("page_id"),
         header_field("WARC-Type").alias("record_type"),
         page_of(header_field("WARC-Refers-To")).alias("refers_to"),
-        F.substring(header_field("WARC-Payload-Digest"), 6, 32).alias("payload_digest"),
+        "payload_bytes",
+        F.when(stated == F.col("payload_digest"), stated).otherwise(F.raise_error(F.lit("header and payload have different digests"))).alias("payload_digest"),
         header_field("WARC-Target-URI").alias("url"),
-        F.col("payload"),
+        "payload",
         record.alias("record"),
     )
 
 
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = read_archive(write_archive(table(spark, sf_dir, "pages")))
-    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", "refers_to")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP5_SQL = """
