@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorframe.llm import textkit
-from priorframe.llm.common import materialize, table
+from priorframe.llm.common import discard, materialize, table
 
 LENGTH = 400
 GRAM = 64
@@ -181,31 +181,50 @@ def string_hashes(marked: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_starts(runs: DataFrame, texts: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """node, at, n: ranges of starts of repeated strings. texts(marks) gives node, text of the nodes of marks, with their columns."""
+    """node, spans: ranges (at, n) of starts of repeated strings, by text. texts: node, text of all nodes that may have any."""
     classes = runs.groupBy("bucket", "context").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("owner"))
     classes = materialize(classes, "contexts")
     buckets = classes.groupBy("bucket").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("k"), F.count(F.when(F.col("c") == 1, 1)).alias("single")).filter("total > 1")
     buckets = materialize(buckets, "buckets")
-    shared = materialize(classes.join(buckets, "bucket"), "shared")
+    shared = materialize(with_totals(classes, buckets), "shared")
+    discard(classes, buckets)
     edge = (F.col("k") > 1) & (F.col("single") > 0)
     marks = runs.join(shared, ["bucket", "context"]).filter((F.col("c") > 1) | edge)
     subject = F.col("c") == 1
     marks = marks.select("node", "at", "n", "lead", (~subject).alias("full"), (edge & (subject | (F.col("node") == F.col("owner")))).alias("edge"), subject.cast("int").alias("subject"))
     marks = materialize(marks.distinct(), "marks")
+    discard(shared)
     found = marks.filter("full").select("node", "at", "n")
 
     listed = marks.filter("edge").groupBy("node").agg(F.collect_list(F.struct("at", "n", "lead", "subject")).alias("runs"))
     blocks = materialize(block_ranks(texts.join(listed, "node"), length, block), "blocks")
     twice = lambda c: materialize(blocks.groupBy(c).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(c), f"twice-{c}")
-    shared_core = blocks.join(twice("core"), "core")
-    ranked = materialize(shared_core.join(twice("rank").withColumn("whole", F.lit(True)), "rank", "left").withColumn("whole", F.coalesce("whole", F.lit(False))), "ranked")
+    core, rank = twice("core"), twice("rank")
+    shared_core = blocks.join(core, "core")
+    ranked = materialize(shared_core.join(rank.withColumn("whole", F.lit(True)), "rank", "left").withColumn("whole", F.coalesce("whole", F.lit(False))), "ranked")
+    discard(blocks, core, rank)
     found = found.unionByName(ranked.filter("whole and subject = 1").select("node", "at", "n"))
 
     unsure = ranked.filter("not whole and subject = 1").select("core").distinct()
     rest = ranked.join(unsure, "core", "left_semi").groupBy("node").agg(F.collect_list(F.struct("at", "n")).alias("blocks"))
     strings = materialize(string_hashes(texts.join(rest, "node"), length), "strings")
     again = materialize(strings.groupBy("string").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("string"), "again")
-    return found.unionByName(strings.join(again, "string").select("node", "at", F.lit(1).alias("n")))
+    found = found.unionByName(strings.join(again, "string").select("node", "at", F.lit(1).alias("n")))
+    out = materialize(found.groupBy("node").agg(F.collect_set(F.struct("at", "n")).alias("spans")), "spans")
+    discard(marks, ranked, strings, again)
+    return out
+
+
+#: A bucket with more than this part of all contexts is joined by broadcast; there are at most as many of them.
+HOT_PARTS = 2000
+
+
+def with_totals(classes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """classes with the totals of their buckets. A passage that many texts share is one bucket; its contexts stay where they are."""
+    bound = (buckets.agg(F.sum("k")).first()[0] or 0) / HOT_PARTS
+    hot = F.broadcast(buckets.filter(F.col("k") > bound))
+    cold = classes.join(hot.select("bucket"), "bucket", "left_anti").join(buckets.filter(F.col("k") <= bound).hint("merge"), "bucket")
+    return classes.join(hot, "bucket").unionByName(cold)
 
 
 def cut_texts(marked: DataFrame, length: int) -> DataFrame:
@@ -243,8 +262,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     owners = named.groupBy("node").agg(F.min("id").alias("first_id")).join(nodes, "node", "left_semi").select(key("first_id").alias("key"))
     texts = named.select("node", "text", key("id").alias("key")).join(owners, "key", "left_semi").dropDuplicates(["key"])
     texts = materialize(texts.select("node", "text"), "texts")
-    spans = repeated_starts(runs, texts, length, block).groupBy("node").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
-    return rows, cut_texts(texts.join(spans, "node"), length)
+    spans = repeated_starts(runs, texts, length, block)
+    discard(runs)
+    return rows, cut_texts(texts.join(spans.hint("merge"), "node"), length)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
