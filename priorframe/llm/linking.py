@@ -59,6 +59,8 @@ def open_nodes(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 #: Counters of elements; what is broadcast is 4 bytes for each.
 SLOTS = 1 << 20
+#: Columns of the parity bits of a set.
+PARITY = tuple(f"b{i}" for i in range(8))
 #: Pairs of a key that a join row group may try; a key with more is dealt out.
 KEY_PAIRS = 1 << 20
 
@@ -113,8 +115,18 @@ def element_counts(texts: DataFrame, shingles: Callable, weighted: bool) -> np.n
     return out
 
 
+def parity(element: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """A word for each of PARITY and each of n sets: the parity of how many elements fall on each bit.
+
+    Sets differ in at least as many elements as in bits.
+    """
+    width = 64 * len(PARITY)
+    odd = np.bincount(owner * width + (element >> np.uint64(40)).astype(np.int64) % width, minlength=n * width) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, width), axis=1, bitorder="little").view(np.int64).T
+
+
 def prefixes(texts: DataFrame, shingles: Callable, threshold: float, weighted: bool) -> DataFrame:
-    """node, label, text to node, label, size, and the elements of its prefix: key, pos, idx.
+    """node, label, text to node, label, size, parity bits, and the elements of its prefix: key, pos, idx.
 
     The order is by counter, then by hash. Two sets of similarity threshold have
     their first common element in the prefix of the larger one, and where idx holds
@@ -132,19 +144,21 @@ def prefixes(texts: DataFrame, shingles: Callable, threshold: float, weighted: b
                 size = np.bincount(owner, minlength=past - first)
                 pos = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
                 least = lambda share: (size - np.ceil(size * share - 1e-9).astype(np.int64) + 1)[owner]
+                bits = parity(element, owner, past - first)
                 keep = pos < least(threshold)
                 idx = (pos < least(2 * threshold / (1 + threshold)))[keep]
                 element, owner, pos = element[keep], owner[keep], pos[keep]
-                columns = [node[first:past][owner], label[first:past][owner], size[owner].astype(np.int64), element.view(np.int64), pos, idx]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "label", "size", "key", "pos", "idx"])
+                columns = [node[first:past][owner], label[first:past][owner], size[owner].astype(np.int64), element.view(np.int64), pos, idx, *bits[:, owner]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "label", "size", "key", "pos", "idx", *PARITY])
 
-    return texts.select("node", "label", "text").mapInArrow(run, "node long, label long, size long, key long, pos long, idx boolean")
+    return texts.select("node", "label", "text").mapInArrow(run, f"node long, label long, size long, key long, pos long, idx boolean, {', '.join(f'{p} long' for p in PARITY)}")
 
 
 def prefix_pairs(texts: DataFrame, shingles: Callable, threshold: float, weighted: bool) -> DataFrame:
     """Pairs (a > b) of nodes of different labels that hold all pairs of similarity threshold. texts: node, label, text.
 
     Of two labels one is not the most common of the key, so only its other nodes meet all.
+    Of the pairs that meet, those go on that sizes, positions and parity bits leave similar.
     """
     rows = materialize(prefixes(texts, shingles, threshold, weighted), "prefixes")
     of = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
@@ -152,16 +166,18 @@ def prefix_pairs(texts: DataFrame, shingles: Callable, threshold: float, weighte
     keys = materialize(keys.select("key", "top", F.least("n", F.ceil(F.col("n") * (F.col("n") - F.col("most")) / KEY_PAIRS)).cast("int").alias("deal")), "keys")
     met = materialize(rows.join(keys, "key"), "met")
     discard(rows, keys)
-    side = lambda df, x: df.select("key", "salt", *(F.col(c).alias(c + x) for c in ("node", "label", "size", "pos", "idx")))
+    side = lambda df, x: df.select("key", "salt", *(F.col(c).alias(c + x) for c in ("node", "label", "size", "pos", "idx", *PARITY)))
     x = side(met.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("deal")).cast("int")), "_x")
     y = side(met.filter("label <> top").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))), "_y")
     smaller = F.struct("size_x", "node_x") < F.struct("size_y", "node_y")
     # What a first common element leaves; a pair that is similar passes at its first.
     common = F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y"))
+    apart = sum((F.bit_count(F.col(f"{p}_x").bitwiseXOR(F.col(f"{p}_y"))) for p in PARITY), F.lit(0))
     met = (
         (F.col("label_x") != F.col("label_y")) & F.when(smaller, F.col("idx_x")).otherwise(F.col("idx_y"))
         & (F.least("size_x", "size_y") >= threshold * F.greatest("size_x", "size_y") - 1e-9)
         & (common >= threshold / (1 + threshold) * (F.col("size_x") + F.col("size_y")) - 1e-9)
+        & (apart <= (1 - threshold) / (1 + threshold) * (F.col("size_x") + F.col("size_y")) + 1e-9)
     )
     return x.join(y, ["key", "salt"]).filter(met).select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
 

@@ -18,8 +18,9 @@ named are the sections of one text that joins them with line feeds.
 
 Edge cases: null and empty texts have no tokens and no sections; a null field is an
 empty section; repeated rows are counted alike and all stay; strings of special
-tokens are ordinary text; extra columns pass through unless they have the name of a
-result column; an empty table gives no rows.
+tokens are ordinary text; very long texts are encoded whole like others, runs of any
+length included; extra columns pass through, whatever their names, unless it is that
+of a result column; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,8 +43,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that goes with the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RULES = ("start", "end", "majority", "split")
-#: A run of blanks longer than this is encoded in parts: the pattern's look-ahead backs up over the whole run.
-LONG_BLANKS = re.compile(r"(\s{5000})")
+#: Fixed value: what the pattern takes as blank.
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of blanks of this length are handed to the merges directly: the pattern engine's stack ends at about a million.
+LONG_RUN = 100_000
 
 RESULT = (
     T.StructField("n_tokens", T.LongType()),
@@ -65,12 +68,28 @@ def tokenizer(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+def token_ids(text: str, encoding, long_run: int = LONG_RUN) -> list[int]:
+    """Tokens of the whole text, the same with any long_run.
+
+    Of a run of blanks before another character the pattern makes one piece of all but
+    the last, of a run that ends the text one of all; no piece before it reaches into it
+    and none after it looks back. So the piece of a long run is merged by itself.
+    """
+    if len(text) < long_run:
+        return encoding.encode_ordinary(text)
+    out, at = [], 0
+    for run in re.finditer(f"[{BLANK}]{{{long_run},}}", text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += encoding.encode_ordinary(text[at : run.start()])
+        out += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:])
+
+
 def token_ends(text: str, path: str = TOKENIZER) -> np.ndarray:
     """End of each token in bytes of the UTF-8 text."""
     encoding, lengths = tokenizer(path)
-    parts = LONG_BLANKS.split(text) if len(text) > 5000 else [text]
-    ids = [encoding.encode_ordinary(p) for p in parts if p]
-    return np.cumsum(lengths[np.array([t for part in ids for t in part], np.int64)])
+    return np.cumsum(lengths[np.array(token_ids(text, encoding), np.int64)])
 
 
 def line_sections(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,9 +138,11 @@ def count_tokens(docs: DataFrame, text: str = "text", rule: str = "start", field
         raise ValueError(f"rule must be one of {RULES}")
     names = [f.name for f in RESULT]
     source = fields or (text,)
-    plain = docs.select(*(c for c in docs.columns if c not in names), *(F.col(c).alias(f"_field{i}") for i, c in enumerate(source)))
+    # Columns are told by their places, so names may repeat here.
+    plain = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names), *(F.col(f"`{c}`") for c in source))
     n_plain = len(plain.columns) - len(source)
     schema = T.StructType([*plain.schema.fields[:n_plain], *RESULT])
+    plain = plain.toDF(*(f"c{i}" for i in range(len(plain.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +162,7 @@ def count_tokens(docs: DataFrame, text: str = "text", rule: str = "start", field
                 crossing.append(int(crossed))
                 sections.append(found)
             columns = [batch.column(i) for i in range(n_plain)] + [pa.array(tokens, pa.int64()), pa.array(crossing, pa.int64()), pa.array(sections, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:n_plain], *names])
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return plain.mapInArrow(run, schema)
 

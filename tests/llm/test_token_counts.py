@@ -79,3 +79,20 @@ def test_query_and_empty_table(spark):
     rows = T.op3_token_counts(spark, "/root/testdata/sf0.001").collect()
     assert rows and all(sum(r.section_tokens) == r.n_tokens for r in rows)
     assert T.count_tokens(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_long_runs_are_encoded_as_in_the_whole_text():
+    encoding, _ = T.tokenizer(T.TOKENIZER)
+    cases = ["a" + "\u00a0" * 10_001 + "b", "a" + " " * 6_000 + "b", " " * 700, "x\n" + "\n" * 900 + "\x1c" + "\t" * 600, "a" + " " * 500 + "\u3000 b" + "\u2003" * 800]
+    for text in cases:
+        whole = encoding.encode_ordinary(text)
+        for long_run in (1, 2, 100, 5_000):
+            assert T.token_ids(text, encoding, long_run) == whole
+    assert len(T.token_ids(cases[0], encoding)) == 628
+    assert len(T.token_ids("a" + " " * 1_500_000 + "b", encoding)) == 1_500_001
+
+
+def test_extra_columns_with_names_of_its_own(spark):
+    docs = spark.createDataFrame([("a b", "f", 7)], "text string, _field0 string, c0 int")
+    row = T.count_tokens(docs).first()
+    assert (row["_field0"], row["c0"], row["n_tokens"]) == ("f", 7, 2)
