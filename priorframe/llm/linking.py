@@ -48,11 +48,11 @@ def candidate_pairs(bands: DataFrame, global_order: bool = True) -> tuple[DataFr
 
 
 def open_nodes(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """node, label of nodes that share a bucket with one of another component, where neither stands for the bucket."""
+    """node, label, shared (high halves of the buckets) of nodes that share a bucket with one of another component, where neither stands for the bucket."""
     large = members.filter(F.col("n") > F.size("reps") + 1).filter(~F.array_contains("reps", F.col("node"))).select("bucket", "node").distinct()
     known = materialize(large.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "labelled")
     mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    out = materialize(known.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "label").distinct(), "open")
+    out = materialize(known.join(mixed.select("bucket"), "bucket", "left_semi").groupBy("node", "label").agg(F.collect_set(F.shiftright("bucket", 32).cast("int")).alias("shared")), "open")
     discard(known)
     return out
 
@@ -126,7 +126,7 @@ def parity(element: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, shingles: Callable, threshold: float, weighted: bool) -> DataFrame:
-    """node, label, text to node, label, size, parity bits, and the elements of its prefix: key, pos, idx.
+    """node, label, shared, text to node, label, shared, size, parity bits, and the elements of its prefix: key, pos, idx.
 
     The order is by counter, then by hash. Two sets of similarity threshold have
     their first common element in the prefix of the larger one, and where idx holds
@@ -137,7 +137,7 @@ def prefixes(texts: DataFrame, shingles: Callable, threshold: float, weighted: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for first, past, buf, offsets in textkit.chunks(*textkit.utf8(batch.column(2)), STEP_BYTES):
+            for first, past, buf, offsets in textkit.chunks(*textkit.utf8(batch.column(3)), STEP_BYTES):
                 element, owner = units(*shingles(buf, offsets), weighted)
                 order = np.lexsort((element, counts.value[slots(element)], owner))
                 element, owner = element[order], owner[order]
@@ -149,16 +149,17 @@ def prefixes(texts: DataFrame, shingles: Callable, threshold: float, weighted: b
                 idx = (pos < least(2 * threshold / (1 + threshold)))[keep]
                 element, owner, pos = element[keep], owner[keep], pos[keep]
                 columns = [node[first:past][owner], label[first:past][owner], size[owner].astype(np.int64), element.view(np.int64), pos, idx, *bits[:, owner]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "label", "size", "key", "pos", "idx", *PARITY])
+                shared = batch.column(2).take(pa.array(first + owner))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), shared], names=["node", "label", "size", "key", "pos", "idx", *PARITY, "shared"])
 
-    return texts.select("node", "label", "text").mapInArrow(run, f"node long, label long, size long, key long, pos long, idx boolean, {', '.join(f'{p} long' for p in PARITY)}")
+    return texts.select("node", "label", "shared", "text").mapInArrow(run, f"node long, label long, size long, key long, pos long, idx boolean, {', '.join(f'{p} long' for p in PARITY)}, shared array<int>")
 
 
 def prefix_pairs(texts: DataFrame, shingles: Callable, threshold: float, weighted: bool) -> DataFrame:
-    """Pairs (a > b) of nodes of different labels that hold all pairs of similarity threshold. texts: node, label, text.
+    """Pairs (a > b) of nodes of different labels that hold all pairs of similarity threshold that share a bucket. texts: node, label, shared, text.
 
     Of two labels one is not the most common of the key, so only its other nodes meet all.
-    Of the pairs that meet, those go on that sizes, positions and parity bits leave similar.
+    Of the pairs that meet, those go on that share a bucket, and that sizes, positions and parity bits leave similar.
     """
     rows = materialize(prefixes(texts, shingles, threshold, weighted), "prefixes")
     of = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
@@ -166,7 +167,7 @@ def prefix_pairs(texts: DataFrame, shingles: Callable, threshold: float, weighte
     keys = materialize(keys.select("key", "top", F.least("n", F.ceil(F.col("n") * (F.col("n") - F.col("most")) / KEY_PAIRS)).cast("int").alias("deal")), "keys")
     met = materialize(rows.join(keys, "key"), "met")
     discard(rows, keys)
-    side = lambda df, x: df.select("key", "salt", *(F.col(c).alias(c + x) for c in ("node", "label", "size", "pos", "idx", *PARITY)))
+    side = lambda df, x: df.select("key", "salt", *(F.col(c).alias(c + x) for c in ("node", "label", "size", "pos", "idx", "shared", *PARITY)))
     x = side(met.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("deal")).cast("int")), "_x")
     y = side(met.filter("label <> top").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))), "_y")
     smaller = F.struct("size_x", "node_x") < F.struct("size_y", "node_y")
@@ -178,6 +179,7 @@ def prefix_pairs(texts: DataFrame, shingles: Callable, threshold: float, weighte
         & (F.least("size_x", "size_y") >= threshold * F.greatest("size_x", "size_y") - 1e-9)
         & (common >= threshold / (1 + threshold) * (F.col("size_x") + F.col("size_y")) - 1e-9)
         & (apart <= (1 - threshold) / (1 + threshold) * (F.col("size_x") + F.col("size_y")) + 1e-9)
+        & F.arrays_overlap("shared_x", "shared_y")
     )
     return x.join(y, ["key", "salt"]).filter(met).select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
 
