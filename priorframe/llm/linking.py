@@ -126,7 +126,7 @@ def parity(element: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, shingles: Callable, threshold: float, weighted: bool) -> DataFrame:
-    """node, label, shared, text to node, label, shared, size, parity bits, and the elements of its prefix: key, pos, idx.
+    """node, label, shared, text to node, label, shared, size, parity bits, and the elements of its prefix: key, pos, idx, and q1, q2 (the two before it).
 
     The order is by counter, then by hash. Two sets of similarity threshold have
     their first common element in the prefix of the larger one, and where idx holds
@@ -145,21 +145,24 @@ def prefixes(texts: DataFrame, shingles: Callable, threshold: float, weighted: b
                 pos = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
                 least = lambda share: (size - np.ceil(size * share - 1e-9).astype(np.int64) + 1)[owner]
                 bits = parity(element, owner, past - first)
+                # The elements before, or the node where there is none.
+                ahead = [np.where(pos < j, node[first:past][owner], np.roll(element, j).view(np.int64)) for j in (1, 2)]
                 keep = pos < least(threshold)
                 idx = (pos < least(2 * threshold / (1 + threshold)))[keep]
                 element, owner, pos = element[keep], owner[keep], pos[keep]
-                columns = [node[first:past][owner], label[first:past][owner], size[owner].astype(np.int64), element.view(np.int64), pos, idx, *bits[:, owner]]
+                columns = [node[first:past][owner], label[first:past][owner], size[owner].astype(np.int64), element.view(np.int64), pos, idx, *(q[keep] for q in ahead), *bits[:, owner]]
                 shared = batch.column(2).take(pa.array(first + owner))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), shared], names=["node", "label", "size", "key", "pos", "idx", *PARITY, "shared"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), shared], names=["node", "label", "size", "key", "pos", "idx", "q1", "q2", *PARITY, "shared"])
 
-    return texts.select("node", "label", "shared", "text").mapInArrow(run, f"node long, label long, size long, key long, pos long, idx boolean, {', '.join(f'{p} long' for p in PARITY)}, shared array<int>")
+    return texts.select("node", "label", "shared", "text").mapInArrow(run, f"node long, label long, size long, key long, pos long, idx boolean, q1 long, q2 long, {', '.join(f'{p} long' for p in PARITY)}, shared array<int>")
 
 
 def prefix_pairs(texts: DataFrame, shingles: Callable, threshold: float, weighted: bool) -> DataFrame:
     """Pairs (a > b) of nodes of different labels that hold all pairs of similarity threshold that share a bucket. texts: node, label, shared, text.
 
     Of two labels one is not the most common of the key, so only its other nodes meet all.
-    Of the pairs that meet, those go on that share a bucket, and that sizes, positions and parity bits leave similar.
+    Of the pairs that meet, those go on that share a bucket, and that sizes, positions and parity bits leave similar;
+    where the elements just before are common too, the pair has met before.
     """
     rows = materialize(prefixes(texts, shingles, threshold, weighted), "prefixes")
     of = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
@@ -167,7 +170,7 @@ def prefix_pairs(texts: DataFrame, shingles: Callable, threshold: float, weighte
     keys = materialize(keys.select("key", "top", F.least("n", F.ceil(F.col("n") * (F.col("n") - F.col("most")) / KEY_PAIRS)).cast("int").alias("deal")), "keys")
     met = materialize(rows.join(keys, "key"), "met")
     discard(rows, keys)
-    side = lambda df, x: df.select("key", "salt", *(F.col(c).alias(c + x) for c in ("node", "label", "size", "pos", "idx", "shared", *PARITY)))
+    side = lambda df, x: df.select("key", "salt", *(F.col(c).alias(c + x) for c in ("node", "label", "size", "pos", "idx", "q1", "q2", "shared", *PARITY)))
     x = side(met.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("deal")).cast("int")), "_x")
     y = side(met.filter("label <> top").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))), "_y")
     smaller = F.struct("size_x", "node_x") < F.struct("size_y", "node_y")
@@ -179,6 +182,7 @@ def prefix_pairs(texts: DataFrame, shingles: Callable, threshold: float, weighte
         & (F.least("size_x", "size_y") >= threshold * F.greatest("size_x", "size_y") - 1e-9)
         & (common >= threshold / (1 + threshold) * (F.col("size_x") + F.col("size_y")) - 1e-9)
         & (apart <= (1 - threshold) / (1 + threshold) * (F.col("size_x") + F.col("size_y")) + 1e-9)
+        & ~F.col("q1_x").isin(F.col("q1_y"), F.col("q2_y")) & ~F.col("q2_x").isin(F.col("q1_y"), F.col("q2_y"))
         & F.arrays_overlap("shared_x", "shared_y")
     )
     return x.join(y, ["key", "salt"]).filter(met).select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
