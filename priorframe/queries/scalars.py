@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from priorframe.functions import names as N, pmf as X, rates as R
 from priorframe.functions.prices import innings_to_outs, parse_line
-from priorframe.operators import aggregates as A, asof, episodes as epi, joins as J
+from priorframe.operators import aggregates as A, asof, episodes as epi, joins as J, ranking as K
 from priorframe.queries.base import BETS, BULK, BULK_DAYS, EPISODES, LOG, bets, bulk, bulk_days, episodes, log, query, r, read
 from priorframe.sources import files as S
 
@@ -89,12 +89,12 @@ def role_gate(spark, sf):
     return g.select("entity", "appearances", r("typical"), F.when(few, "few_appearances").when(short, "short_outings").alias("reason"), (~few & ~short).alias("startable"))
 
 
-@query("board_filter_rank", f"""WITH {BETS}, x AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN grade = 'PUSH' THEN 0 ELSE 1 END, prob DESC, bet) AS place FROM bets WHERE contains(lower(strength || ' ' || grade), 'build')) SELECT bet, CAST(place AS INTEGER) AS place FROM x WHERE place <= 200""")
+@query("board_filter_rank", f"""WITH {BETS}, x AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN grade = 'PUSH' THEN 0 ELSE 1 END, prob DESC, bet) AS place FROM bets WHERE contains(lower(strength || ' ' || grade), 'build')) SELECT bet, place FROM x""")
 def board(spark, sf):
     rows = bets(spark, sf).filter(F.lower(F.concat_ws(" ", "strength", "grade")).contains("build"))
-    rank = F.when(F.col("grade") == "PUSH", 0).otherwise(1)
-    top = rows.orderBy(rank, F.desc("prob"), "bet").limit(200)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(rank, F.desc("prob"), "bet"))).select("bet", "place")
+    # Probabilities are below 1: the group and the probability in one value.
+    rows = rows.withColumn("order", 2.0 * F.when(F.col("grade") == "PUSH", 0).otherwise(1) - F.col("prob"))
+    return K.global_rank(rows, "order", ["bet"], "place").select("bet", (F.col("place") + 1).alias("place"))
 
 
 @query("parse_reconstructed", f"WITH {LOG} SELECT event_id, NOT (CASE k % 6 WHEN 0 THEN 'false' WHEN 1 THEN '0.0' WHEN 2 THEN '' WHEN 3 THEN 'true' WHEN 4 THEN 'maybe' ELSE '' END IN ('0', '0.0', 'false', 'f', 'no', 'n', '')) AS reconstructed FROM log")
