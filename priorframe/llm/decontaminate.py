@@ -184,14 +184,30 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+#: Parts that a block is made of.
+BLOCK_PARTS = 8
+
+
 def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark in blocks of about block_bytes, dealt by hash."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """The benchmark, repeats left out, in blocks of at most block_bytes of text; a larger one is a single part of its own.
+
+    Rows are dealt to parts by hash, the parts are measured, and blocks are filled with
+    whole parts.
+    """
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    for b in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
-        yield [(r["item"], r["text"]) for r in part.collect()]
+    n = max(1, math.ceil(total / block_bytes) * BLOCK_PARTS)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    sizes = dealt.groupBy("part").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy("part").collect()
+    blocks, room = [[]], block_bytes
+    for part, size in sizes:
+        if size > room and blocks[-1]:
+            blocks.append([])
+            room = block_bytes
+        blocks[-1].append(part)
+        room -= size
+    for parts in blocks:
+        yield [(r["item"], r["text"]) for r in dealt.filter(F.col("part").isin(parts)).collect()]
 
 
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -198,5 +198,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-QUERIES = {"op2_quality_rules": op2_quality_rules}
-SQL = {"op2_quality_rules": OP2_SQL}
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy does to the whole table."""
+    return ablations(rule_ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+ABLATIONS_SQL = f"""
+WITH q AS ({OP2_SQL}),
+r AS (SELECT rule, CAST(bit AS BIGINT) AS bit
+      FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbol_heavy', 4), ('duplicate_lines', 8), ('word_length', 16), ('capitals', 32)) t(rule, bit))
+SELECT rule, count(*) FILTER (failed_bits & bit <> 0) AS n_failed, count(*) FILTER (failed_bits = bit) AS n_only_this,
+       count(*) FILTER (failed_bits <> 0) AS n_dropped, count(*) FILTER (failed_bits & ~bit <> 0) AS n_dropped_without,
+       bit_or(failed_bits) FILTER (failed_bits & bit <> 0) AS fails_together
+FROM q, r GROUP BY rule
+"""
+
+QUERIES = {"op2_quality_rules": op2_quality_rules, "quality_ablations": quality_ablations}
+SQL = {"op2_quality_rules": OP2_SQL, "quality_ablations": ABLATIONS_SQL}

@@ -68,3 +68,13 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], ITEMS)
     assert D.mark_contamination(spark.createDataFrame([], DOCS), none).collect() == []
     assert D.mark_contamination(spark.createDataFrame([(1, "a b", "", 1)], DOCS), none).first().hit_spans == []
+
+
+def test_blocks_hold_no_repeats_and_are_bounded(spark):
+    items = [("hot", "x" * 100)] * 500 + [(f"i{i}", f"text {i} " * 10) for i in range(40)] + [("long", "y" * 5000), (None, None)]
+    blocks = list(D.benchmark_blocks(spark.createDataFrame(items, ITEMS.replace("long", "string")), "item_id", "text", 1000))
+    assert sorted((i or "", t) for b in blocks for i, t in b) == sorted({(i or "", t or "") for i, t in items})
+    # Beyond the bound is only the part of the one text that is longer than a block.
+    large = [b for b in blocks if sum(len(t) for _, t in b) > 1000]
+    assert len(large) == 1 and "long" in [i for i, _ in large[0]]
+    assert list(D.benchmark_blocks(spark.createDataFrame([], ITEMS), "item_id", "text", 1000)) == [[]]
