@@ -53,6 +53,14 @@ def paired_test(df: DataFrame, a: str, b: str, y: str, cluster: list[str] | None
     return out.withColumn("z", F.when(F.col("se") > 0, F.col("gain") / F.col("se")).otherwise(F.lit(0.0)))
 
 
+def paired_by_group(df: DataFrame, keys: list[str], a: str, b: str, y: str) -> DataFrame:
+    """For each group: count, mean squared errors of a and b, the mean of their paired difference and its z (0 without spread)."""
+    miss = lambda c: (F.col(c) - F.col(y)) * (F.col(c) - F.col(y))
+    rows = df.select(*keys, miss(a).alias("_a"), miss(b).alias("_b")).withColumn("_d", F.col("_b") - F.col("_a"))
+    out = rows.groupBy(*keys).agg(F.count("_d").alias("n"), F.avg("_a").alias("brier_a"), F.avg("_b").alias("brier_b"), F.avg("_d").alias("gain"), (F.stddev_samp("_d") / F.sqrt(F.count("_d"))).alias("se"))
+    return out.withColumn("z", F.when(F.col("se") > 1e-12, F.col("gain") / F.col("se")).otherwise(F.lit(0.0)))
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs of columns with their correlation on complete rows: one aggregate."""
     clean = df.dropna(subset=columns)
@@ -107,15 +115,21 @@ def effect_directions(df: DataFrame, fit: Fit, signs: dict[str, int]) -> list[di
     return [{"term": t, "shift": shifts.get(t), "verdict": verdict(t)} for t in signs]
 
 
-def backtest(df: DataFrame, splits: dict[str, tuple[Column, Column]], features: list[str], y: str, naive: str) -> DataFrame:
-    """For each temporal split: a logistic model of the training rows against a naive probability, on the test rows."""
+def backtest(df: DataFrame, splits: dict[str, tuple[Column, Column]], features: list[str], y: str, naive: str, line: str | None = None) -> DataFrame:
+    """For each temporal split: a logistic model of the training rows against a naive probability, on the test rows; with line, for each line and for all ("all")."""
     parts = []
     for name, (train, test) in splits.items():
         fit = logistic(df.filter(train), features, y)
         p = 1 / (1 + F.exp(-fit.predictor()))
         rows = df.filter(test).dropna(subset=features).withColumn("_p", p)
         miss = lambda c: F.avg((F.col(c) - F.col(y)) * (F.col(c) - F.col(y)))
-        parts.append(rows.agg(miss("_p").alias("model"), miss(naive).alias("naive"), F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("split"), "*", (1 - F.col("model") / F.col("naive")).alias("skill")))
+        scored = [miss("_p").alias("model"), miss(naive).alias("naive"), F.count(F.lit(1)).alias("n")]
+        if line is None:
+            sets = rows.agg(*scored)
+        else:
+            sets = rows.withColumn("_line", F.col(line).cast("string")).groupingSets([["_line"], []], "_line").agg(*scored, F.grouping("_line").alias("_all"))
+            sets = sets.select(F.when(F.col("_all") == 1, "all").otherwise(F.col("_line")).alias("line"), "model", "naive", "n")
+        parts.append(sets.select(F.lit(name).alias("split"), "*", (1 - F.col("model") / F.nullif("naive", F.lit(0.0))).alias("skill")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -211,6 +211,12 @@ def backtest(spark, sf):
     return E.backtest(screen_rows(spark, sf), {"1": (e <= 1, e == 2), "2": (e <= 2, e == 3), "3": (e <= 3, e >= 4)}, ["signal", "k"], "y", "b")
 
 
+@query("backtest_by_line")
+def backtest_by_line(spark, sf):
+    e = F.col("epoch")
+    return E.backtest(screen_rows(spark, sf), {"1": (e <= 1, e == 2), "2": (e <= 2, e == 3), "3": (e <= 3, e >= 4)}, ["signal", "k"], "y", "b", "line")
+
+
 @query("regauntlet_drop_one")
 def regauntlet(spark, sf):
     return E.drop_one(screen_rows(spark, sf), F.col("epoch") <= 2, ["signal", "noise"], "y")
@@ -233,14 +239,18 @@ def directions(spark, sf):
     return spark.createDataFrame([(x["term"], x["shift"], x["verdict"]) for x in E.effect_directions(rows, f, {"signal": 1, "noise": -1, "career": 1})], "term string, shift double, verdict string")
 
 
-@query("prior_season_gate")
+@query("prior_season_gate", f"""WITH {EPISODES}, t AS (SELECT entity, epoch, sum(n) AS last_n, sum(s) AS last_s FROM ep GROUP BY ALL), a AS (SELECT *, coalesce(sum(s) OVER w, 0) AS ps, coalesce(sum(n) OVER w, 0) AS pn FROM ep WINDOW w AS (PARTITION BY entity, epoch ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  x AS (SELECT CASE WHEN last_n IS NULL THEN 'debut' WHEN last_n < 12 THEN 'thin' ELSE 'full' END AS "group", a.s / a.n::DOUBLE AS y, (ps + 20 * 0.2::DOUBLE) / (pn + 20) AS wo, (ps + 20 * ((coalesce(last_s, 0) + 20 * 0.2::DOUBLE) / (coalesce(last_n, 0) + 20))) / (pn + 20) AS wi FROM a LEFT JOIN t ON t.entity = a.entity AND t.epoch + 1 = a.epoch),
+  d AS (SELECT *, (wi - y) * (wi - y) AS bi, (wo - y) * (wo - y) AS bo FROM x), g AS (SELECT "group", count(*) AS n, avg(bi) AS bi, avg(bo) AS bo, avg(bo - bi) AS gain, stddev_samp(bo - bi) / sqrt(count(*)) AS se FROM d GROUP BY "group")
+  SELECT "group", n, round(bi, 6) AS brier_with, round(bo, 6) AS brier_without, round(gain, 7) AS gain, round(CASE WHEN se > 1e-12 THEN gain / se ELSE 0 END, 3) AS z FROM g""")
 def season_gate(spark, sf):
+    """What last epoch's rate adds to the as-of rate: paired by row, by how much of last epoch is known."""
     ep = asof.prior_sums(episodes(spark, sf), ["entity", "epoch"], ["day"], ["n", "s"])
     last = asof.previous_epoch(episodes(spark, sf), "entity", "epoch", ["n", "s"]).select("entity", "epoch", "last_n", "last_s")
     x = ep.join(last, ["entity", "epoch"]).withColumn("y", F.col("s") / F.col("n")).withColumn("without", shrink_rate("prior_s", "prior_n", 0.2, 20))
-    x = x.withColumn("prior", F.coalesce(shrink_rate("last_s", "last_n", 0.2, 20), F.lit(0.2))).withColumn("with_prior", shrink_rate("prior_s", "prior_n", "prior", 20))
-    debut = F.when(F.col("last_n").isNull(), "debut").otherwise("known")
-    return x.groupBy(debut.alias("group")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("with_prior") - F.col("y"), F.lit(2.0))).alias("brier_with"), F.avg(F.pow(F.col("without") - F.col("y"), F.lit(2.0))).alias("brier_without"))
+    x = x.withColumn("prior", shrink_rate("last_s", "last_n", 0.2, 20)).withColumn("with_prior", shrink_rate("prior_s", "prior_n", "prior", 20))
+    x = x.withColumn("group", F.when(F.col("last_n").isNull(), "debut").when(F.col("last_n") < 12, "thin").otherwise("full"))
+    return E.paired_by_group(x, ["group"], "with_prior", "without", "y").select("group", "n", r("brier_a", 6).alias("brier_with"), r("brier_b", 6).alias("brier_without"), r("gain", 7), r("z", 3))
 
 
 @query("daily_board")

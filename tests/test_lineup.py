@@ -89,3 +89,21 @@ def test_leaks_are_counted(spark):
 def test_noise_does_not_pass(world):
     e = F.col("epoch")
     assert E.noise_floor(world, ["x"], "id", "y", [e <= s for s in (0, 1)], 5) < 0.05
+
+
+def test_backtest_by_line_adds_up(world):
+    e = F.col("epoch")
+    rows = world.withColumn("line", F.col("id") % 3)
+    got = E.backtest(rows, {"a": (e <= 1, e == 2)}, ["junk"], "y", "b", "line").collect()
+    whole = E.backtest(rows, {"a": (e <= 1, e == 2)}, ["junk"], "y", "b").first()
+    lines = [x for x in got if x["line"] != "all"]
+    assert {x["line"] for x in got} == {"0", "1", "2", "all"} and sum(x["n"] for x in lines) == whole["n"]
+    for c in ("model", "naive"):
+        assert math.isclose(sum(x[c] * x["n"] for x in lines) / whole["n"], whole[c], rel_tol=1e-9)
+        assert math.isclose(next(x[c] for x in got if x["line"] == "all"), whole[c], rel_tol=1e-9)
+
+
+def test_paired_by_group(spark):
+    df = spark.createDataFrame([("u", 0.5, 0.4, 1), ("u", 0.9, 0.2, 1), ("v", 0.3, 0.3, 0)], "g string, a double, b double, y int")
+    got = {x["g"]: x for x in E.paired_by_group(df, ["g"], "a", "b", "y").collect()}
+    assert math.isclose(got["u"]["gain"], ((0.36 - 0.25) + (0.64 - 0.01)) / 2) and got["u"]["z"] > 0 and (got["v"]["gain"], got["v"]["z"]) == (0.0, 0.0)
