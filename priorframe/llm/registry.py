@@ -15,6 +15,7 @@ MODULES = (
     "suffix_dedup",
     "near_dup",
     "toxicity",
+    "hard_negatives",
 )
 
 
