@@ -16,6 +16,8 @@ MODULES = (
     "near_dup",
     "toxicity",
     "hard_negatives",
+    "conversation_repair",
+    "quality_classifier",
 )
 
 
