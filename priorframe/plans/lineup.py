@@ -56,30 +56,6 @@ def over_league(days: DataFrame, entity: str, day: str, trials: str, hits: str,
     return own.join(league, day).select(entity, day, (gated_rate(f"prior_{hits}", f"prior_{trials}", least) - F.col("_q")).alias(name))
 
 
-def personal_form(log: DataFrame, entity: str, episode: list[str], order: list[str], in_zone: Column, strike: Column, success: str, early: int, late: tuple[int, int], gates: tuple[int, int, int], least_load: int) -> DataFrame:
-    """One row an entity: share in the zone (of known ones), share of good first attempts, success early and late in an episode and their difference, load of the last long episode.
-
-    gates: fewest known zones, first attempts and trials; below them the values are
-    null, as are early and late rates of which either has no trial.
-    """
-    seq = F.row_number().over(Window.partitionBy(entity, *episode).orderBy(*order))
-    rows = log.withColumn("_zone", in_zone).withColumn("_strike", strike).withColumn("_seq", seq)
-    first, near, far = F.col("_seq") == 1, F.col("_seq") <= early, F.col("_seq").between(*late)
-    rate = lambda at: F.avg(F.when(at, F.col(success).cast("double")))
-    g = rows.groupBy(entity).agg(
-        F.count(F.lit(1)).alias("n"), F.count("_zone").alias("_nz"), F.avg(F.col("_zone").cast("double")).alias("_z"), F.sum(first.cast("long")).alias("_nf"),
-        F.avg(F.when(first, F.col("_strike").cast("double"))).alias("_f"), rate(near).alias("_e"), rate(far).alias("_l"),
-    )
-    gate = lambda n, least, x: F.when(F.col(n) >= least, x)
-    both = F.col("_e").isNotNull() & F.col("_l").isNotNull()
-    out = g.select(
-        entity, "n", gate("_nz", gates[0], F.col("_z")).alias("zone_share"), gate("_nf", gates[1], F.col("_f")).alias("first_share"),
-        gate("n", gates[2], F.when(both, F.col("_e"))).alias("early_rate"), gate("n", gates[2], F.when(both, F.col("_l"))).alias("late_rate"),
-    ).withColumn("decay", F.col("late_rate") - F.col("early_rate"))
-    loads = log.groupBy(entity, *episode).agg(F.count(F.lit(1)).alias("_load")).filter(F.col("_load") >= least_load)
-    return out.join(loads.groupBy(entity).agg(F.max_by("_load", F.struct(*episode)).alias("prior_load")), entity, "left")
-
-
 def slot_stats(log: DataFrame, entity: str, slot: str, hit: str) -> DataFrame:
     """Trials, rate and the spread of entities' rates by slot."""
     cells = log.groupBy(slot, entity).agg(F.count(F.lit(1)).alias("_n"), F.sum(hit).alias("_h"))

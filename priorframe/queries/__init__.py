@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("windows", "positions", "aggregates", "scalars", "models", "builders", "lineups", "screens")
+MODULES = ("windows", "positions", "aggregates", "scalars", "models", "builders", "lineups", "screens", "candidates", "streams")
 
 
 def load() -> tuple[dict, dict]:

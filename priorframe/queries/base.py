@@ -12,9 +12,11 @@ SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register a query under name, with its SQL if there is one."""
+    """Register a query under name, with its SQL if there is one. A name is given once."""
 
     def add(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered already")
         QUERIES[name] = f
         if sql is not None:
             SQL[name] = sql

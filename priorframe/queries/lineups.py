@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from priorframe.functions.rates import gated_rate, safe_rate
 from priorframe.operators import asof
-from priorframe.plans import features as B, lineup as L
+from priorframe.plans import lineup as L
 from priorframe.queries.aggregates import FLAGS, flagged
 from priorframe.queries.base import BULK, BULK_DAYS, EPISODES, LOG, bulk, bulk_days, episodes, log, query, r
 from priorframe.sources import files
@@ -89,39 +89,6 @@ def staff_features(spark, sf):
     return x.select("day", "entity", *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("catcher_called", "umpire_called")), (F.col("side") == 0).alias("is_home"))
 
 
-FORM = f"""{LOG}{FLAGS}, q AS (SELECT *, row_number() OVER (PARTITION BY entity, day ORDER BY ts, event_id) AS seq, CASE WHEN k <> 7 THEN value <= 50 END AS z FROM f),
-  h AS (SELECT entity, count(*) AS n, count(z) AS nz, avg(z::INT) AS z, count(*) FILTER (seq = 1) AS nf, avg(swing) FILTER (seq = 1) AS fs, avg(success) FILTER (seq <= 2) AS e, avg(success) FILTER (seq BETWEEN 4 AND 6) AS l FROM q GROUP BY entity),
-  ld AS (SELECT entity, arg_max(n, day) AS prior_load FROM (SELECT entity, day, count(*) AS n FROM log GROUP BY ALL) WHERE n >= 2 GROUP BY entity),
-  fm AS (SELECT entity, n, CASE WHEN nz >= 50 THEN z END AS zone_share, CASE WHEN nf >= 20 THEN fs END AS first_share, CASE WHEN n >= 50 AND e IS NOT NULL AND l IS NOT NULL THEN e END AS early_rate, CASE WHEN n >= 50 AND e IS NOT NULL AND l IS NOT NULL THEN l END AS late_rate, prior_load FROM h LEFT JOIN ld USING (entity))"""
-
-
-def form(spark, sf):
-    zone = F.when(F.col("k") != 7, F.col("value") <= 50)
-    return L.personal_form(flagged(spark, sf), "entity", ["day"], ["ts", "event_id"], zone, F.col("swing") == 1, "success", 2, (4, 6), (50, 20, 50), 2)
-
-
-@query("personal_form", f"WITH {FORM} SELECT entity, n, round(zone_share, 6) AS zone_share, round(first_share, 6) AS first_share, round(early_rate, 6) AS early_rate, round(late_rate, 6) AS late_rate, round(late_rate - early_rate, 6) AS decay, prior_load FROM fm")
-def personal_form(spark, sf):
-    return form(spark, sf).select("entity", "n", r("zone_share"), r("first_share"), r("early_rate"), r("late_rate"), r("decay"), "prior_load")
-
-
-#: Candidates: built where the columns that they need are present.
-CANDIDATES = B.Registry()
-CANDIDATES.add(B.Feature("zone_gap", ("zone_share",), lambda df: F.col("zone_share") - 0.5, 1))
-CANDIDATES.add(B.Feature("fatigue", ("decay", "prior_load"), lambda df: F.col("decay") * F.least(F.col("prior_load") / 6.0, F.lit(1.0)), -1, collinear_with=("decay",)))
-CANDIDATES.add(B.Feature("quick_start", ("first_share", "early_rate"), lambda df: F.col("first_share") * F.col("early_rate"), 1))
-CANDIDATES.add(B.Feature("heavy_last", ("prior_load",), lambda df: (F.col("prior_load") >= 5).cast("int"), -1))
-CANDIDATES.add(B.Feature("short_rest", ("days_since_prior",), lambda df: (F.col("days_since_prior") <= 1).cast("int"), -1))
-
-
-@query("candidate_features", f"""WITH {FORM}, d AS (SELECT entity, day, CAST(day - lag(day) OVER (PARTITION BY entity ORDER BY day) AS INTEGER) AS since FROM (SELECT DISTINCT entity, day FROM log))
-  SELECT entity, day, round(zone_share - 0.5, 6) AS zone_gap, round((late_rate - early_rate) * least(prior_load / 6.0::DOUBLE, 1.0) + 1e-9, 6) AS fatigue, round(first_share * early_rate + 1e-9, 6) AS quick_start, CAST(prior_load >= 5 AS INTEGER) AS heavy_last, CAST(since <= 1 AS INTEGER) AS short_rest FROM d JOIN fm USING (entity)""")
-def candidate_features(spark, sf):
-    days = asof.lag_diff(episodes(spark, sf), ["entity"], ["day"], "day", "n").select("entity", "day", "days_since_prior")
-    x = CANDIDATES.apply(days.join(form(spark, sf), "entity"))
-    return x.select("entity", "day", r("zone_gap"), F.round(F.col("fatigue") + 1e-9, 6).alias("fatigue"), F.round(F.col("quick_start") + 1e-9, 6).alias("quick_start"), "heavy_last", "short_rest")
-
-
 @query("slot_stats", f"WITH {BULK}, c AS (SELECT slot, entity, count(*) AS n, sum(success) AS h FROM bulk GROUP BY ALL) SELECT slot, CAST(sum(n) AS BIGINT) AS n, round(sum(h) / sum(n)::DOUBLE, 6) AS rate, round(stddev_samp(h / n::DOUBLE), 6) AS spread, count(*) AS entities FROM c GROUP BY slot")
 def slot_stats(spark, sf):
     return L.slot_stats(bulk(spark, sf), "entity", "slot", "success").select("slot", "n", r("rate"), r("spread"), "entities")

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from priorframe.functions import pmf as X
 from priorframe.functions.rates import safe_rate, shrink_rate, sigmoid
-from priorframe.operators import asof, market as M, quality as Q
+from priorframe.operators import asof, market as M, quality as Q, slates
 from priorframe.plans import evaluate as E, fit
 from priorframe.queries.base import BETS, EPISODES, LOG, bets, episodes, log, query, r
 from priorframe.streaming import live
@@ -87,12 +87,6 @@ def blockers(spark, sf):
     return E.promotion_blockers(g, "n", "z").select("kind", "ready", F.size("blockers").alias("blockers"))
 
 
-@query("blend_weight", f"WITH {PREDS} SELECT round(avg((p - b) * (y - b)) / avg((p - b) * (p - b)), 6) AS w FROM pr")
-def blend_weight(spark, sf):
-    d = F.col("p") - F.col("b")
-    return preds(spark, sf).agg(F.round(F.avg(d * (F.col("y") - F.col("b"))) / F.avg(d * d), 6).alias("w"))
-
-
 @query("ols_fit", f"WITH {PREDS} SELECT round(regr_slope(value, k), 7) AS slope, round(regr_intercept(value, k), 6) AS intercept FROM pr")
 def ols(spark, sf):
     f = fit.ols(preds(spark, sf), ["k"], "value")
@@ -333,12 +327,6 @@ def closing_stream(spark, sf):
     return live.run_complete(live.closing_lines(rows, ["entity", "day"], "ts", "start", "value"), "closing").select("entity", "day", "close")
 
 
-@query("staleness_stream", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 06:00:00' AND ts <= TIMESTAMP '2024-01-20 12:00:00'")
-def staleness_stream(spark, sf):
-    rows = event_stream(spark, sf).withWatermark("ts", "6 hours")
-    return live.run_append(rows.filter("ts >= timestamp '2024-01-20 06:00:00' and ts <= timestamp '2024-01-20 12:00:00'").select("event_id"), "fresh")
-
-
 @query("windowed_stream", f"WITH {LOG} SELECT kind, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, round(sum(value), 4) AS total FROM log GROUP BY ALL")
 def windowed_stream(spark, sf):
     rows = event_stream(spark, sf).groupBy("kind", F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
@@ -348,16 +336,16 @@ def windowed_stream(spark, sf):
 @query("settled_flag", f"WITH {LOG}, o AS (SELECT day, list(k ORDER BY t, k) AS ord FROM (SELECT day, k, min(event_id) AS t FROM log GROUP BY ALL) GROUP BY day) SELECT event_id, list_position(ord, (k + 1) % 100) IS NOT NULL AS appeared, kind = 'signup' OR coalesce(list_position(ord, (k + 1) % 100) < len(ord), false) AS settled FROM log JOIN o USING (day)")
 def settled(spark, sf):
     e = log(spark, sf)
-    o = e.groupBy("day", "k").agg(F.min("event_id").alias("t")).groupBy("day").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "k"))), lambda x: x["k"]).alias("ord"))
-    rows = e.join(o, "day").withColumn("actor", (F.col("k") + 1) % 100).withColumn("terminal", F.col("kind") == "signup")
-    return live.settled_flag(rows, "actor", "ord", "terminal").select("event_id", "appeared", "settled")
+    order = slates.appearances(e, ["day"], "k", "event_id").withColumnRenamed("k", "actor")
+    rows = e.withColumn("actor", (F.col("k") + 1) % 100).withColumn("terminal", F.col("kind") == "signup")
+    return slates.settled_flag(rows, order, ["day"], "actor", "terminal").select("event_id", "appeared", "settled")
 
 
 @query("carryover_timeout", f"WITH {LOG}, d AS (SELECT day, bool_and(kind <> 'error') AS done FROM log GROUP BY day) SELECT day, done, day = DATE '2024-01-21' OR (day = DATE '2024-01-20' AND NOT done) AS active FROM d")
 def carryover(spark, sf):
-    return live.carried_keys(log(spark, sf).withColumn("final", F.col("kind") != "error"), "day", "final", "2024-01-21 03:00:00", 6)
+    return slates.carried_keys(log(spark, sf).withColumn("final", F.col("kind") != "error"), "day", "final", "2024-01-21 03:00:00", 6)
 
 
 @query("late_data_refetch", f"WITH {LOG} SELECT day, count(*) AS rows, DATE '2024-01-30' - day >= 2 AS is_final FROM log GROUP BY day")
 def late(spark, sf):
-    return live.late_days(log(spark, sf), "day", "2024-01-30")
+    return slates.late_days(log(spark, sf), "day", "2024-01-30")

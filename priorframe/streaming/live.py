@@ -60,26 +60,6 @@ def latest_state(rows: DataFrame, keys: list[str], seq: str, values: list[str],
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(F.col(final), F.col(seq))).alias("_s"), F.bool_or(final).alias("final"), F.count(F.lit(1)).alias("polls")).select(*keys, "_s.*", "final", "polls")
 
 
-def settled_flag(rows: DataFrame, actor: str, order: str, terminal: str) -> DataFrame:
-    """settled: a later actor has appeared or the state is terminal; an actor not in the order has not appeared, which is not having left."""
-    place = F.array_position(order, F.col(actor))
-    return rows.withColumn("appeared", place > 0).withColumn("settled", F.col(terminal) | ((place > 0) & (place < F.size(order))))
-
-
-def late_days(rows: DataFrame, day: str, as_of: str, days: int = 2) -> DataFrame:
-    """Days with their rows; a day is final once it is days old and not empty."""
-    n = rows.groupBy(day).agg(F.count(F.lit(1)).alias("rows"))
-    return n.withColumn("is_final", (F.datediff(F.lit(as_of).cast("date"), F.col(day)) >= days) & (F.col("rows") > 0))
-
-
-def carried_keys(rows: DataFrame, day: str, final: str, as_of: str, cutoff_hour: int) -> DataFrame:
-    """Days that still take updates at as_of: its own, and the day before until all its keys are final or the hour has come."""
-    now = F.lit(as_of).cast("timestamp")
-    age = F.datediff(F.to_date(now), F.col(day))
-    open_ = rows.groupBy(day).agg(F.bool_and(final).alias("done"))
-    return open_.withColumn("active", (age == 0) | ((age == 1) & ~F.col("done") & (F.hour(now) < cutoff_hour)))
-
-
 def closing_lines(rows: DataFrame, keys: list[str], captured: str, start: str, price: str) -> DataFrame:
     """Last price captured up to the start, by key."""
     return rows.filter(F.col(captured) <= F.col(start)).groupBy(*keys).agg(F.max_by(price, captured).alias("close"), F.max(captured).alias("at"))

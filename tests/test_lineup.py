@@ -32,16 +32,6 @@ def test_first_slots_keep_nine_in_order(spark):
     assert got == {m: m + 1 for m in range(9)}
 
 
-def test_personal_form_gates(spark):
-    rows = [(1, d, i, 1, int(i == 0)) for d in range(3) for i in range(4)] + [(2, 0, 0, None, 1)]
-    log = spark.createDataFrame(rows, "entity int, day int, t int, zone int, good int")
-    f = lambda gates: {x["entity"]: x for x in L.personal_form(log, "entity", ["day"], ["t"], F.col("zone") == 1, F.col("good") == 1, "good", 1, (2, 4), gates, 2).collect()}
-    got = f((12, 3, 12))
-    assert (got[1]["zone_share"], got[1]["first_share"], got[1]["decay"], got[1]["prior_load"]) == (1.0, 1.0, -1.0, 4)
-    assert got[2]["zone_share"] is None and got[2]["first_share"] is None and got[2]["prior_load"] is None
-    assert f((13, 4, 13))[1]["zone_share"] is None
-
-
 def test_over_league_is_strictly_before(spark):
     days = spark.createDataFrame([(1, 1, 10, 5), (2, 1, 10, 1), (1, 2, 10, 10)], "id int, day int, t int, h int")
     got = {(x["id"], x["day"]): x["d"] for x in L.over_league(days, "id", "day", "t", "h", 10, "d").collect()}
