@@ -1,9 +1,9 @@
 """Corpus pipeline: quality rules, line dedup, near-dedup, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept.
-All but the last return the columns of documents. Defined for null and empty texts,
-ties, repeated rows and extra columns as the operators are; an empty table passes
-through empty.
+All but the last return the columns of documents. Defined for null, empty and very long
+texts (always whole), ties, repeated rows and extra columns (whatever their names) as the
+operators are; an empty table passes through empty.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorframe.llm.common import materialize, table
+from priorframe.llm.common import boxed, materialize, table
 from priorframe.llm.decontaminate import contaminated, mark_contamination
 from priorframe.llm.line_dedup import drop_duplicate_lines
 from priorframe.llm.mixing import mix_documents
@@ -19,11 +19,6 @@ from priorframe.llm.near_dup import keep_one_of_each
 from priorframe.llm.quality_rules import keep_documents
 
 
-def _boxed(docs: DataFrame) -> DataFrame:
-    """Whole rows in one column beside the text, so that no name can clash with a result's."""
-    return docs.select(F.struct(*docs.columns).alias("_row"), "text")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a rule of the policy go."""
     return keep_documents(docs)
@@ -41,8 +36,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    marked = mark_contamination(_boxed(docs), table(spark, sf_dir, "benchmark"))
-    return marked.filter(~contaminated()).select("_row.*")
+    marked = mark_contamination(boxed(docs, F.col("text")), table(spark, sf_dir, "benchmark"))
+    return marked.filter(~contaminated()).select("row.*")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

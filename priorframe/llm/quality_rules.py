@@ -7,10 +7,11 @@ without one of its rules, reads the bits and never the texts again.
 
 Everything on the path is a column expression; documents are never shuffled.
 
-Edge cases: a null or empty text has no words and fails ``few_words``; repeated
-rows are judged alike and all stay in the ledger; other columns pass through
-unless they have the name of a ledger column, which then holds the ledger's
-value; an empty table gives an empty ledger.
+Edge cases: a null or empty text has no words and fails ``few_words``; a very long text
+is measured whole, in the one row that it is (its arrays of words and windows are held
+once); repeated rows are judged alike and all stay in the ledger; other columns pass
+through, whatever their names (dots too), unless they have the name of a ledger column,
+which then holds the ledger's value; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorframe.llm.common import BLANKS, table, words_of
+from priorframe.llm.common import BLANKS, boxed, table, words_of
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -87,11 +88,12 @@ def _covered(positions: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the measurement columns to docs."""
-    names = [c for c in docs.columns if c not in (*MEASURES, "failed_bits")]
-    whole = F.coalesce(F.col(text), F.lit(""))
+    """Add the measurement columns to docs, whose own names can't clash with any on the way."""
+    box = boxed(docs, F.col(f"`{text}`").alias("text"), names=[c for c in docs.columns if c not in (*MEASURES, "failed_bits")])
+    names = ["row"]
+    whole = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: F.translate(x, " " + BLANKS, "") != "")
-    step = docs.select(*names, words_of(F.col(text)).alias("_words"), lines.alias("_lines"), whole.alias("_whole"))
+    step = box.select(*names, words_of(F.col("text")).alias("_words"), lines.alias("_lines"), whole.alias("_whole"))
     count = F.size("_words")
     windows = F.when(count >= WINDOW, F.transform(F.sequence(F.lit(1), count - WINDOW + 1), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))))
     step = step.select(
@@ -111,7 +113,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     step = step.select(*kept, ordered.alias("_ordered"))
     step = step.select(*kept, _repeat_positions(F.col("_ordered")).alias("_starts"))
     repeated = F.coalesce(_covered(F.col("_starts")), F.lit(0)).cast("long")
-    return step.select(*kept, repeated.alias("n_repeat_words")).select(*names, *MEASURES)
+    return step.select(*kept, repeated.alias("n_repeat_words")).select("row.*", *MEASURES)
 
 
 def rule_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -132,10 +134,9 @@ def keep_documents(docs: DataFrame, policy: str = "v1", text: str = "text") -> D
     on it stays above the measurements, where otherwise the optimizer would copy the
     tree of all rules into it once for every use of a measurement.
     """
-    boxed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
-    ledger = apply_policy(rule_ledger(boxed, "_text"), policy)
-    kept = ledger.select("_row", (F.col("kept") & (F.spark_partition_id() >= 0)).alias("_kept"))
-    return kept.filter("_kept").select("_row.*")
+    ledger = apply_policy(rule_ledger(boxed(docs, F.col(f"`{text}`").alias("text"))), policy)
+    kept = ledger.select("row", (F.col("kept") & (F.spark_partition_id() >= 0)).alias("kept"))
+    return kept.filter("kept").select("row.*")
 
 
 def ablations(ledger: DataFrame, policy: str = "v1") -> DataFrame:

@@ -10,12 +10,12 @@ The first page (smallest id) with a payload is its response. Which page that is
 comes from an aggregate over digests, so payloads are not grouped. A payload of one
 page alone is stored where it is read; only those that more pages share are shuffled,
 to meet the page they belong to. A payload that a third of all pages share is one row
-of the store. What is known of a payload (its size and digests, counted from the
-stored bytes) is computed there, once, so a reader that asks for no bytes moves none;
-the join that hands payloads to their pages is split by adaptive skew handling.
+of the store. A reader joins headers to payloads and rebuilds every page's record; what it
+tells of a payload (size and digest) is counted from the rebuilt bytes. That join is
+split by adaptive skew handling.
 
 Edge cases: a null html is an empty payload; a null url gives no target URI; line
-breaks in a url are percent-encoded; rows that repeat the id and payload of a
+breaks in a url are percent-encoded; a very long payload is one row, whole; rows that repeat the id and payload of a
 response are responses too; pages with a null id sort last, and are responses only
 where no page with the same payload has an id; an empty table gives empty stores;
 extra columns are left alone.
@@ -121,16 +121,21 @@ def verified_payloads(archive: Archive) -> DataFrame:
 
 
 def read_archive(archive: Archive) -> DataFrame:
-    """Records read back: page_id, record_type, refers_to, url, payload, payload_bytes and payload_digest (of the stored bytes), and record (the exact bytes).
+    """Records read back: page_id, record_type, refers_to, url, original (the header with the page's whole payload), payload, payload_bytes and payload_digest, and record (the exact bytes).
 
-    Fails where the digest that a header states is not that of the stored bytes.
+    A page's payload is cut out of its rebuilt original, behind the header, and its size
+    and digest are those of these bytes. Fails where the digest that a header states is
+    not theirs.
     """
-    bytes_ = F.col("payload")
-    stored = verified_payloads(archive).select("digest", "payload", F.octet_length(bytes_).cast("long").alias("payload_bytes"), base32_sha1(bytes_).alias("payload_digest"))
+    stored = verified_payloads(archive).select("digest", F.col("payload").alias("stored"))
     joined = archive.headers.join(stored.hint("merge"), "digest")
     is_response = header_field("WARC-Type") == "response"
-    end = F.lit("\r\n\r\n").cast("binary")
-    record = F.concat(F.col("header").cast("binary"), F.when(is_response, F.col("payload")).otherwise(F.lit("").cast("binary")), end)
+    end, n_end = F.lit("\r\n\r\n").cast("binary"), 4
+    header = F.col("header").cast("binary")
+    joined = joined.withColumn("original", F.concat(header, "stored", end))
+    joined = joined.withColumn("payload", F.substring("original", F.octet_length(header) + 1, F.octet_length("original") - F.octet_length(header) - n_end))
+    joined = joined.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
+    record = F.when(is_response, F.col("original")).otherwise(F.concat(header, end))
     stated = F.substring(header_field("WARC-Payload-Digest"), 6, 32)
     return joined.select(
         page_of(header_field("WARC-Record-ID")).alias("page_id"),
@@ -139,6 +144,7 @@ def read_archive(archive: Archive) -> DataFrame:
         "payload_bytes",
         F.when(stated == F.col("payload_digest"), stated).otherwise(F.raise_error(F.lit("header and payload have different digests"))).alias("payload_digest"),
         header_field("WARC-Target-URI").alias("url"),
+        "original",
         "payload",
         record.alias("record"),
     )

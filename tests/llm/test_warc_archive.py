@@ -43,6 +43,7 @@ def test_records_are_well_formed(spark):
         assert (b"WARC-Refers-To" in fields) == (r.record_type == "revisit")
         if r.record_type == "response":
             assert rest[:length] == bytes(r.payload)
+        assert bytes(r.original) == head + b"\r\n\r\n" + bytes(r.payload) + b"\r\n\r\n" and r.payload_bytes == len(r.payload)
 
 
 def test_short_payloads_are_not_shared(spark):
