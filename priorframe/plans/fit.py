@@ -212,25 +212,6 @@ def isotonic_predict(p: Column, knots: list[tuple[float, float]], eps: float = 1
     return F.greatest(F.least(out, F.lit(1 - eps)), F.lit(eps))
 
 
-def normal_mixture_em(df: DataFrame, value: str, rounds: int = 40) -> dict[str, float]:
-    """Two Poisson arms (short, normal) by expectation maximization on counts of distinct values."""
-    counts = df.groupBy(F.col(value).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("c")).persist()
-    mean = counts.agg(F.sum(F.col("y") * F.col("c")) / F.sum("c")).first()[0]
-    share, low, high = 0.2, max(mean / 2, 1e-3), mean * 1.2
-    for _ in range(rounds):
-        arm = lambda m: F.exp(F.col("y") * F.ln(F.lit(m)) - m)
-        a, b = share * arm(low), (1 - share) * arm(high)
-        own = a / (a + b)
-        s = counts.agg(F.sum(F.col("c")), F.sum(own * F.col("c")), F.sum(own * F.col("c") * F.col("y")), F.sum((1 - own) * F.col("c") * F.col("y"))).first()
-        new = (s[1] / s[0], max(s[2] / max(s[1], 1e-9), 1e-3), max(s[3] / max(s[0] - s[1], 1e-9), 1e-3))
-        moved = max(abs(x - y) for x, y in zip(new, (share, low, high)))
-        share, low, high = new
-        if moved < 1e-7:
-            break
-    counts.unpersist()
-    return {"share": share, "short": low, "normal": high}
-
-
 def hazard_states(starts: DataFrame, value: str, keep: list[str], parts: int = 9, size: int = 3) -> DataFrame:
     """One row for each part that an episode reached: completed, whether it returned for the next, outs when it stopped."""
     rows = starts.select(*keep, F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))

@@ -57,12 +57,13 @@ class Mixture:
     short: float
     short_dispersion: float
     dispersion: float
+    least: float = LEAST
     loglik: float = -np.inf
     path: list[float] = field(default_factory=list)
 
     def rest(self, mean: np.ndarray) -> np.ndarray:
         """Mean of the normal arm."""
-        return np.maximum((mean - self.share * self.short) / (1 - self.share), LEAST)
+        return np.maximum((mean - self.share * self.short) / (1 - self.share), self.least)
 
     def arms(self, y: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log of share times probability, of both arms."""
@@ -114,11 +115,11 @@ def maximize(table: np.ndarray, start: Mixture, short_bounds: tuple[float, float
 
         def expected(**change) -> float:
             """Log-likelihood of both arms, given whose each row is."""
-            at = Mixture(**{k: change.get(k, getattr(new, k)) for k in ("share", "short", "short_dispersion", "dispersion")})
+            at = Mixture(**{k: change.get(k, getattr(new, k)) for k in ("share", "short", "short_dispersion", "dispersion")}, least=now.least)
             a, b = at.arms(y, m)
             return float(n @ (own * a + (1 - own) * b))
 
-        new = Mixture(now.share, now.short, now.short_dispersion, now.dispersion)
+        new = Mixture(now.share, now.short, now.short_dispersion, now.dispersion, now.least)
         for name, bounds in (("share", SHARE), ("short", short_bounds), ("short_dispersion", DISPERSION), ("dispersion", DISPERSION)):
             setattr(new, name, best_of_line(lambda v, name=name: expected(**{name: v}), getattr(new, name), *bounds))
         new.loglik = float(n @ new.log_pmf(y, m))
@@ -130,9 +131,9 @@ def maximize(table: np.ndarray, start: Mixture, short_bounds: tuple[float, float
     return now
 
 
-def mixture_fit(table: np.ndarray, starts: list[tuple[float, float]] = STARTS, short_bounds: tuple[float, float] = SHORT, rounds: int = 200, least_gain: float = 1e-6) -> Mixture:
+def mixture_fit(table: np.ndarray, starts: list[tuple[float, float]] = STARTS, short_bounds: tuple[float, float] = SHORT, rounds: int = 200, least_gain: float = 1e-6, least: float = LEAST) -> Mixture:
     """The best of all starts."""
-    fits = [maximize(table, Mixture(share, short, *FIRST_DISPERSION), short_bounds, rounds, least_gain) for share, short in starts]
+    fits = [maximize(table, Mixture(share, short, *FIRST_DISPERSION, least), short_bounds, rounds, least_gain) for share, short in starts]
     return max(fits, key=lambda f: f.loglik)
 
 

@@ -167,12 +167,6 @@ def isotonic(spark, sf):
     return rows.filter("event_id % 2 = 1").select("event_id", F.round(fit.isotonic_predict(F.col("p"), knots), 6).alias("calibrated"))
 
 
-@query("mixture_fit")
-def mixture(spark, sf):
-    m = fit.normal_mixture_em(episodes(spark, sf), "n")
-    return spark.createDataFrame([tuple(m.values())], "share double, short double, normal double")
-
-
 @query("score_batch")
 def score_batch(spark, sf):
     """Features to trial-count pmf, unit probabilities, success pmf and line probabilities: column expressions alone."""
@@ -216,16 +210,6 @@ def regauntlet(spark, sf):
     return E.drop_one(screen_rows(spark, sf), F.col("epoch") <= 2, ["signal", "noise"], "y")
 
 
-@query("feature_gates")
-def gates(spark, sf):
-    """Known before, gain, sign and collinearity of each candidate, in one table."""
-    rows = screen_rows(spark, sf)
-    gain = {x["candidate"]: x for x in E.factor_screen(rows, ["k"], ["signal", "noise"], "y", F.col("epoch") <= 2)}
-    tie = {(x["a"], x["b"]): x["r"] for x in E.correlations(rows, ["k", "signal", "noise"]).collect()}
-    out = [(c, bool(gain[c]["gain"] > 0), bool(abs(gain[c]["t"]) >= 2), abs(tie[("k", c)]) <= 0.85) for c in ("signal", "noise")]
-    return spark.createDataFrame(out, "feature string, gains boolean, significant boolean, independent boolean")
-
-
 @query("effect_directions")
 def directions(spark, sf):
     rows = screen_rows(spark, sf)
