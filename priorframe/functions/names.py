@@ -2,22 +2,56 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from priorframe.functions.rates import col
 
-#: The accented letters that are folded; others are kept.
-ACCENTED = "áàâäãåāăąéèêëēĕėęěíìîïĩīĭįóòôöõōŏőúùûüũūŭůűųýÿŷçćĉċčñńņňšśŝşžźżďťřŕľĺğĝġģķ"
-PLAIN = "aaaaaaaaaeeeeeeeeeiiiiiiiioooooooouuuuuuuuuuyyycccccnnnnsssszzzdtrrllggggk"
+
+
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """Characters whose canonical decomposition without marks is one other character, those characters, and longer decompositions.
+
+    Hangul syllables, which decompose to letters without marks, stay as they are.
+    """
+    accented, plain, longer = [], [], {}
+    for code in range(sys.maxunicode + 1):
+        if 0xD800 <= code <= 0xDFFF or 0xAC00 <= code <= 0xD7A3:
+            continue
+        c = chr(code)
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if len(base) == 1 and base != c:
+            accented.append(c)
+            plain.append(base)
+        elif len(base) > 1:
+            longer[c] = base
+    return "".join(accented), "".join(plain), longer
+
+
+ACCENTED, PLAIN, LONGER = _decompositions()
+
+
 #: Fixed order of the suffixes that are taken off.
 SUFFIXES = (" jr.", " jr", " sr.", " sr", " ii", " iii", " iv")
 
 
+def without_marks(text) -> Column:
+    """text with its letters as they are without accents and other marks: composed ones are taken apart, combining ones dropped."""
+    n = F.translate(col(text), ACCENTED, PLAIN)
+    apart = n
+    for c, base in LONGER.items():
+        apart = F.replace(apart, F.lit(c), F.lit(base))
+    # The few letters that come apart into several are of scripts that most texts don't have.
+    n = F.when(n.rlike(f"[{''.join(LONGER)}]"), apart).otherwise(n)
+    return F.regexp_replace(n, r"\p{Mn}+", "")
+
+
 def normalize_name(name) -> Column:
-    """Lower case, without accents, parentheses, suffixes and double blanks."""
-    n = F.translate(F.lower(col(name)), ACCENTED, PLAIN)
-    n = F.trim(F.regexp_replace(n, r"\s*\([^)]*\)", " "))
+    """Lower case, without marks on letters, parentheses, suffixes and double blanks."""
+    n = F.trim(F.lower(F.regexp_replace(without_marks(name), r"\s*\([^)]*\)", " ")))
     for s in SUFFIXES:
         n = F.trim(F.regexp_replace(n, s.replace(".", r"\.") + "$", ""))
     return F.trim(F.regexp_replace(n, r"\s+", " "))
@@ -39,6 +73,7 @@ def local_date(instant, zone: str = "America/New_York") -> Column:
 
 def role_bucket(days) -> Column:
     """Bucket of days since the last appearance, with a level for unknown."""
+    # The bounds and names of the buckets.
     d = col(days)
     return F.when(d.isNull(), "unknown").when(d <= 2, "<=2").when(d <= 7, d.cast("int").cast("string")).when(d <= 10, "8-10").when(d <= 20, "11-20").otherwise("21+")
 
@@ -74,6 +109,7 @@ def altitude_penalty(altitude_ft, breaking_share) -> Column:
 
 def repeat_penalty(fast_share, breadth) -> Column:
     """Expected loss at later meetings: greatest for one-sided mixes, least for wide ones."""
+    # The penalties and their bounds.
     return F.when(col(fast_share) > 0.60, -0.04).when(col(breadth) >= 4, -0.02).otherwise(-0.03)
 
 

@@ -1,7 +1,7 @@
 """Probability mass functions as array columns, computed by folds in the JVM.
 
-Index i of an array is the value i. Folds run over bounded arrays: the support is at
-most a few dozen values.
+Index i of an array is the value i. Folds run over the units of one episode or the values
+of one distribution, which are a few dozen.
 """
 
 from __future__ import annotations
@@ -85,20 +85,25 @@ def compound(probs: Column, trials: Column) -> Column:
     return F.aggregate(probs, start, step)["out"]
 
 
-def binomial_pmf(n: Column, p: Column, top: int) -> Column:
-    """Binomial on 0..top by the recurrence of its terms."""
+def binomial_pmf(n: Column, p: Column, top: int | Column) -> Column:
+    """Binomial on 0..top (1 at least) by the recurrence of its terms."""
+    top = F.lit(top) if isinstance(top, int) else top
     q = F.greatest(F.least(p, F.lit(1 - 1e-12)), F.lit(1e-12))
     first = F.exp(n * F.ln(1 - q))
     step = lambda a, k: _let(F.when(k <= n, a["term"] * (n - k + 1) / k * q / (1 - q)).otherwise(F.lit(0.0)), lambda t: F.struct(t.alias("term"), F.array_append(a["out"], t).alias("out")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(top)), F.struct(first.alias("term"), F.array(first).alias("out")), step)["out"]
+    return F.aggregate(F.sequence(F.lit(1), top), F.struct(first.alias("term"), F.array(first).alias("out")), step)["out"]
 
 
-def binomial_mixture(mean: Column, sd: Column, p: Column, top: int) -> Column:
-    """Binomial over trial counts with discretized normal weights within three sd; an sd of none is one of 0.5."""
+def binomial_mixture(mean: Column, sd: Column, p: Column, top: int | None = None) -> Column:
+    """Binomial over trial counts with discretized normal weights within three sd; an sd of none is one of 0.5.
+
+    The support ends at top, or at the row's own largest number of trials.
+    """
     s = F.greatest(F.coalesce(sd, F.lit(0.5)), F.lit(0.5))
     low = F.greatest(F.floor(mean - 3 * s).cast("int"), F.lit(1))
     counts = F.sequence(low, F.greatest(low, F.ceil(mean + 3 * s).cast("int")))
     weights = normalize(F.transform(counts, lambda n: F.exp(-F.pow((n - mean) / s, F.lit(2.0)) / 2)))
+    top = F.element_at(counts, -1) if top is None else F.lit(top)
     start = F.array_repeat(F.lit(0.0), top + 1)
     return F.aggregate(F.arrays_zip(counts.alias("n"), weights.alias("w")), start, lambda acc, x: F.zip_with(acc, binomial_pmf(x["n"].cast("double"), p, top), lambda a, b: a + x["w"] * b))
 

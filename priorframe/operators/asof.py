@@ -128,9 +128,11 @@ def asof_distribution(df: DataFrame, entity: str, day: str, value: str, support:
     Histograms are day aggregates on a dense 0..support spine; the league's has a
     pseudo-count of pseudo in all bins.
     """
+    # Rows are counted by value first; the spine is that of days with their few distinct values.
+    cells = df.groupBy(entity, day, F.least(F.col(value), F.lit(support)).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    days = cells.groupBy(entity, day).agg(F.sum("_c").alias("n"), F.map_from_entries(F.collect_list(F.struct(F.col("_v").cast("int"), "_c"))).alias("_m"))
     spine = F.explode(F.sequence(F.lit(0), F.lit(support))).alias("k")
-    hit = F.when(F.least(F.col(value), F.lit(support)) == F.col("k"), 1).otherwise(0)
-    own = df.select(entity, day, value).select("*", spine).groupBy(entity, day, "k").agg(F.sum(hit).alias("c"), F.count(F.lit(1)).alias("n"))
+    own = days.select(entity, day, "n", "_m", spine).select(entity, day, "k", F.coalesce(F.try_element_at("_m", "k"), F.lit(0)).alias("c"), "n")
     league = own.groupBy(day, "k").agg(F.sum("c").alias("lc"), F.sum("n").alias("ln"))
     own = prior_sums(own, [entity, "k"], [day], ["c", "n"])
     league = prior_sums(league, ["k"], [day], ["lc", "ln"])

@@ -7,19 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from priorframe.functions import prices
+from priorframe.operators.ranking import keep_last
 
 
 def last_capture(quotes: DataFrame, keys: list[str], captured: str, tie: str) -> DataFrame:
     """The latest capture of each key."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(captured), F.desc(tie)))
-    return quotes.withColumn("_rn", place).filter("_rn = 1").drop("_rn")
+    return keep_last(quotes, keys, [F.col(captured), F.col(tie)])
 
 
 def closing_capture(quotes: DataFrame, keys: list[str], captured: str, start: str, tie: str) -> DataFrame:
     """The latest capture up to the start; where there is none, the latest of all. pregame tells which."""
-    pregame = F.col(captured) <= F.col(start)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("pregame"), F.desc(captured), F.desc(tie)))
-    return quotes.withColumn("pregame", pregame).withColumn("_rn", place).filter("_rn = 1").drop("_rn")
+    rows = quotes.withColumn("pregame", F.col(captured) <= F.col(start))
+    return keep_last(rows, keys, [F.col("pregame"), F.col(captured), F.col(tie)])
 
 
 def line_movement(quotes: DataFrame, keys: list[str], captured: str, price: str, start: str | None = None) -> DataFrame:
@@ -64,8 +63,6 @@ LADDER_THRESHOLD = max(2 * prices.ALT_SIDE_MARGIN + prices.HOLD_MARGIN, prices.M
 DAILY_CAP, REPEAT_HAIRCUT = 10.0, 0.15
 #: Parts that the bets of a day are dealt to.
 DAY_PARTS = 256
-#: Rungs an entity may have: the support of its distribution.
-MAX_RUNGS = 39
 
 
 def evaluate_ladder(rungs: DataFrame, entity: str, columns: dict[str, str], confirmed: Column | None = None, weight: float = 0.5) -> DataFrame:
@@ -73,13 +70,14 @@ def evaluate_ladder(rungs: DataFrame, entity: str, columns: dict[str, str], conf
 
     columns names those of line, side, units (of the primary play), expected,
     milestone, odds, model (probability of the milestone). Statuses are a cascade of
-    columns; the stakes are a fold over an entity's rungs in order, of which there
-    are at most MAX_RUNGS.
+    columns, fixed values in the order in which they apply. Only candidates can have a
+    stake, and only the next RUNGS milestones are candidates: the fold in order runs over
+    those, whatever the number of rungs. Rungs below 1 or without a price are no rungs.
     """
     c = {k: F.col(v) for k, v in columns.items()}
     base = F.ceil(c["line"]).cast("int")
     is_open = F.coalesce((c["side"] == "OVER") & (c["units"] > 0) & (c["expected"] - c["line"] >= GAP_MIN), F.lit(False))
-    rows = rungs.filter(c["milestone"].between(1, MAX_RUNGS) & prices.decimal_odds(c["odds"]).isNotNull())
+    rows = rungs.filter((c["milestone"] >= 1) & prices.decimal_odds(c["odds"]).isNotNull())
     rows = rows.withColumn("fair", prices.implied(c["odds"]) / (1 + prices.ALT_SIDE_MARGIN))
     rows = rows.withColumn("blended", prices.blend(c["model"], "fair", weight)).withColumn("edge", F.col("blended") - F.col("fair"))
     rows = rows.withColumn("ev", prices.expected_value("blended", c["odds"]))
@@ -95,20 +93,18 @@ def evaluate_ladder(rungs: DataFrame, entity: str, columns: dict[str, str], conf
     rows = rows.withColumn("_status", status)
     ceiling = c["units"] * F.pow(F.lit(RUNG_FRACTION), F.greatest(F.lit(1), far).cast("double"))
     item = F.struct(c["milestone"].alias("milestone"), F.col("_status").alias("status"), F.least(F.col("raw"), F.lit(prices.KELLY_CAP), ceiling).alias("most"), F.col("edge"), F.col("ev"), F.col("strength"), F.col("fair"))
-    lists = rows.groupBy(entity, c["units"].alias("_units")).agg(F.sort_array(F.collect_list(item)).alias("rungs"))
+    lists = rows.filter("_status = 'candidate'").groupBy(entity, c["units"].alias("_units")).agg(F.sort_array(F.collect_list(item)).alias("rungs"))
+    passed = rows.filter("_status <> 'candidate'").select(entity, c["milestone"].cast("int").alias("milestone"), F.col("_status").alias("status"), F.lit(0.0).alias("units"), "edge", "ev", "strength", "fair")
 
     def step(acc: Column, x: Column) -> Column:
-        candidate = x["status"] == "candidate"
-        stake = F.when(candidate & (acc["left"] > 0), prices.quantize_down(F.least(x["most"], acc["left"]))).otherwise(F.lit(0.0))
-        done = (
-            F.when(~candidate, x["status"]).when(acc["left"] <= 0, "passed_pitcher_cap").when(stake <= 0, "passed_stake_too_small").otherwise("bet")
-        )
+        stake = F.when(acc["left"] > 0, prices.quantize_down(F.least(x["most"], acc["left"]))).otherwise(F.lit(0.0))
+        done = F.when(acc["left"] <= 0, "passed_pitcher_cap").when(stake <= 0, "passed_stake_too_small").otherwise("bet")
         row = F.struct(x["milestone"].alias("milestone"), done.alias("status"), stake.alias("units"), x["edge"].alias("edge"), x["ev"].alias("ev"), x["strength"].alias("strength"), x["fair"].alias("fair"))
         return F.struct((acc["left"] - stake).alias("left"), F.array_append(acc["out"], row).alias("out"))
 
     empty = F.array().cast("array<struct<milestone:int,status:string,units:double,edge:double,ev:double,strength:string,fair:double>>")
     start = F.struct((F.lit(ENTITY_CAP) - F.coalesce(F.col("_units"), F.lit(0.0))).alias("left"), empty.alias("out"))
-    return lists.select(entity, F.explode(F.aggregate("rungs", start, step)["out"]).alias("r")).select(entity, "r.*")
+    return lists.select(entity, F.explode(F.aggregate("rungs", start, step)["out"]).alias("r")).select(entity, "r.*").unionByName(passed)
 
 
 def portfolio_cap(bets: DataFrame, day: str, key: str, episode: str, stake: str, edge: str, daily: float = DAILY_CAP) -> DataFrame:

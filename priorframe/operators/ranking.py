@@ -6,27 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BOUNDARIES = 64
+from priorframe.sources.work import materialize
 
+def ranked(df: DataFrame, value: str, tie: list[str], name: str = "rank") -> tuple[DataFrame, int]:
+    """df with its rank from 0 by value (nulls first) and tie, which must be a total order, and the number of rows.
 
-def global_rank(df: DataFrame, value: str, tie: list[str], name: str = "rank", parts: int = BOUNDARIES) -> DataFrame:
-    """Rank from 0 over all rows by value (nulls first) and tie, which must be a total order.
-
-    Rows are cut into ranges at approximate quantiles, of which there are parts at
-    most; each range is ranked by itself and moved by the count of those before it.
-    A value that fills more than a range is one range.
+    Rows are dealt by ranges of value and tie together, so that a value on half of all
+    rows is many ranges, sorted range by range and written with their place: the
+    number of the range and the row's within it. What is left is to add the rows of the
+    ranges before, of which there are as many as shuffle partitions.
     """
-    cuts = df.select(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    part = sum((F.when(F.col(value) > c, 1).otherwise(0) for c in sorted(set(cuts))), F.when(F.col(value).isNotNull(), 1).otherwise(0))
-    ranged = df.withColumn("_part", part)
-    counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
+    order = [F.col(f"`{c}`") for c in (value, *tie)]
+    placed = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_place", 33)
+    counts = {r["_part"]: r["count"] for r in placed.groupBy(part.alias("_part")).count().collect()}
     shift, before = [], 0
     for k in sorted(counts):
-        shift += [F.lit(k), F.lit(before)]
+        shift.append((k, before))
         before += counts[k]
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(value, *tie)) - 1
-    moved = F.create_map(*shift)[F.col("_part")] if shift else F.lit(0)
-    return ranged.withColumn(name, (local + moved).cast("long")).drop("_part")
+    # One row a range: its size is that of the shuffle, whatever the table's.
+    offsets = F.broadcast(df.sparkSession.createDataFrame(shift, "_part long, _before long"))
+    at = F.col("_place").bitwiseAND((1 << 33) - 1) + F.col("_before")
+    return placed.withColumn("_part", part).join(offsets, "_part").withColumn(name, at).drop("_part", "_place", "_before"), before
+
+
+def global_rank(df: DataFrame, value: str, tie: list[str], name: str = "rank") -> DataFrame:
+    """Rank from 0 over all rows; see ranked."""
+    return ranked(df, value, tie, name)[0]
+
+
+def exact_quantiles(df: DataFrame, value: str, tie: list[str], shares: list[float]) -> list[float]:
+    """Interpolated quantiles of the values that are not null: two rows of a ranked table for each, none if there are no values."""
+    rows, n = ranked(df.filter(F.col(value).isNotNull()).select(value, *(t for t in tie if t != value)), value, tie, "_rank")
+    if not n:
+        return []
+    at = [q * (n - 1) for q in shares]
+    wanted = sorted({int(x) for x in at} | {min(int(x) + 1, n - 1) for x in at})
+    found = {r["_rank"]: float(r[value]) for r in rows.filter(F.col("_rank").isin(wanted)).select("_rank", value).collect()}
+    return [found[int(x)] + (x - int(x)) * (found[min(int(x) + 1, n - 1)] - found[int(x)]) for x in at]
 
 
 def equal_count_bins(df: DataFrame, value: str, tie: list[str], bins: int, rule: str = "round", name: str = "bin") -> DataFrame:
@@ -37,15 +54,14 @@ def equal_count_bins(df: DataFrame, value: str, tie: list[str], bins: int, rule:
     ``quantile`` has edges at interpolated quantiles of value, the lowest included.
     """
     if rule == "quantile":
-        edges = df.select(F.percentile(value, F.array(*(F.lit(i / bins) for i in range(1, bins))))).first()[0]
+        edges = exact_quantiles(df, value, tie, [i / bins for i in range(1, bins)])
         return df.withColumn(name, sum((F.when(F.col(value) > e, 1).otherwise(0) for e in edges), F.lit(0)))
-    n = df.count()
-    ranked = global_rank(df, value, tie, "_rank")
+    rows, n = ranked(df, value, tie, "_rank")
     if rule == "chunk":
-        return ranked.withColumn(name, F.floor(F.col("_rank") / max(1, n // bins)).cast("int")).drop("_rank")
+        return rows.withColumn(name, F.floor(F.col("_rank") / max(1, n // bins)).cast("int")).drop("_rank")
     edge = {"round": lambda i: round(i * n / bins), "floor": lambda i: i * n // bins}[rule]
     at = sum((F.when(F.col("_rank") >= edge(i), 1).otherwise(0) for i in range(1, bins)), F.lit(0))
-    return ranked.withColumn(name, at).drop("_rank")
+    return rows.withColumn(name, at).drop("_rank")
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -54,5 +70,6 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The last row of each key in a total order."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*(c.desc() for c in order)))).filter("_rn = 1").drop("_rn")
+    """The last row of each key in a total order: a maximum, which is combined before the shuffle."""
+    last = F.max_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))))
+    return df.groupBy(*keys).agg(last.alias("_row")).select("_row.*")

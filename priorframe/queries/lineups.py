@@ -10,7 +10,7 @@ from priorframe.plans import lineup as L
 from priorframe.queries.aggregates import FLAGS, flagged
 from priorframe.queries.base import BULK, BULK_DAYS, EPISODES, LOG, bulk, bulk_days, episodes, log, query, r
 from priorframe.sources import files
-from priorframe.streaming.live import work_dir
+from priorframe.sources.work import work_dir
 
 PRIOR = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 WEIGHTS = f"CAST([{', '.join(map(str, L.SLOT_WEIGHTS))}] AS DOUBLE[])"

@@ -144,8 +144,7 @@ def spec(spark, sf):
 @query("grid_fit", f"WITH {EPISODES}, a AS (SELECT *, coalesce(sum(s) OVER w, 0) AS ps, coalesce(sum(n) OVER w, 0) AS pn FROM ep WINDOW w AS (PARTITION BY entity ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT unnest(range(0, 41)) * 5.0::DOUBLE + 1 AS w), q AS (SELECT w, n, s, (ps + w * 0.2) / (pn + w) AS p FROM a, g) SELECT w, round(-sum(s * ln(greatest(p, 1e-9)) + (n - s) * ln(greatest(1 - p, 1e-9))) / sum(n), 7) AS loss FROM q GROUP BY w")
 def grid(spark, sf):
     a = asof.prior_sums(episodes(spark, sf), ["entity"], ["day"], ["n", "s"])
-    p = (F.col("prior_s") + F.col("w") * 0.2) / (F.col("prior_n") + F.col("w"))
-    return fit.grid_fit(a, p, "s", "n", "w", 1.0, 201.0, 41).select("w", r("loss", 7))
+    return fit.grid_fit(a, lambda w: (F.col("prior_s") + w * 0.2) / (F.col("prior_n") + w), "s", "n", "w", 1.0, 201.0, 41).select("w", r("loss", 7))
 
 
 @query("lambda_select")
@@ -170,12 +169,13 @@ def isotonic(spark, sf):
 @query("score_batch")
 def score_batch(spark, sf):
     """Features to trial-count pmf, unit probabilities, success pmf and line probabilities: column expressions alone."""
-    ep = asof.prior_sums(episodes(spark, sf), ["entity"], ["day"], ["n", "s"])
-    # Each step is a column of its own, so that the folds below refer to it and do not compute it again.
-    x = ep.withColumn("rate", shrink_rate("prior_s", "prior_n", 0.2, 20)).withColumn("trials", X.normalize(X.negbin_pmf(4 + F.col("prior_n") / 20, F.lit(0.05), 15)))
+    ep = asof.prior_sums(episodes(spark, sf), ["entity"], ["day"], ["n", "s"]).select("entity", "day", "prior_n", "prior_s")
+    # Many rows share a state: each is scored once. Each step is a column of its own, so that the folds below refer to it and do not compute it again.
+    x = ep.select("prior_n", "prior_s").distinct().withColumn("rate", shrink_rate("prior_s", "prior_n", 0.2, 20)).withColumn("trials", X.normalize(X.negbin_pmf(4 + F.col("prior_n") / 20, F.lit(0.05), 15)))
     x = x.withColumn("probs", F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: F.least(F.col("rate") * (1 - 0.01 * i), F.lit(0.99))))
     x = x.withColumn("pmf", X.compound(F.col("probs"), F.col("trials")))
-    return x.select("entity", "day", *(F.round(X.tail_above(F.col("pmf"), F.lit(v)), 7).alias(n) for n, v in (("over_0", 0.5), ("over_1", 1.5), ("over_2", 2.5))))
+    x = x.select("prior_n", "prior_s", *(F.round(X.tail_above(F.col("pmf"), F.lit(v)), 7).alias(n) for n, v in (("over_0", 0.5), ("over_1", 1.5), ("over_2", 2.5))))
+    return ep.join(x, ["prior_n", "prior_s"]).select("entity", "day", "over_0", "over_1", "over_2")
 
 
 def screen_rows(spark, sf):

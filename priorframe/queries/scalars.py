@@ -149,41 +149,55 @@ def negbin(spark, sf):
     return m.select("entity", F.posexplode(X.negbin_pmf(F.col("mu"), F.lit(0.25), 12)).alias("k", "p")).select("entity", "k", r("p", 7))
 
 
-@query("hook_mixture_pmf")
+@query("hook_mixture_pmf", f"""WITH {EPISODES}, m AS (SELECT entity, avg(n) * 8 AS mu FROM ep GROUP BY entity), k AS (SELECT entity, mu, greatest((mu - {X.HOOK_SHARE}::DOUBLE * {X.HOOK_MEAN}::DOUBLE) / (1 - {X.HOOK_SHARE}::DOUBLE), 1.0) AS normal, unnest(range(0, 41)) AS k FROM m),
+  t AS (SELECT entity, mu, k, {X.HOOK_SHARE}::DOUBLE * exp(lgamma(k + {1 / X.HOOK_ALPHA}) - lgamma({1 / X.HOOK_ALPHA}) - lgamma(k + 1) + {1 / X.HOOK_ALPHA} * ln({1 / X.HOOK_ALPHA} / ({1 / X.HOOK_ALPHA} + {X.HOOK_MEAN})::DOUBLE) + k * ln({X.HOOK_MEAN} / ({1 / X.HOOK_ALPHA} + {X.HOOK_MEAN})::DOUBLE))
+    + (1 - {X.HOOK_SHARE}::DOUBLE) * exp(lgamma(k + 20.0) - lgamma(20.0) - lgamma(k + 1) + 20 * ln(20 / (20 + normal)) + k * ln(normal / (20 + normal))) AS p FROM k)
+  SELECT entity, round(any_value(mu), 6) AS mu, round(sum(k * p) / sum(p), 5) AS mean, round(sum(p) FILTER (k >= 20) / sum(p), 5) AS p20 FROM t GROUP BY entity""")
 def hook(spark, sf):
     m = episodes(spark, sf).groupBy("entity").agg((F.avg("n") * 8).alias("mu"))
-    return m.withColumn("pmf", X.hook_mixture_pmf(F.col("mu"), F.lit(0.05))).select("entity", r("mu"), F.round(X.distribution_mean(F.col("pmf")), 6).alias("mean"), F.round(X.tail_at_least(F.col("pmf"), F.lit(20)), 6).alias("p20"))
+    return m.withColumn("pmf", X.hook_mixture_pmf(F.col("mu"), F.lit(0.05))).select("entity", r("mu"), F.round(X.distribution_mean(F.col("pmf")), 5).alias("mean"), F.round(X.tail_at_least(F.col("pmf"), F.lit(20)), 5).alias("p20"))
 
 
 def unit_probs(spark, sf):
-    """Success probabilities of an entity's first units and a pmf of how many there are."""
-    e = log(spark, sf).withColumn("rn", F.row_number().over(Window.partitionBy("entity").orderBy("ts", "event_id"))).filter("rn <= 20")
-    p = e.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("rn", (F.lit(0.1) + F.col("k") / 250).alias("p")))).alias("l"))
-    return p.select("entity", F.transform("l", lambda x: x["p"]).alias("probs"))
+    """Success probabilities of all units of an episode, in order."""
+    p = log(spark, sf).groupBy("entity", "day").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", (F.lit(0.1) + F.col("k") / 250).alias("p")))).alias("l"))
+    return p.select("entity", "day", F.transform("l", lambda x: x["p"]).alias("probs"))
 
 
-@query("poisson_binomial")
+#: Distributions after each unit of an episode, by recursion.
+UNIT_PMFS = f"""{LOG}, u AS (SELECT entity, day, 0.1 + k / 250.0::DOUBLE AS p, row_number() OVER (PARTITION BY entity, day ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY entity, day) AS units FROM log),
+  rec AS (SELECT DISTINCT entity, day, units, 0 AS n, [1.0::DOUBLE] AS pmf FROM u
+    UNION ALL SELECT rec.entity, rec.day, rec.units, n + 1, [coalesce(pmf[i], 0) * (1 - p) + coalesce(pmf[i - 1], 0) * p for i in range(1, len(pmf) + 2)] FROM rec JOIN u ON u.entity = rec.entity AND u.day = rec.day AND u.rn = n + 1)"""
+
+
+@query("poisson_binomial", f"WITH RECURSIVE {UNIT_PMFS}, x AS (SELECT entity, day, unnest(pmf) AS p, unnest(range(0, len(pmf))) AS k FROM rec WHERE n = units) SELECT entity, day, CAST(k AS INTEGER) AS k, round(p + 1e-11, 8) AS p FROM x")
 def poisson_binomial(spark, sf):
-    x = unit_probs(spark, sf).withColumn("pmf", X.poisson_binomial(F.col("probs")))
-    return x.select("entity", F.round(X.distribution_mean(F.col("pmf")), 6).alias("mean"), F.transform("pmf", lambda p: F.round(p, 8)).alias("pmf"))
+    x = unit_probs(spark, sf).select("entity", "day", F.posexplode(X.poisson_binomial(F.col("probs"))).alias("k", "p"))
+    return x.select("entity", "day", "k", F.round(F.col("p") + 1e-11, 8).alias("p"))
 
 
-@query("poisson_binomial_mean", f"WITH {LOG}, x AS (SELECT entity, 0.1 + k / 250.0::DOUBLE AS p, row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) AS rn FROM log) SELECT entity, round(sum(p), 6) AS mean, round(exp(sum(ln(1 - p))), 8) AS none, round(exp(sum(ln(p))) * 1e6, 6) AS all_of FROM x WHERE rn <= 20 GROUP BY entity")
+@query("poisson_binomial_mean", f"WITH {LOG}, x AS (SELECT entity, day, 0.1 + k / 250.0::DOUBLE AS p FROM log) SELECT entity, day, round(sum(p), 6) AS mean, round(exp(sum(ln(1 - p))) + 1e-11, 8) AS none, round(exp(sum(ln(p))) + 1e-11, 8) AS all_of FROM x GROUP BY entity, day")
 def poisson_binomial_mean(spark, sf):
     x = unit_probs(spark, sf).withColumn("pmf", X.poisson_binomial(F.col("probs")))
-    return x.select("entity", F.round(X.distribution_mean(F.col("pmf")), 6).alias("mean"), F.round(F.col("pmf")[0], 8).alias("none"), F.round(F.element_at("pmf", -1) * 1e6, 6).alias("all_of"))
+    return x.select("entity", "day", F.round(X.distribution_mean(F.col("pmf")), 6).alias("mean"), F.round(F.col("pmf")[0] + 1e-11, 8).alias("none"), F.round(F.element_at("pmf", -1) + 1e-11, 8).alias("all_of"))
 
 
-@query("compound_pmf")
+@query("compound_pmf", f"""WITH RECURSIVE {UNIT_PMFS}, t AS (SELECT k AS n, exp(lgamma(k + 20.0) - lgamma(20.0) - lgamma(k + 1) + 20 * ln(0.625::DOUBLE) + k * ln(0.375::DOUBLE)) AS w FROM (SELECT unnest(range(0, 21)) AS k)), v AS (SELECT n, w / (SELECT sum(w) FROM t) AS w FROM t),
+  y AS (SELECT entity, day, n, unnest(pmf) AS p, unnest(range(0, len(pmf))) AS k FROM rec) SELECT entity, day, CAST(k AS INTEGER) AS k, round(sum(p * w) + 1e-11, 8) AS p FROM y JOIN v USING (n) GROUP BY entity, day, k""")
 def compound(spark, sf):
     x = unit_probs(spark, sf).withColumn("trials", X.normalize(X.negbin_pmf(F.lit(12.0), F.lit(0.05), 20)))
-    return x.select("entity", F.transform(X.compound(F.col("probs"), F.col("trials")), lambda p: F.round(p, 8)).alias("pmf"))
+    x = x.select("entity", "day", F.posexplode(X.compound(F.col("probs"), F.col("trials"))).alias("k", "p"))
+    return x.select("entity", "day", "k", F.round(F.col("p") + 1e-11, 8).alias("p"))
 
 
-@query("binomial_mixture")
+@query("binomial_mixture", f"""WITH {EPISODES}, m AS (SELECT entity, avg(n) * 3 AS mean, greatest(coalesce(stddev_samp(n), 0.5), 0.5) AS sd, greatest(least(sum(s) / sum(n)::DOUBLE, 1 - 1e-12), 1e-12) AS q FROM ep GROUP BY entity),
+  c AS (SELECT *, greatest(CAST(floor(mean - 3 * sd) AS INTEGER), 1) AS low, CAST(ceil(mean + 3 * sd) AS INTEGER) AS high FROM m), n AS (SELECT entity, mean, sd, q, greatest(low, high) AS top, unnest(range(low, greatest(low, high) + 1)) AS n FROM c), w AS (SELECT *, exp(-pow((n - mean) / sd, 2) / 2) AS w FROM n),
+  x AS (SELECT entity, n, q, w / sum(w) OVER (PARTITION BY entity) AS w, unnest(range(0, top + 1)) AS k FROM w)
+  SELECT entity, CAST(k AS INTEGER) AS k, round(sum(CASE WHEN k <= n THEN w * exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(q) + (n - k) * ln(1 - q)) ELSE 0 END) + 1e-11, 7) AS p FROM x GROUP BY entity, k""")
 def mixture(spark, sf):
     m = episodes(spark, sf).groupBy("entity").agg((F.avg("n") * 3).alias("mean"), F.stddev_samp("n").alias("sd"), (F.sum("s") / F.sum("n")).alias("p"))
-    return m.select("entity", F.transform(X.binomial_mixture(F.col("mean"), F.col("sd"), F.col("p"), 12), lambda p: F.round(p, 8)).alias("pmf"))
+    x = m.select("entity", F.posexplode(X.binomial_mixture(F.col("mean"), F.col("sd"), F.col("p"))).alias("k", "p"))
+    return x.select("entity", "k", F.round(F.col("p") + 1e-11, 7).alias("p"))
 
 
 @query("pmf_tail_sums", f"""WITH {EPISODES}, h AS (SELECT entity, least(n, 8) AS n, count(*) / sum(count(*)) OVER (PARTITION BY entity)::DOUBLE AS p FROM ep GROUP BY entity, least(n, 8)) SELECT entity, round(coalesce(sum(p) FILTER (n >= 3), 0), 6) AS at_least, round(coalesce(sum(p) FILTER (n > 3), 0), 6) AS above FROM h GROUP BY entity""")
@@ -194,12 +208,15 @@ def tails(spark, sf):
     return x.select("entity", F.round(X.tail_at_least(F.col("pmf"), F.lit(2.5)), 6).alias("at_least"), F.round(X.tail_above(F.col("pmf"), F.lit(3.0)), 6).alias("above"))
 
 
-@query("outs_pmf")
+@query("outs_pmf", f"""WITH {EPISODES}, v AS (SELECT entity, avg(v) AS v FROM ep GROUP BY entity), c AS (SELECT entity, j, 1 / (1 + exp(-(3.0 - 0.35 * j + v / 200))) AS c FROM (SELECT entity, v, unnest(range(0, 9)) AS j FROM v)),
+  a AS (SELECT *, coalesce(exp(sum(ln(c)) OVER (PARTITION BY entity ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1.0) AS alive FROM c),
+  p AS (SELECT entity, 3 * j + r AS x, alive * (1 - c) * [0.4, 0.35, 0.25][r + 1]::DOUBLE AS p FROM (SELECT *, unnest([0, 1, 2]) AS r FROM a) UNION ALL SELECT entity, 27, alive * c FROM a WHERE j = 8)
+  SELECT entity, round(sum(p), 9) AS total, round(sum(p * x) + 1e-9, 6) AS mean FROM p GROUP BY entity""")
 def outs(spark, sf):
     rates = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda j: R.sigmoid(3.0 - 0.35 * j + F.col("v") / 200))
     share = F.array_repeat(F.array(F.lit(0.4), F.lit(0.35), F.lit(0.25)), 9)
     x = episodes(spark, sf).groupBy("entity").agg(F.avg("v").alias("v")).withColumn("pmf", X.survival_pmf(rates, share))
-    return x.select("entity", F.round(F.aggregate("pmf", F.lit(0.0), lambda a, b: a + b), 9).alias("total"), F.round(X.distribution_mean(F.col("pmf")), 6).alias("mean"))
+    return x.select("entity", F.round(F.aggregate("pmf", F.lit(0.0), lambda a, b: a + b), 9).alias("total"), F.round(X.distribution_mean(F.col("pmf")) + 1e-9, 6).alias("mean"))
 
 
 @query("pitch_limit_cap", f"WITH {EPISODES} SELECT entity, day, round(CASE WHEN n % 2 = 0 THEN least(n * 5, n * 10 / 3.8::DOUBLE) ELSE n * 5 END, 6) AS mu FROM ep")
@@ -370,9 +387,9 @@ def board_ou(spark, sf):
     return S.explode_board(boards(spark, sf), "board", " Strikeouts").select("event", "entity", "home", "line", "over_odds", "under_odds")
 
 
-@query("flatten_slate", f"WITH {LOG} SELECT day AS date, false AS reconstructed, entity AS pitcher_id, 2.5::DOUBLE AS line, k AS milestone, CAST(round(min(value)) AS INTEGER) AS odds FROM log WHERE entity < 40 GROUP BY day, entity, k")
+@query("flatten_slate", f"WITH {LOG} SELECT day AS date, false AS reconstructed, entity AS pitcher_id, 2.5::DOUBLE AS line, k AS milestone, CAST(round(min(value)) AS INTEGER) AS odds FROM log GROUP BY day, entity, k")
 def slate(spark, sf):
-    return flat_slate(log(spark, sf).filter("entity < 40"))
+    return flat_slate(log(spark, sf))
 
 
 @query("flatten_slate_all", f"WITH {LOG} SELECT day AS date, false AS reconstructed, entity AS pitcher_id, 2.5::DOUBLE AS line, k AS milestone, CAST(round(min(value)) AS INTEGER) AS odds FROM log GROUP BY day, entity, k")

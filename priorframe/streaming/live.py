@@ -7,22 +7,12 @@ replay of a batch gives what the batch operator gives.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; unset, local sessions use a temporary one and clusters the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        root = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_work"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from priorframe.sources.work import work_dir
 
 
 def stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:

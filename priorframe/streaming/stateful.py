@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from priorframe.streaming.live import work_dir
+from priorframe.sources.work import work_dir
 
 STATE = "actors array<long>, firsts array<long>, ids array<long>, done array<boolean>, terminal long"
 FOREVER = 1 << 62

@@ -77,3 +77,31 @@ def test_names(spark):
     assert value(spark, names.team_tag(F.lit("Ryan Johnson (prospect)"))) is None
     assert [value(spark, names.role_bucket(F.lit(d).cast("int"))) for d in (None, 2, 5, 7, 9, 20, 21)] == ["unknown", "<=2", "5", "7", "8-10", "11-20", "21+"]
     assert value(spark, names.zone_distance(F.lit(0.5), F.lit(float("nan")), F.lit(3.5), F.lit(1.5), 0.83)) == pytest.approx(-0.33)
+
+
+def test_marks_come_off_all_letters(spark):
+    """Against canonical decomposition, over every letter, and with combining marks that stand alone."""
+    import sys
+    import unicodedata
+
+    from priorframe.functions import names
+
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "L" and not 0xAC00 <= c <= 0xD7A3]
+    texts = ["".join(letters[i : i + 200]) for i in range(0, len(letters), 200)] + ["éö", "Džǎiro", "Đuro Łuk", "", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", names.without_marks("t").alias("t")).collect()
+    for r in got:
+        assert r.t == (None if texts[r.i] is None else plain(texts[r.i]))
+    named = spark.createDataFrame([("  Nguyễn Văn  Ánh (LAA) Jr.",), ("ŽELJKO ĐORĐEVIĆ III",)], "n string").select(names.normalize_name("n").alias("n")).collect()
+    assert [r.n for r in named] == ["nguyen van anh", "zeljko đorđevic"]
+
+
+def test_ladder_has_no_last_rung(spark):
+    """Rungs far above the usual ones are told of too, and stakes go in order to candidates alone."""
+    from priorframe.operators import market
+
+    rows = [(1, 40.5, "OVER", 1.0, 44.0, m, 300, 0.6) for m in (5, 41, 42, 43, 44, 90)]
+    df = spark.createDataFrame(rows, "e int, line double, side string, units double, expected double, milestone int, odds int, model double")
+    got = {r.milestone: (r.status, r.units) for r in market.evaluate_ladder(df, "e", {k: k for k in ("line", "side", "units", "expected", "milestone", "odds", "model")}).collect()}
+    assert set(got) == {5, 41, 42, 43, 44, 90} and got[41][0] == "primary_equivalent" and got[90] == ("passed_not_next_rung", 0.0)
+    assert got[42][0] == got[43][0] == "bet" and 0 < got[43][1] < got[42][1] <= 0.5

@@ -159,3 +159,27 @@ def test_reports(spark):
     bad = quality.report(df, "drift", F.col("d") > 0.5, "k").first()
     assert (bad.status, bad.n, bad.sample) == ("fail", 1, ["2"])
     assert quality.monotonic(df, 3).first().status == "fail"
+
+
+def test_ranks_of_tied_and_missing_values(spark):
+    """Half of all rows have one value: their ranges are cut by the tie, so no task has most of them."""
+    n = 4000
+    df = spark.createDataFrame([(i * 7919 % n, None if i % 10 == 0 else 1.0 if i % 2 else float(i % 50)) for i in range(n)], "id int, v double").repartition(5)
+    rows, count = ranking.ranked(df, "v", ["id"])
+    got = {r.id: r["rank"] for r in rows.collect()}
+    values = {r.id: r.v for r in df.collect()}
+    order = sorted(values, key=lambda i: (values[i] is not None, values[i] or 0.0, i))
+    assert count == n and [got[i] for i in order] == list(range(n))
+    sizes = [r["count"] for r in df.repartitionByRange(16, "v", "id").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 3 * n / 16
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    v = [float(x) for x in rng.integers(0, 20, 501)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)] + [(9999, None)], "id int, v double")
+    q = [0.0, 0.1, 0.333, 0.5, 0.999, 1.0]
+    assert np.allclose(ranking.exact_quantiles(df, "v", ["id"], q), np.quantile(v, q))
+    assert ranking.exact_quantiles(df.limit(0), "v", ["id"], q) == []
