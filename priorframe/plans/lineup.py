@@ -42,6 +42,14 @@ def lineup_aggregates(slots: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("left_share", F.col("n_left") / F.col("n_slots")).withColumn("rookie_share", F.col("n_rookies") / F.col("n_slots"))
 
 
+def member_list(slots: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, members: a lineup as an array of (slot, side, rate, matchup, weight) in order; a lineup has as many slots as there are weights."""
+    rate, own = F.coalesce("rate", F.lit(LEAGUE_RATE)), F.coalesce("own_rate", F.lit(LEAGUE_RATE))
+    weight = F.element_at(F.array(*map(F.lit, SLOT_WEIGHTS)), F.col("pos").cast("int"))
+    member = F.struct(F.col("pos").cast("int").alias("slot"), F.col("stands").alias("side"), rate.alias("rate"), matchup_rate(rate, own).alias("matchup"), weight.alias("weight"))
+    return slots.groupBy(*keys).agg(F.sort_array(F.collect_list(member)).alias("members"))
+
+
 def platoon_regressed(rate, trials, hand, prior=LEAGUE_RATE) -> Column:
     """A rate by side shrunk to prior with the weight of the pitcher's hand; the prior where it is unknown."""
     weight = F.when(col(hand) == "L", F.lit(PLATOON_WEIGHT["L"])).otherwise(F.lit(PLATOON_WEIGHT["R"]))
