@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("windows", "positions", "aggregates", "scalars", "models", "builders", "lineups", "screens", "candidates", "forming", "screening", "streams")
+MODULES = ("windows", "positions", "aggregates", "scalars", "models", "builders", "lineups", "screens", "candidates", "forming", "boards", "screening", "streams")
 
 
 def load() -> tuple[dict, dict]:
