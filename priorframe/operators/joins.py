@@ -58,6 +58,20 @@ def require_no_overlap(train: DataFrame, test: DataFrame, keys: list[str]) -> No
         raise ValueError(f"train and test share values of {', '.join(shared)}")
 
 
+def split_faults(train: DataFrame, test: DataFrame, epoch: str, keys: list[str], day: str, first_epoch: int) -> DataFrame:
+    """Rows (check, n) of what is wrong with a split: epochs, keys and days on both sides, and training epochs before the first that is allowed."""
+    both = lambda name, columns: train.select(*columns).distinct().join(test.select(*columns).distinct(), columns, "left_semi").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
+    early = train.filter(F.col(epoch) < first_epoch).select(epoch).distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit("early_epochs").alias("check"), "n")
+    return reduce(DataFrame.unionByName, [both("epochs", [epoch]), both("keys", keys), both("days", [day]), early])
+
+
+def require_clean_split(train: DataFrame, test: DataFrame, epoch: str, keys: list[str], day: str, first_epoch: int) -> None:
+    """Refuse to train where split_faults finds any."""
+    found = {r["check"]: r["n"] for r in split_faults(train, test, epoch, keys, day, first_epoch).collect() if r["n"]}
+    if found:
+        raise ValueError(f"refusing to train: {', '.join(f'{n} {c}' for c, n in sorted(found.items()))}")
+
+
 def match_names(props: DataFrame, roster: DataFrame, prop: str, prop_key: str, name: str, entity: str, team: str) -> DataFrame:
     """Entity of each prop by full name, else by last token; several candidates are settled by the team tag or refused.
 

@@ -47,6 +47,15 @@ def shrunk_rates(days: DataFrame, keys: list[str], epoch: str, day: str, rates:
     return rows.select(*keys, epoch, day, *(F.when(F.col("_seen") >= gate, value(r)).alias(name) for name, r in rates.items()))
 
 
+def ratio_to_league(days: DataFrame, keys: list[str], epoch: str, day: str, top: str, bottom: str, least: int, name: str) -> DataFrame:
+    """keys, epoch, day, name: a key's mean of strictly earlier days over the league's of the same days; null below least of the denominator."""
+    by_day = days.groupBy(*keys, epoch, day).agg(F.sum(top).alias(top), F.sum(bottom).alias(bottom))
+    own = asof.prior_sums(by_day, [*keys, epoch], [day], [top, bottom])
+    league = asof.prior_day_totals(by_day, [epoch], day, [top, bottom], "_league_").select(epoch, day, safe_rate(f"_league_{top}", f"_league_{bottom}").alias("_mean"))
+    ratio = F.col(f"prior_{top}") / F.col(f"prior_{bottom}") / F.nullif(F.col("_mean"), F.lit(0.0))
+    return own.join(league, [epoch, day]).select(*keys, epoch, day, F.when(F.col(f"prior_{bottom}") >= least, ratio).alias(name))
+
+
 def history(days: DataFrame, entity: str, epoch: str, day: str, trials: str, hits: str) -> DataFrame:
     """entity, epoch, day, and of strictly earlier episodes: count, mean trials, mean hits, hits per trial, means of the last 3 and 5, rest."""
     w = Window.partitionBy(entity, epoch).orderBy(day)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from priorframe.functions import names as N, pmf as X, rates as R
+from priorframe.functions import names as N, pmf as X, rates as R, park as V
 from priorframe.functions.prices import innings_to_outs, parse_line
 from priorframe.operators import aggregates as A, asof, episodes as epi, joins as J, ranking as K
 from priorframe.queries.base import BETS, BULK, BULK_DAYS, EPISODES, LOG, bets, bulk, bulk_days, episodes, log, query, r, read
@@ -109,6 +109,33 @@ def overlap(spark, sf):
     return J.split_overlap(e.filter("epoch <= 2"), e.filter("epoch > 2"), ["entity", "day"])
 
 
+@query("split_faults", f"""WITH {LOG}, a AS (SELECT * FROM log WHERE epoch <= 2 OR entity % 50 = 7), b AS (SELECT * FROM log WHERE epoch > 2)
+  SELECT 'epochs' AS "check", (SELECT count(*) FROM (SELECT epoch FROM a INTERSECT SELECT epoch FROM b)) AS n UNION ALL SELECT 'keys', (SELECT count(*) FROM (SELECT entity, day FROM a INTERSECT SELECT entity, day FROM b))
+  UNION ALL SELECT 'days', (SELECT count(*) FROM (SELECT day FROM a INTERSECT SELECT day FROM b)) UNION ALL SELECT 'early_epochs', (SELECT count(DISTINCT epoch) FROM a WHERE epoch < 2)""")
+def split_faults(spark, sf):
+    """What makes a split unfit to train on: here some entities are on both sides, and one epoch is too old."""
+    e = log(spark, sf)
+    return J.split_faults(e.filter("epoch <= 2 OR entity % 50 = 7"), e.filter("epoch > 2"), "epoch", ["entity", "day"], "day", 2)
+
+
+@query("park_weather", f"""WITH v AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_nationkey * 260.0::DOUBLE END AS alt, CASE WHEN s_suppkey % 5 <> 0 THEN 40 + s_nationkey * 2.0::DOUBLE END AS tf, CASE WHEN s_suppkey % 3 <> 0 THEN 30 + s_nationkey::DOUBLE END AS hum, CASE WHEN s_suppkey % 4 = 0 THEN 990.0::DOUBLE + s_nationkey END AS hpa,
+    CASE s_suppkey % 4 WHEN 0 THEN 'dome' WHEN 1 THEN 'retractable' WHEN 2 THEN 'open' END AS roof, CASE WHEN s_suppkey % 6 <> 0 THEN 0.9 + s_nationkey / 100.0::DOUBLE END AS factor, CASE WHEN s_suppkey % 8 <> 0 THEN 0.15 + s_nationkey / 300.0::DOUBLE END AS misses, CASE WHEN s_suppkey % 9 <> 0 THEN (s_suppkey % 10) / 20.0::DOUBLE END AS bend, 0.2::DOUBLE AS slide, 0.1::DOUBLE AS split FROM supplier),
+  w AS (SELECT *, coalesce(alt, 0) AS h, (coalesce(tf, 72) - 32) * 5 / 9 AS tc, coalesce(hum, 50) AS rh FROM v), x AS (SELECT *, 100 * coalesce(hpa, 1013.25 * pow(1 - 2.25577e-5 * h * 0.3048, 5.25588)) AS pa, 611.2 * exp(17.67 * tc / (tc + 243.5)) * rh / 100 AS e FROM w),
+  y AS (SELECT *, (pa - e) / (287.058 * (tc + 273.15)) + e / (461.495 * (tc + 273.15)) AS rho, 40 * 5 / 9.0::DOUBLE AS ts FROM x), z AS (SELECT *, 611.2 * exp(17.67 * ts / (ts + 243.5)) * 0.5 AS es FROM y), u AS (SELECT *, rho / ((101325 - es) / (287.058 * (ts + 273.15)) + es / (461.495 * (ts + 273.15))) AS ratio FROM z)
+  SELECT s_suppkey, round(coalesce(factor, 1), 6) AS park_factor, round(coalesce(factor, 1) - ratio + 1e-9, 6) AS park_residual, round(coalesce(misses, 0.205) + 1e-9, 6) AS fast_misses_here, round(coalesce(misses, 0.205) - 0.205 + 1e-9, 6) AS fast_misses_delta, h AS height, round(coalesce(bend * (h / 5280.0) * -0.02, 0) + 1e-9, 6) AS bending_penalty, coalesce(bend > 0.35 AND h > 3000, false) AS bending_high,
+    coalesce(roof, 'open') = 'dome' AS is_dome, coalesce(roof, 'open') = 'retractable' AS is_retractable, coalesce(roof, 'open') = 'open' AS is_open, round(coalesce(CASE WHEN tf < 60 THEN -(slide * 0.013 + split * 0.010) * (60 - tf) / 30 END, 0)::DOUBLE + 1e-9, 6) AS cold_penalty, round(rho + 1e-9, 6) AS density, round(ratio + 1e-9, 6) AS density_ratio FROM u""")
+def park_weather(spark, sf):
+    """The whole group of park and weather features of a venue and a forecast."""
+    n, k = F.col("s_nationkey"), F.col("s_suppkey")
+    v = read(spark, sf, "supplier").select(
+        "s_suppkey", F.when(k % 7 != 0, n * 260.0).alias("alt"), F.when(k % 5 != 0, 40 + n * 2.0).alias("tf"), F.when(k % 3 != 0, 30.0 + n).alias("hum"), F.when(k % 4 == 0, 990.0 + n).alias("hpa"),
+        F.when(k % 4 == 0, "dome").when(k % 4 == 1, "retractable").when(k % 4 == 2, "open").alias("roof"), F.when(k % 6 != 0, 0.9 + n / 100).alias("factor"), F.when(k % 8 != 0, 0.15 + n / 300).alias("misses"), F.when(k % 9 != 0, k % 10 / 20).alias("bend"), F.lit(0.2).alias("slide"), F.lit(0.1).alias("split"),
+    )
+    x = V.park_weather(v, "alt", "tf", "hum", "hpa", "roof", "factor", "misses", "bend", "slide", "split")
+    near = lambda c: F.round(F.col(c) + 1e-9, 6).alias(c)
+    return x.select("s_suppkey", F.round("park_factor", 6).alias("park_factor"), *map(near, ("park_residual", "fast_misses_here", "fast_misses_delta")), "height", near("bending_penalty"), "bending_high", "is_dome", "is_retractable", "is_open", *map(near, ("cold_penalty", "density", "density_ratio")))
+
+
 @query("normalize_name", r"""WITH x AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'José ' || c_name || ' Jr.' WHEN 1 THEN c_name || ' (LAA)' WHEN 2 THEN '  Ñandú   ' || c_name || ' III' ELSE c_name END AS n, c_name FROM customer)
   SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'jose ' || lower(c_name) WHEN 2 THEN 'nandu ' || lower(c_name) ELSE lower(c_name) END AS name, CASE WHEN c_custkey % 4 = 1 THEN 'LAA' END AS tag FROM x""")
 def normalize(spark, sf):

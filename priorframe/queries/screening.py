@@ -54,6 +54,14 @@ def opponent_rates(spark, sf):
     return T.shrunk_rates(rows, ["team"], "epoch", "day", OPPONENT, 2).select("team", "epoch", "day", *map(steady, OPPONENT))
 
 
+@query("break_ratio", f"""WITH {LOG}{FLAGS}, d AS (SELECT entity % 6 AS place, epoch, day, sum({COUNTS['length']}) AS t, sum({COUNTS['sw']}) AS b FROM f GROUP BY ALL), p AS (SELECT place, epoch, day, coalesce(sum(t) OVER w, 0) AS pt, coalesce(sum(b) OVER w, 0) AS pb FROM d WINDOW w AS (PARTITION BY place, epoch ORDER BY day {PRIOR})),
+  l AS (SELECT epoch, day, sum(sum(t)) OVER w / nullif(sum(sum(b)) OVER w, 0) AS m FROM d GROUP BY epoch, day WINDOW w AS (PARTITION BY epoch ORDER BY day {PRIOR})) SELECT place, epoch, day, round(CASE WHEN pb >= 20 THEN pt / pb / m END + 1e-9, 6) AS ratio FROM p JOIN l USING (epoch, day)""")
+def break_ratio(spark, sf):
+    """How far balls go at a place, against the league's of the same days."""
+    rows = counted(flagged(spark, sf), ("length", "sw")).withColumn("place", F.col("entity") % 6)
+    return T.ratio_to_league(rows, ["place"], "epoch", "day", "length", "sw", 20, "ratio").select("place", "epoch", "day", steady("ratio"))
+
+
 SCREEN = f"""{EPISODES}{FLAGS}, {rates_sql('o', 'f', 'k % 6', OPPONENT, 2)}, {rates_sql('a', 'f', 'entity', OWN, 1)}, {rates_sql('b', 'f', 'k', MEMBER, 0)}, {rates_sql('e', 'f', 'entity % 6', PLACE, 2)},
   h AS (SELECT entity, epoch, day, n, s, CAST(count(*) OVER w AS BIGINT) AS starts, avg(n) OVER w AS mean_trials, avg(s) OVER w AS mean_hits, sum(s) OVER w / nullif(sum(n) OVER w, 0)::DOUBLE AS hit_rate, CASE WHEN count(s) OVER w3 >= 1 THEN avg(s) OVER w3 END AS last3, CASE WHEN count(s) OVER w5 >= 2 THEN avg(s) OVER w5 END AS last5, CAST(day - lag(day) OVER wl AS INTEGER) AS rest
     FROM ep WINDOW w AS (PARTITION BY entity, epoch ORDER BY day {PRIOR}), w3 AS (PARTITION BY entity, epoch ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), w5 AS (PARTITION BY entity, epoch ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), wl AS (PARTITION BY entity, epoch ORDER BY day)),

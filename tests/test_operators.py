@@ -183,3 +183,14 @@ def test_exact_quantiles(spark):
     q = [0.0, 0.1, 0.333, 0.5, 0.999, 1.0]
     assert np.allclose(ranking.exact_quantiles(df, "v", ["id"], q), np.quantile(v, q))
     assert ranking.exact_quantiles(df.limit(0), "v", ["id"], q) == []
+
+
+def test_unclean_splits_are_refused(spark):
+    schema = "epoch int, game int, entity int, day string"
+    train = spark.createDataFrame([(2024, 1, 1, "2024-05-01"), (2023, 2, 1, "2023-05-01")], schema)
+    test = spark.createDataFrame([(2025, 9, 1, "2025-05-01")], schema)
+    joins.require_clean_split(train, test, "epoch", ["game", "entity"], "day", 2023)
+    with pytest.raises(ValueError, match="1 early_epochs"):
+        joins.require_clean_split(train, test, "epoch", ["game", "entity"], "day", 2024)
+    with pytest.raises(ValueError, match="1 days, 1 epochs, 1 keys"):
+        joins.require_clean_split(train, train.limit(1), "epoch", ["game", "entity"], "day", 2023)
