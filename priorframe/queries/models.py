@@ -9,6 +9,7 @@ from priorframe.functions import pmf as X
 from priorframe.functions.rates import safe_rate, shrink_rate, sigmoid
 from priorframe.operators import asof, market as M, quality as Q, slates
 from priorframe.plans import evaluate as E, fit
+from priorframe.queries.positions import cap_sql
 from priorframe.queries.base import BETS, EPISODES, LOG, bets, episodes, log, query, r
 from priorframe.streaming import live
 
@@ -159,14 +160,21 @@ def lambda_select(spark, sf):
     return spark.createDataFrame(out, "lambda double, brier double")
 
 
-@query("isotonic_fit")
+@query("isotonic_fit", f"""WITH {PREDS}, t AS (SELECT p, y, event_id, row_number() OVER (ORDER BY p, event_id) - 1 AS rk, count(*) OVER () AS n FROM pr WHERE event_id % 2 = 0), c AS (SELECT rk // greatest(1, n // 20) AS b, avg(p) AS x, avg(y) AS y, count(*) AS n FROM t GROUP BY 1),
+  m AS (SELECT i.b AS lo, j.b AS hi, sum(c.y * c.n) / sum(c.n) AS v FROM c AS i JOIN c AS j ON j.b >= i.b JOIN c ON c.b BETWEEN i.b AND j.b GROUP BY ALL), low AS (SELECT c.b, m.lo, min(m.v) AS v FROM c JOIN m ON m.lo <= c.b AND m.hi >= c.b GROUP BY ALL), lv AS (SELECT b, max(v) AS v FROM low GROUP BY b),
+  k AS (SELECT round(lv.v, 12) AS g, sum(x * n) / sum(n) AS x, max(lv.v) AS v FROM c JOIN lv USING (b) GROUP BY 1), kn AS (SELECT x, v, lead(x) OVER w AS x1, lead(v) OVER w AS v1, row_number() OVER w AS i FROM k WINDOW w AS (ORDER BY x))
+  SELECT event_id, round(greatest(least(coalesce(CASE WHEN kn.x1 IS NULL THEN kn.v ELSE kn.v + (pr.p - kn.x) / (kn.x1 - kn.x) * (kn.v1 - kn.v) END, (SELECT min(v) FROM kn)), 1 - 1e-3), 1e-3) + 1e-9, 5) AS calibrated FROM pr LEFT JOIN kn ON pr.p >= kn.x AND (kn.x1 IS NULL OR pr.p < kn.x1) WHERE event_id % 2 = 1""")
 def isotonic(spark, sf):
     rows = preds(spark, sf)
     knots = fit.isotonic_fit(rows.filter("event_id % 2 = 0"), "p", "y", ["event_id"], 20)
-    return rows.filter("event_id % 2 = 1").select("event_id", F.round(fit.isotonic_predict(F.col("p"), knots), 6).alias("calibrated"))
+    return rows.filter("event_id % 2 = 1").select("event_id", F.round(fit.isotonic_predict(F.col("p"), knots) + 1e-9, 5).alias("calibrated"))
 
 
-@query("score_batch")
+@query("score_batch", f"""WITH RECURSIVE {EPISODES}, a AS (SELECT entity, day, coalesce(sum(n) OVER w, 0) AS pn, coalesce(sum(s) OVER w, 0) AS ps FROM ep WINDOW w AS (PARTITION BY entity ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  st AS (SELECT DISTINCT pn, ps, (ps + 20 * 0.2::DOUBLE) / (pn + 20) AS rate, 4 + pn / 20.0::DOUBLE AS mu FROM a), t AS (SELECT pn, ps, n, exp(lgamma(n + 20.0) - lgamma(20.0) - lgamma(n + 1) + 20 * ln(20 / (20 + mu)) + n * ln(mu / (20 + mu))) AS w FROM (SELECT *, unnest(range(0, 16)) AS n FROM st)), tw AS (SELECT pn, ps, n, w / sum(w) OVER (PARTITION BY pn, ps) AS w FROM t),
+  rec AS (SELECT pn, ps, rate, CAST(0 AS BIGINT) AS n, [1.0::DOUBLE] AS pmf FROM st UNION ALL SELECT pn, ps, rate, n + 1, [coalesce(pmf[i], 0) * (1 - least(rate * (1 - 0.01::DOUBLE * n), 0.99)) + coalesce(pmf[i - 1], 0) * least(rate * (1 - 0.01::DOUBLE * n), 0.99) for i in range(1, len(pmf) + 2)] FROM rec WHERE n < 15),
+  d AS (SELECT pn, ps, sum(w * (1 - pmf[1])) AS a, sum(w * (1 - pmf[1] - coalesce(pmf[2], 0))) AS b, sum(w * (1 - pmf[1] - coalesce(pmf[2], 0) - coalesce(pmf[3], 0))) AS c FROM rec JOIN tw USING (pn, ps, n) GROUP BY ALL)
+  SELECT entity, day, round(d.a + 1e-10, 7) AS over_0, round(d.b + 1e-10, 7) AS over_1, round(d.c + 1e-10, 7) AS over_2 FROM a JOIN d USING (pn, ps)""")
 def score_batch(spark, sf):
     """Features to trial-count pmf, unit probabilities, success pmf and line probabilities: column expressions alone."""
     ep = asof.prior_sums(episodes(spark, sf), ["entity"], ["day"], ["n", "s"]).select("entity", "day", "prior_n", "prior_s")
@@ -174,7 +182,7 @@ def score_batch(spark, sf):
     x = ep.select("prior_n", "prior_s").distinct().withColumn("rate", shrink_rate("prior_s", "prior_n", 0.2, 20)).withColumn("trials", X.normalize(X.negbin_pmf(4 + F.col("prior_n") / 20, F.lit(0.05), 15)))
     x = x.withColumn("probs", F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: F.least(F.col("rate") * (1 - 0.01 * i), F.lit(0.99))))
     x = x.withColumn("pmf", X.compound(F.col("probs"), F.col("trials")))
-    x = x.select("prior_n", "prior_s", *(F.round(X.tail_above(F.col("pmf"), F.lit(v)), 7).alias(n) for n, v in (("over_0", 0.5), ("over_1", 1.5), ("over_2", 2.5))))
+    x = x.select("prior_n", "prior_s", *(F.round(X.tail_above(F.col("pmf"), F.lit(v)) + 1e-10, 7).alias(n) for n, v in (("over_0", 0.5), ("over_1", 1.5), ("over_2", 2.5))))
     return ep.join(x, ["prior_n", "prior_s"]).select("entity", "day", "over_0", "over_1", "over_2")
 
 
@@ -231,7 +239,12 @@ def season_gate(spark, sf):
     return E.paired_by_group(x, ["group"], "with_prior", "without", "y").select("group", "n", r("brier_a", 6).alias("brier_with"), r("brier_b", 6).alias("brier_without"), r("gain", 7), r("z", 3))
 
 
-@query("daily_board")
+@query("daily_board", f"""WITH RECURSIVE {EPISODES}, a AS (SELECT entity, day, (coalesce(sum(s) OVER w, 0) + 20 * 0.3::DOUBLE) / (coalesce(sum(n) OVER w, 0) + 20) AS prob FROM ep WINDOW w AS (PARTITION BY entity ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  qu AS (SELECT entity, day, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(k, (ts, event_id)) AS k FROM log WHERE kind = 'view' GROUP BY ALL), pr AS (SELECT qu.*, prob, 100.0::DOUBLE / (200 + k) AS io, (110.0::DOUBLE + k) / (210 + k) AS iu FROM qu JOIN a USING (entity, day)),
+  f AS (SELECT *, io / (io + iu) AS fair, io + iu - 1 AS hold FROM pr), g AS (SELECT *, 0.5 * (prob - fair) AS gain, 0.5 * prob + 0.5 * fair AS bl FROM f), h AS (SELECT *, abs(bl - fair) AS edge, CASE WHEN gain >= -gain THEN 1 / io ELSE 1 / iu END AS dec, CASE WHEN gain >= -gain THEN bl ELSE 1 - bl END AS bp, greatest(hold + 0.02, 0.03) AS threshold FROM g),
+  i AS (SELECT *, edge >= threshold AND bp * dec - 1 >= 0.04 AS play, greatest(0, least(2, 25 * ((dec - 1) * bp - (1 - bp)) / (dec - 1))) AS raw FROM h),
+  given_bets AS (SELECT day, event_id AS bet, entity AS episode, edge, CASE WHEN NOT play OR raw < 0.125 THEN 0 WHEN raw < 0.375 THEN 0.25 WHEN raw < 0.75 THEN 0.5 ELSE least(round_even(raw, 0), 2) END::DOUBLE AS stake FROM i), {cap_sql('given_bets', 'BIGINT')}
+  SELECT day, bet AS event_id, units, capped FROM capped""")
 def daily_board(spark, sf):
     """Quotes joined as-of with entity state, priced, staked and capped by day."""
     state = asof.prior_sums(episodes(spark, sf), ["entity"], ["day"], ["n", "s"]).select("entity", "day", shrink_rate("prior_s", "prior_n", 0.3, 20).alias("prob"))

@@ -49,6 +49,20 @@ EDGE = f"""{BETS}, f AS (SELECT *, 1 / ({D1}) AS io, 1 / ({D2}) AS iu FROM bets)
   q AS (SELECT *, CASE WHEN NOT play OR raw < 0.125 THEN 0 WHEN raw < 0.375 THEN 0.25 WHEN raw < 0.75 THEN 0.5 ELSE least(round_even(raw, 0), 2) END::DOUBLE AS units FROM k)"""
 
 
+def step_down(x: str) -> str:
+    """The greatest clean stake that is not above x."""
+    return f"CASE {' '.join(f'WHEN {x} >= {d} - 1e-9 THEN {d}' for d in P.DENOMINATIONS)} ELSE 0 END::DOUBLE"
+
+
+def cap_sql(bets: str, kind: str) -> str:
+    """CTEs that end in capped (day, bet, units, capped): the fold over a day's bets of the CTE bets (day, bet, episode, stake, edge)."""
+    return f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY -edge, bet) AS rn FROM {bets} WHERE stake > 0),
+  fold AS (SELECT DISTINCT day, CAST(0 AS BIGINT) AS rn, CAST(NULL AS {kind}) AS bet, {M.DAILY_CAP}::DOUBLE AS rest, CAST([] AS {kind}[]) AS seen, 0.0::DOUBLE AS units FROM ordered
+    UNION ALL SELECT day, rn, bet, rest - given, CASE WHEN given > 0 THEN list_append(seen, episode) ELSE seen END, given
+    FROM (SELECT *, CASE WHEN rest > 0 THEN {step_down('least(asked, rest)')} ELSE 0 END AS given FROM (SELECT o.day, o.rn, o.bet, o.episode, rest, seen, CASE WHEN list_contains(seen, o.episode) THEN o.stake * (1 - {M.REPEAT_HAIRCUT}::DOUBLE) ELSE o.stake END AS asked FROM fold JOIN ordered AS o ON o.day = fold.day AND o.rn = fold.rn + 1))),
+  capped AS (SELECT day, bet, units, units <= 0 AS capped FROM fold WHERE rn > 0)"""
+
+
 def edges(spark, sf):
     return M.evaluate_edges(bets(spark, sf), "prob", "odds", "other_odds", 0.5, F.col("bet") % 4 != 0)
 
@@ -169,7 +183,17 @@ def devig(spark, sf):
     return M.devig_ladder(lad, holds, "entity", "milestone", "odds").select("entity", "milestone", r("fair"))
 
 
-@query("evaluate_ladder")
+@query("evaluate_ladder", f"""WITH {LOG}, r AS (SELECT entity, k % 12 + 1 AS milestone, min(value) AS v, avg(success) AS rate FROM log GROUP BY ALL),
+  x AS (SELECT entity, milestone, CASE WHEN v < 10 THEN -130 ELSE 100 + CAST(floor(v) AS INTEGER) END AS odds, 0.9::DOUBLE - 0.06::DOUBLE * milestone + 0.1::DOUBLE * rate AS model, entity % 5 + 2.5::DOUBLE AS line, entity % 3 <> 0 AS is_over, CASE WHEN entity % 4 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS units, entity % 4 AS gap FROM r),
+  y AS (SELECT *, CAST(ceil(line) AS INTEGER) AS base, is_over AND gap >= {M.GAP_MIN} AS is_open, CASE WHEN odds > 0 THEN 1 + odds / 100.0::DOUBLE ELSE 1 + 100.0::DOUBLE / -odds END AS dec FROM x),
+  z AS (SELECT *, 1 / dec / (1 + {P.ALT_SIDE_MARGIN}::DOUBLE) AS fair, milestone - base AS far FROM y), b AS (SELECT *, 0.5 * model + 0.5 * fair AS blended FROM z), e AS (SELECT *, blended - fair AS edge, blended * dec - 1 AS ev FROM b),
+  w AS (SELECT *, CASE WHEN edge > 0 THEN greatest(0, least(2, 25 * ((dec - 1) * blended - (1 - blended)) / (dec - 1))) ELSE 0 END AS raw, edge - {M.LADDER_THRESHOLD}::DOUBLE AS over_by FROM e),
+  st AS (SELECT *, CASE WHEN over_by >= 0.06 THEN 'STRONG' WHEN over_by >= 0.03 THEN 'MEDIUM' WHEN over_by >= 0 THEN 'LEAN' ELSE 'NO_PLAY' END AS strength, CASE WHEN milestone = base THEN 'primary_equivalent' WHEN NOT is_open THEN 'passed_gap_gate' WHEN far NOT BETWEEN 1 AND {M.RUNGS} THEN 'passed_not_next_rung' WHEN edge <= 0 THEN 'passed_no_edge' WHEN ev < {P.MIN_EV} THEN 'passed_below_ev' WHEN raw < 0.1 THEN 'passed_stake_too_small' WHEN over_by < 0 THEN 'passed_below_threshold' ELSE 'candidate' END AS status FROM w),
+  c AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY milestone) AS rn, least(raw, {P.KELLY_CAP}, units * pow({M.RUNG_FRACTION}, greatest(1, far))) AS most, {M.ENTITY_CAP}::DOUBLE - units AS room FROM st WHERE status = 'candidate'),
+  one AS (SELECT *, CASE WHEN room > 0 THEN {step_down('least(most, room)')} ELSE 0 END AS stake FROM c WHERE rn = 1),
+  both_ AS (SELECT entity, milestone, edge, ev, strength, room, stake FROM one UNION ALL SELECT c.entity, c.milestone, c.edge, c.ev, c.strength, c.room - one.stake, CASE WHEN c.room - one.stake > 0 THEN {step_down('least(c.most, c.room - one.stake)')} ELSE 0 END FROM c JOIN one ON one.entity = c.entity AND c.rn = 2)
+  SELECT entity, milestone, CASE WHEN room <= 0 THEN 'passed_pitcher_cap' WHEN stake <= 0 THEN 'passed_stake_too_small' ELSE 'bet' END AS status, stake AS units, round(edge, 6) AS edge, round(ev, 6) AS ev, strength FROM both_
+  UNION ALL SELECT entity, milestone, status, 0.0::DOUBLE, round(edge, 6), round(ev, 6), strength FROM st WHERE status <> 'candidate'""")
 def ladder(spark, sf):
     e = log(spark, sf)
     rungs = e.groupBy("entity", (F.col("k") % 12 + 1).alias("milestone")).agg(F.min("value").alias("v"), F.avg("success").alias("rate"))
@@ -179,7 +203,7 @@ def ladder(spark, sf):
     return out.select("entity", "milestone", "status", "units", r("edge"), r("ev"), "strength")
 
 
-@query("portfolio_cap")
+@query("portfolio_cap", f"WITH RECURSIVE {EDGE}, given_bets AS (SELECT day, bet, entity % 7 AS episode, units AS stake, edge FROM q), {cap_sql('given_bets', 'BIGINT')} SELECT day, bet, units, capped FROM capped")
 def cap(spark, sf):
     rows = edges(spark, sf).withColumn("episode", F.col("entity") % 7)
     return M.portfolio_cap(rows, "day", "bet", "episode", "stake", "edge")
