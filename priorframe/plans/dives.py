@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from priorframe.functions.special import normal_cdf
 from priorframe.plans import fit
+from priorframe.plans.evaluate import correlation
 
 
 @dataclass(frozen=True)
@@ -180,3 +182,42 @@ def unit_swap(df: DataFrame, models: dict[str, list[str]], y: str, splits: dict[
         errors = rows.filter(test).agg(*(miss(f) for f in fits.values())).first()
         out += [{"split": split, "model": name, "brier": e, "coef": dict(zip(f.names, map(float, f.coef)))} for (name, f), e in zip(fits.items(), errors)]
     return out
+
+
+def _prediction(m: Moments, terms: list[str]) -> Column:
+    return fit.linear(("1", *terms), m.solve(terms))
+
+
+def candidate_screen(df: DataFrame, base: list[str], candidates: list[str], y: str, by: str, splits: Splits) -> list[dict]:
+    """Each candidate on top of the base, paired on the same test rows: error and its paired t, correlation with the base's residual, and calibration at a line.
+
+    The line is set once a row, from the base's forecast (to halves, never whole), so that
+    both models price the same bet; brier_gain is what the candidate brings there. Fits
+    are solves of one table of moments, and a split's test rows are read once for all candidates.
+    """
+    table = moments(df, [*base, *candidates], y, by)
+    parts = split_moments(table, splits)
+    clean = df.select(by, *(F.col(c).cast("double").alias(c) for c in dict.fromkeys([*base, *candidates, y]))).dropna()
+    found: dict[str, dict] = {c: {} for c in candidates}
+    for s, (train, test) in parts.items():
+        p0 = _prediction(train, base)
+        half = F.round(p0 * 2) / 2
+        line = F.when(half == F.floor(half), half + 0.5).otherwise(half)
+        rows = clean.filter(F.col(by).isin(sorted(splits[s][1]))).withColumn("_p", p0).withColumn("_line", line).withColumn("_over", (F.col(y) > F.col("_line")).cast("double"))
+        sd = {t: math.sqrt(max(train.errors(list(t), train.solve(list(t))), 1e-12)) for t in [tuple(base), *((*base, c) for c in candidates)]}
+        chance = lambda p, t: 1 - normal_cdf((F.col("_line") - p) / sd[t])  # noqa: B023, E731
+        q0 = chance(F.col("_p"), tuple(base))
+        sums = []
+        for c in candidates:
+            p1 = _prediction(train, [*base, c])
+            gain = F.pow(F.col(y) - F.col("_p"), F.lit(2.0)) - F.pow(F.col(y) - p1, F.lit(2.0))
+            sums += [F.avg(gain), F.stddev_samp(gain), correlation(F.col(c), F.col(y) - F.col("_p")), F.avg(F.pow(F.col("_over") - q0, F.lit(2.0)) - F.pow(F.col("_over") - chance(p1, (*base, c)), F.lit(2.0)))]
+        row = rows.agg(F.count(F.lit(1)), *sums).first()
+        for i, c in enumerate(candidates):
+            mean, spread, r, brier = row[1 + 4 * i : 5 + 4 * i]
+            paired = mean / (spread / math.sqrt(row[0])) if spread else 0.0
+            found[c][s] = gain_of(train, test, [*base, c], c) | {"paired_t": paired, "residual_r": r, "brier_gain": brier}
+    out = []
+    for c, rows in found.items():
+        out.append(summary(c, rows) | {f"{k}_{s}": r[k] for s, r in rows.items() for k in ("paired_t", "residual_r", "brier_gain")})
+    return sorted(out, key=lambda r: (-(r["worst_gain_pct"] or 0.0), r["term"]))

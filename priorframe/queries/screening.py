@@ -239,6 +239,14 @@ def joint_drop_one(spark, sf):
     return rows_of(spark, D.joint_drop_one(terms(spark, sf), BASE, SURVIVORS, SPLITS), f"term string, block string, verdict string, worst_gain_pct double, {PER_SPLIT}")
 
 
+@query("candidate_screen")
+def candidate_screen(spark, sf):
+    """Every candidate on the base of the screen: error, paired t and calibration at a line, split by split."""
+    columns = ", ".join(f"{k}_{s} double" for s in SPLITS for k in ("gain_pct", "t", "coef", "paired_t", "residual_r", "brier_gain"))
+    found = D.candidate_screen(screen(spark, sf).persist(), BASE, [*SURVIVORS, "o_chase", "Lb_chase", "o_two", "Lb_two"], "s", "epoch", SPLITS)
+    return rows_of(spark, found, f"term string, verdict string, worst_gain_pct double, {columns}")
+
+
 @query("opponent_baseline")
 def opponent_baseline(spark, sf):
     """Which representation of the opponents belongs in the model: each alone on a base without any."""

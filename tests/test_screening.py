@@ -136,6 +136,31 @@ def test_subset_models_equal_refits(screened):
     assert models[0]["rmse_b"] == pytest.approx(refit(epoch, x, y, [0, 1], *splits["b"])[0], abs=1e-9)
 
 
+def test_candidates_at_a_line_equal_refits(spark, screened):
+    terms, _, (epoch, x, y) = screened
+    splits = {"a": ({1, 2}, {3})}
+    got = {r["term"]: r for r in D.candidate_screen(Q.screen(spark, SF).select("epoch", "s", *terms), terms[:3], terms[3:], "s", "epoch", splits)}
+    train, test = np.isin(epoch, [1, 2]), epoch == 3
+    cdf = lambda z: 0.5 * (1 + math.erf(z / math.sqrt(2)))
+
+    def predict(columns):
+        design = lambda m: np.column_stack([np.ones(m.sum()), x[m][:, columns]])
+        coef = np.linalg.lstsq(design(train), y[train], rcond=None)[0]
+        return design(test) @ coef, math.sqrt(np.mean((y[train] - design(train) @ coef) ** 2))
+
+    p0, sd0 = predict([0, 1, 2])
+    half = np.floor(np.abs(p0) * 2 + 0.5) * np.sign(p0) / 2
+    line = np.where(half == np.floor(half), half + 0.5, half)
+    over = (y[test] > line).astype(float)
+    for i, name in enumerate(terms[3:]):
+        p1, sd1 = predict([0, 1, 2, 3 + i])
+        brier = [np.mean((over - np.array([1 - cdf(v) for v in (line - p) / sd])) ** 2) for p, sd in ((p0, sd0), (p1, sd1))]
+        d = (y[test] - p0) ** 2 - (y[test] - p1) ** 2
+        assert got[name]["brier_gain_a"] == pytest.approx(brier[0] - brier[1], abs=1e-6)
+        assert got[name]["paired_t_a"] == pytest.approx(d.mean() / (d.std(ddof=1) / math.sqrt(len(d))), abs=1e-6)
+        assert got[name]["residual_r_a"] == pytest.approx(np.corrcoef(x[test][:, 3 + i], y[test] - p0)[0, 1], abs=1e-6)
+
+
 def test_parsimony_drops_the_cheapest_term_first(screened):
     terms, by, (epoch, x, y) = screened
     splits = {"a": ({1, 2}, {3}), "b": ({3, 4}, {1, 2})}
