@@ -141,12 +141,11 @@ def best_of_slots(rows: DataFrame, anchors: list, limits: np.ndarray, floor: np.
 
 def suffix_merges(slots: str, width: int, k: int) -> Column:
     """For each slot, the k best entries of it and of all below; slots has structs (slot, down, id, score), in order."""
-    kind = "array<array<struct<slot:int,down:bigint,id:bigint,score:bigint>>>"
-    none = F.lit(None).cast(kind)[0]
-    below = lambda done: F.coalesce(F.get(done, F.lit(0)), F.array().cast(kind[6:-1]), none)
+    kind = "array<struct<slot:int,down:bigint,id:bigint,score:bigint>>"
+    below = lambda done: F.coalesce(F.get(done, F.lit(0)), F.array().cast(kind))
     own = lambda j: F.filter(F.col(slots), lambda e: e["slot"] == j)
     step = lambda done, j: F.concat(F.array(F.slice(F.concat(own(j), below(done)), 1, k)), done)
-    return F.aggregate(F.sequence(F.lit(width - 1), F.lit(0), F.lit(-1)), F.array().cast(kind), step)
+    return F.aggregate(F.sequence(F.lit(width - 1), F.lit(0), F.lit(-1)), F.array().cast(f"array<{kind}>"), step)
 
 
 def mine(
