@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorframe.llm.common import boxed, materialize, table
+from priorframe.llm.common import boxed, discard, materialize, table
 from priorframe.llm.decontaminate import contaminated, mark_contamination
 from priorframe.llm.line_dedup import drop_duplicate_lines
 from priorframe.llm.mixing import mix_documents
@@ -58,9 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; a stage's table goes when the next one's is written, but for the last, which the result reads."""
+    docs, kept = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, name.replace(" ", "-"))
+            if kept is not None:
+                discard(kept)
+            kept = docs
     return docs
