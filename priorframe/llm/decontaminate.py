@@ -7,10 +7,12 @@ benchmark are extended: every window of WINDOW words around the hit is looked up
 its words compared. An item with fewer words is one window, looked up whole.
 
 Documents are read once, in place: nothing of them is shuffled. The benchmark is
-broadcast in blocks of a checked size; with more than one block, the spans found so
-far are written between blocks, so memory stays that of one block.
+broadcast in blocks of a checked size, each as sorted arrays of hashes over one buffer of
+its words (about 30 bytes a word position beside the words); with more than one block, the
+spans found so far are written between blocks, so memory stays that of one block.
 
-Edge cases: a null text or one without words has no hits; items without words, and
+Edge cases: a null text or one without words has no hits; a very long text is read whole,
+as a chunk of its own; items without words, and
 items with a null id, are never reported (the latter's windows still hit); repeated
 items are one; repeated rows are judged alike and all stay; extra columns pass
 through, but for those with the name of a result column; an empty table gives no
@@ -22,6 +24,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -60,31 +63,74 @@ def item_words(text: str) -> list[bytes]:
     return [buf[s:e].tobytes() for s, e in zip(starts, ends)]
 
 
+@dataclass
+class Windows:
+    """Distinct windows of one size, by hash: where their bytes stand in the block's buffer, and their owners as a range of the owner list."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    owner_at: np.ndarray
+    owners: np.ndarray
+
+
 class Index:
-    """Fingerprints and windows of a block of benchmark items."""
+    """Fingerprints and windows of a block of benchmark items, as sorted arrays over one buffer of their words.
+
+    A window of a block costs about 30 bytes beside its words, which stand once in the
+    buffer, one blank apart.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, gram: int = GRAM):
-        self.window, self.gram = window, gram
-        self.owners: dict[bytes, set[str]] = defaultdict(set)
-        prints: set[int] = set()
-        hashes: dict[int, set[int]] = defaultdict(set)
+        self.window, self.gram, self.names = window, gram, []
+        parts, at = [], 0
+        prints: list[np.ndarray] = []
+        found: dict[int, list[tuple]] = defaultdict(list)
         for item, text in items:
             words = item_words(text)
             if not words:
                 continue
             n = min(window, len(words))
+            sizes = np.array([len(w) for w in words])
+            ends = at + np.cumsum(sizes + 1) - 1
             values = self.word_hashes(words)
-            for h, i in zip(textkit.gram_hash(values, n), range(len(words) - n + 1)):
-                hashes[n].add(int(h))
-                owner = self.owners[b" ".join(words[i : i + n])]
-                if item is not None:
-                    owner.add(item)
+            count = len(words) - n + 1
+            found[n].append((textkit.gram_hash(values, n), (ends - sizes)[:count], ends[n - 1 :], np.full(count, len(self.names) if item is not None else -1)))
+            if item is not None:
+                self.names.append(item)
             if n == window:
                 grams = textkit.gram_hash(values, gram)
-                prints.update(grams[winnow(grams, window - gram + 1)].tolist())
-        self.prints = np.array(sorted(prints), np.uint64)
-        self.hashes = {n: np.array(sorted(h), np.uint64) for n, h in hashes.items()}
-        self.owners = dict(self.owners)
+                prints.append(grams[winnow(grams, window - gram + 1)])
+            parts += [*words]
+            at = int(ends[-1]) + 1
+        self.buffer = b" ".join(parts)
+        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
+        self.windows = {n: self.distinct(*(np.concatenate(x) for x in zip(*rows))) for n, rows in found.items()}
+        self.hashes = {n: np.unique(w.hashes) for n, w in self.windows.items()}
+
+    def distinct(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> Windows:
+        order = np.lexsort((owner, hashes))
+        hashes, starts, ends, owner = hashes[order], starts[order], ends[order], owner[order]
+        name = np.arange(len(hashes))  # the first occurrence of each window's bytes
+        same = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
+        first: dict[bytes, int] = {}
+        for i in same.tolist():
+            if i - 1 == 0 or hashes[i - 2] != hashes[i - 1]:  # a new run of equal hashes
+                first = {self.buffer[starts[i - 1] : ends[i - 1]]: i - 1}
+            name[i] = first.setdefault(self.buffer[starts[i] : ends[i]], i)
+        order = np.lexsort((owner, name))
+        name, owner = name[order], owner[order]
+        keep = (owner >= 0) & np.concatenate([[True], (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])])[: len(name)]
+        heads = np.unique(name)
+        return Windows(hashes[heads], starts[heads], ends[heads], np.concatenate([np.searchsorted(name[keep], heads), [int(keep.sum())]]), owner[keep])
+
+    def owners_of(self, n: int, value: np.uint64, text: bytes) -> set[str] | None:
+        """Items that hold the window of these bytes (value is its hash), or None if no window of the block is equal to it."""
+        w = self.windows[n]
+        for i in range(int(np.searchsorted(w.hashes, value, "left")), int(np.searchsorted(w.hashes, value, "right"))):
+            if self.buffer[w.starts[i] : w.ends[i]] == text:
+                return {self.names[k] for k in w.owners[w.owner_at[i] : w.owner_at[i + 1]].tolist()}
+        return None
 
     @staticmethod
     def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -108,8 +154,8 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidates(index: Index, hashes: np.ndarray, first: np.ndarray) -> dict[int, np.ndarray]:
-    """By window size, starts of windows that fingerprints or short items point to. first: each text's first word."""
+def candidates(index: Index, hashes: np.ndarray, first: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By window size, starts and hashes of windows that fingerprints or short items point to. first: each text's first word."""
     out = {}
     text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     for n, known in index.hashes.items():
@@ -133,7 +179,8 @@ def candidates(index: Index, hashes: np.ndarray, first: np.ndarray) -> dict[int,
             for j in range(1, n):
                 values = values * np.uint64(textkit.BASE) + rows[:, j]
             values = textkit.mix(values)
-        out[n] = starts[among(values, known)]
+        hit = among(values, known)
+        out[n] = starts[hit], values[hit]
     return out
 
 
@@ -161,9 +208,9 @@ def find_hits(index: Index, column: pa.Array) -> tuple[list[int], list[list[tupl
         counts += np.diff(first).tolist()
         windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
         items: dict[int, set[str]] = defaultdict(set)
-        for n, at in candidates(index, hashes, first).items():
-            for s in at.tolist():
-                owners = index.owners.get(b" ".join(buf[a:b].tobytes() for a, b in zip(starts[s : s + n], ends[s : s + n])))
+        for n, (at, values) in candidates(index, hashes, first).items():
+            for s, value in zip(at.tolist(), values):
+                owners = index.owners_of(n, value, b" ".join(buf[a:b].tobytes() for a, b in zip(starts[s : s + n], ends[s : s + n])))
                 if owners is not None:
                     d = int(np.searchsorted(first, s, "right")) - 1
                     windows[d].append((s - int(first[d]), s - int(first[d]) + n))

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from priorframe.llm import decontaminate as D
+from priorframe.llm import decontaminate as D, textkit
 
 DOCS = "doc_id long, text string, items string, n_chars long"
 ITEMS = "item_id long, text string"
@@ -78,3 +78,20 @@ def test_blocks_hold_no_repeats_and_are_bounded(spark):
     large = [b for b in blocks if sum(len(t) for _, t in b) > 1000]
     assert len(large) == 1 and "long" in [i for i, _ in large[0]]
     assert list(D.benchmark_blocks(spark.createDataFrame([], ITEMS), "item_id", "text", 1000)) == [[]]
+
+
+def test_windows_of_equal_hash_are_told_apart():
+    """Hashes patched to a few values: the words still decide, and every owner is found."""
+    import numpy as np
+
+    items = [("a", "one two three four five six seven eight nine ten eleven"), ("b", "two three four five six seven eight nine ten eleven"), (None, "short item"), ("c", "short item"), ("d", ""), ("a", "other words altogether")]
+    index = D.Index(items)
+    ten = b"two three four five six seven eight nine ten eleven"
+    value = textkit.gram_hash(D.Index.word_hashes(ten.split()), 10)[0]
+    assert index.owners_of(10, value, ten) == {"a", "b"} and index.owners_of(10, value, ten + b"x") is None
+    rows = [(np.full(2, 7, np.uint64), np.array([0, 4]), np.array([3, 7]), np.array([0, 1])), (np.full(2, 7, np.uint64), np.array([0, 4]), np.array([3, 7]), np.array([1, -1]))]
+    windows = index.distinct(*(np.concatenate(x) for x in zip(*rows)))
+    spelled = {index.buffer[s:e]: sorted(windows.owners[a:b].tolist()) for s, e, a, b in zip(windows.starts, windows.ends, windows.owner_at, windows.owner_at[1:])}
+    assert spelled == {b"one": [0, 1], b"two": [1]}
+    short = textkit.gram_hash(D.Index.word_hashes([b"short", b"item"]), 2)[0]
+    assert index.owners_of(2, short, b"short item") == {"c"}
