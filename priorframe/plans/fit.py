@@ -177,17 +177,17 @@ def apply_design(df: DataFrame, spec: dict[str, dict[str, float]], strict: bool
     return df.withColumns(out), names
 
 
-def grid_fit(df: DataFrame, prob: Callable[[Column], Column], y: str, trials: str, grid_name: str, low: float, high: float, points: int) -> DataFrame:
-    """Binomial log-loss at each value of a grid, from one aggregate of as many sums; prob gives the probability at a value."""
-    values = [low + (high - low) * i / (points - 1) for i in range(points)]
+def grid_fit(df: DataFrame, prob: Callable[[Column], Column], by: list[str], y: str, trials: str, grid_name: str, low: float, high: float, points: int) -> DataFrame:
+    """Binomial log-loss at each value of a grid; prob gives the probability at a value, from the columns by alone.
 
-    def loss(w: float) -> Column:
-        p = F.greatest(F.least(prob(F.lit(w)), F.lit(1 - 1e-9)), F.lit(1e-9))
-        return F.sum(-(F.col(y) * F.ln(p) + (F.col(trials) - F.col(y)) * F.ln(1 - p))) / F.sum(trials)
-
-    sums = df.agg(*(loss(w).alias(f"_{i}") for i, w in enumerate(values)))
-    pairs = F.array(*(F.struct(F.lit(w).alias(grid_name), F.col(f"_{i}").alias("loss")) for i, w in enumerate(values)))
-    return sums.select(F.explode(pairs).alias("x")).select("x.*")
+    Rows of equal columns have equal probabilities: they are added up first, and only
+    those cells meet the grid.
+    """
+    cells = df.groupBy(*by).agg(F.sum(y).alias(y), F.sum(trials).alias(trials))
+    values = F.explode(F.array(*(F.lit(low + (high - low) * i / (points - 1)) for i in range(points)))).alias(grid_name)
+    p = F.greatest(F.least(prob(F.col(grid_name)), F.lit(1 - 1e-9)), F.lit(1e-9))
+    loss = -(F.col(y) * F.ln(p) + (F.col(trials) - F.col(y)) * F.ln(1 - p))
+    return cells.select("*", values).groupBy(grid_name).agg((F.sum(loss) / F.sum(trials)).alias("loss"))
 
 
 def isotonic_fit(df: DataFrame, p: str, y: str, tie: list[str], parts: int = 50) -> list[tuple[float, float]]:

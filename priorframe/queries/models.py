@@ -145,7 +145,7 @@ def spec(spark, sf):
 @query("grid_fit", f"WITH {EPISODES}, a AS (SELECT *, coalesce(sum(s) OVER w, 0) AS ps, coalesce(sum(n) OVER w, 0) AS pn FROM ep WINDOW w AS (PARTITION BY entity ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT unnest(range(0, 41)) * 5.0::DOUBLE + 1 AS w), q AS (SELECT w, n, s, (ps + w * 0.2) / (pn + w) AS p FROM a, g) SELECT w, round(-sum(s * ln(greatest(p, 1e-9)) + (n - s) * ln(greatest(1 - p, 1e-9))) / sum(n), 7) AS loss FROM q GROUP BY w")
 def grid(spark, sf):
     a = asof.prior_sums(episodes(spark, sf), ["entity"], ["day"], ["n", "s"])
-    return fit.grid_fit(a, lambda w: (F.col("prior_s") + w * 0.2) / (F.col("prior_n") + w), "s", "n", "w", 1.0, 201.0, 41).select("w", r("loss", 7))
+    return fit.grid_fit(a, lambda w: (F.col("prior_s") + w * 0.2) / (F.col("prior_n") + w), ["prior_n", "prior_s"], "s", "n", "w", 1.0, 201.0, 41).select("w", r("loss", 7))
 
 
 @query("lambda_select")
