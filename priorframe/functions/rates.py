@@ -28,6 +28,13 @@ def gated_rate(hits, trials, least: int) -> Column:
     return F.when(col(trials) >= least, col(hits) / col(trials))
 
 
+def ratio(top, bottom) -> Column:
+    """top / bottom as floating point has it: over zero it is infinite, and not a number for zero over zero."""
+    a, b = col(top).cast("double"), col(bottom).cast("double")
+    over_zero = F.when(F.isnan(a) | (a == 0), float("nan")).when(a > 0, float("inf")).otherwise(float("-inf"))
+    return F.when((b == 0) & a.isNotNull(), over_zero).otherwise(F.try_divide(a, b))
+
+
 def clamp(p, eps: float = 1e-6) -> Column:
     return F.greatest(F.least(col(p), F.lit(1 - eps)), F.lit(eps))
 

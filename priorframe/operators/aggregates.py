@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from priorframe.functions.rates import gated_rate, safe_rate, wilson
+from priorframe.functions.rates import gated_rate, ratio, safe_rate, wilson
 
 
 def count_when(condition: Column) -> Column:
@@ -103,10 +103,10 @@ def ceiling(rows: DataFrame, entity: str, value: str, least: int) -> DataFrame:
 
 
 def weighted_cover_mean(df: DataFrame, keys: list[str], value: str, weight: str, least: float = 0.5) -> DataFrame:
-    """Weighted mean over rows with a value; null where they cover less than least of the weight."""
+    """Weighted mean over rows with a value; null where they cover less than least of the weight, not a number where the covered weight is zero as all weight is."""
     covered = F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))
-    mean = F.sum(F.col(value) * F.col(weight)) / covered
-    return df.groupBy(*keys).agg(F.when(covered / F.sum(weight) >= least, mean).alias("mean"))
+    mean = ratio(F.sum(F.col(value) * F.col(weight)), covered)
+    return df.groupBy(*keys).agg(F.when(ratio(covered, F.sum(weight)) >= least, mean).alias("mean"))
 
 
 def mix_tvd(recent: DataFrame, season: DataFrame, entity: str, kind: str, share: str, least: float = 0.9) -> DataFrame:
