@@ -13,6 +13,16 @@ def count_when(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0)).cast("long")
 
 
+def sums_in_order(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Sum of value by keys, added row after row in a total order: floating-point sums that come out the same however rows are dealt.
+
+    A running sum over a sorted group, which can spill; its last row is the sum.
+    """
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = df.withColumn("_sum", F.sum(value).over(upto))
+    return running.groupBy(*keys).agg(F.max_by("_sum", F.struct(*order)).alias(name))
+
+
 def classify(df: DataFrame, column: str, vocabularies: dict[str, tuple[str, ...]]) -> DataFrame:
     """An int flag for each named set of values; null counts as in none."""
     return df.withColumns({name: F.coalesce(F.col(column).isin(*values), F.lit(False)).cast("int") for name, values in vocabularies.items()})

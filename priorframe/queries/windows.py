@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from priorframe.functions.rates import shrink_rate
-from priorframe.operators import asof, episodes as epi, ranking
+from priorframe.operators import aggregates as A, asof, episodes as epi, ranking
 from priorframe.queries.base import BULK_DAYS, EPISODES, LOG, bulk_days, episodes, log, query, r
 
 
@@ -220,7 +220,9 @@ for _rule, _bin in (
 @query("equal_count_bins_quantile", f"""WITH {EPISODES}, q AS (SELECT quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM ep)
   SELECT CAST(len(list_filter(e, lambda x: v > x)) AS INTEGER) AS bin, count(*) AS n FROM ep, q GROUP BY 1""")
 def quantile_bins(spark, sf):
-    return ranking.equal_count_bins(episodes(spark, sf), "v", ["entity", "day"], 10, "quantile").groupBy(F.col("bin").cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    # Many episodes have equal sums, and edges lie among them: sums are added in the order of the log.
+    ep = A.sums_in_order(log(spark, sf), ["entity", "day"], ["event_id", "value"], "value", "v")
+    return ranking.equal_count_bins(ep, "v", ["entity", "day"], 10, "quantile").groupBy(F.col("bin").cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("leave_one_out", f"""WITH {EPISODES} SELECT entity, day, CAST(sum(n) OVER (PARTITION BY entity) - n AS BIGINT) AS other_n, CAST(sum(s) OVER (PARTITION BY entity) - s AS BIGINT) AS other_s FROM ep""")
