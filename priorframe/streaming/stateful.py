@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from priorframe.sources.work import work_dir
 
-STATE = "actors array<long>, firsts array<long>, ids array<long>, done array<boolean>, terminal long"
+#: A bucket of groups: an Arrow table of first appearances.
+STATE = "appearances binary"
 FOREVER = 1 << 62
 
 
@@ -39,7 +42,33 @@ def settlements(actors: dict[int, tuple[int, int]], terminal: int | None) -> dic
     return out
 
 
-def settle(rows: DataFrame, group: list[str], actor: str, event_time: str, id_col: str, terminal: str, cutoff: str, delay: str) -> DataFrame:
+def settled_part(rows: pd.DataFrame, group: list[str], now: int) -> pd.DataFrame:
+    """The first appearance of each actor of each group, in order within groups, with what settlements says of it.
+
+    rows: group, actor, unknown (the actor is null), at, id, done, terminal (the time of an
+    end, else FOREVER). Added are time (FOREVER: none yet), reason, and out: settled before now.
+    """
+    of = rows.groupby(group, sort=False, dropna=False).ngroup().to_numpy()
+    ends = np.full(of.max(initial=-1) + 1, FOREVER)
+    np.minimum.at(ends, of, rows["terminal"].to_numpy(np.int64))
+    actor, unknown, at, ids = (rows[c].to_numpy() for c in ("actor", "unknown", "at", "id"))
+    order = np.lexsort((ids, at, actor, unknown, of))
+    head = np.ones(len(order), bool)
+    head[1:] = np.any([x[order][1:] != x[order][:-1] for x in (of, unknown, actor)], axis=0)
+    heads = np.flatnonzero(head)
+    done = np.logical_or.reduceat(rows["done"].to_numpy(bool)[order], heads)
+    first = order[heads]
+    turn = np.lexsort((ids[first], at[first], of[first]))
+    first, done = first[turn], done[turn]
+    found, of, at = rows.iloc[first].reset_index(drop=True), of[first], at[first]
+    relieved = np.full(len(first), FOREVER)
+    relieved[:-1] = np.where(of[1:] == of[:-1], at[1:], FOREVER)
+    over = np.where(ends[of] < FOREVER, np.maximum(at, ends[of]), FOREVER)
+    time = np.minimum(relieved, over)
+    return found.assign(done=done, terminal=ends[of], time=time, reason=np.where(relieved <= over, "relieved", "terminal"), out=~done & (time < now))
+
+
+def settle(rows: DataFrame, group: list[str], actor: str, event_time: str, id_col: str, terminal: str, cutoff: str, delay: str, buckets: int = 32) -> DataFrame:
     """One row for each actor of a group, when it is settled: a later actor has appeared, the group has ended, or its cut-off is over.
 
     rows is a stream. A group's state is each actor's first appearance and the first end;
@@ -47,45 +76,42 @@ def settle(rows: DataFrame, group: list[str], actor: str, event_time: str, id_co
     later rows of the group are ignored. A row comes out once the watermark has passed its
     time, so no row that is late by less than delay can change what has come out, and
     the result is the same however the rows are split into triggers.
+
+    Groups of one cut-off are dealt to buckets by hash; a bucket is one table of state, of
+    which all groups are settled together. A bucket holds its share of the open groups.
     """
     plain = rows.withWatermark(event_time, delay).select(
-        *group, F.unix_millis(cutoff).alias("cutoff"), F.col(actor).cast("long").alias("actor"), F.col(event_time).alias("seen"),
-        F.unix_millis(event_time).alias("at"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(terminal), F.lit(False)).alias("terminal"),
-    ).filter(F.col("at") < F.col("cutoff"))
+        *group, F.pmod(F.hash(*group), F.lit(buckets)).alias("_bucket"), F.unix_millis(cutoff).alias("_cutoff"), F.coalesce(F.col(actor).cast("long"), F.lit(0)).alias("actor"), F.col(actor).isNull().alias("unknown"), F.col(event_time).alias("seen"),
+        F.unix_millis(event_time).alias("at"), F.col(id_col).cast("long").alias("id"), F.lit(False).alias("done"), F.when(F.col(terminal), F.unix_millis(event_time)).otherwise(FOREVER).alias("terminal"),
+    ).filter(F.col("at") < F.col("_cutoff"))
     keys = plain.select(*group).schema
-    n = len(group)
+    kept = [*group, "actor", "unknown", "at", "id", "done", "terminal"]
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, limit = state.getCurrentWatermarkMs(), int(key[n])
-        kept = state.get if state.exists else ([], [], [], [], None)
-        actors = {a: (t, i) for a, t, i in zip(kept[0], kept[1], kept[2])}
-        done = {a for a, d in zip(kept[0], kept[3]) if d}
-        end = FOREVER if kept[4] is None else kept[4]
-        for part in parts:
-            first = part.sort_values(["at", "id"]).drop_duplicates("actor")
-            for a, t, i in zip(first["actor"].tolist(), first["at"].tolist(), first["id"].tolist()):
-                actors[a] = min(actors.get(a, (t, i)), (t, i))
-            ends = part.loc[part["terminal"], "at"]
-            end = min(end, int(ends.min())) if len(ends) else end
-        times = settlements(actors, None if end == FOREVER else end)
-        out = [(a, t, why) for a, (t, why) in times.items() if a not in done and t < now]
-        waiting = [t for a, (t, _) in times.items() if t >= now and a not in done]
+        now, limit = state.getCurrentWatermarkMs(), int(key[1])
+        tables = [pa.ipc.open_stream(state.get[0]).read_pandas()] if state.exists else []
+        tables += [part[kept] for part in parts if len(part)]
+        if not tables:
+            return
+        found = settled_part(pd.concat(tables, ignore_index=True), group, now)
+        out = found[found["out"]].reset_index(drop=True)
+        out["at"] = out["time"]
         if limit < now:
-            gone = done | {a for a, _, _ in out}
-            out += [(a, limit, "expired") for a in actors if a not in gone]
+            rest = found[~found["out"] & ~found["done"]]
+            out = pd.concat([out, rest.assign(at=limit, reason="expired")], ignore_index=True)
             state.remove()
         else:
-            done |= {a for a, _, _ in out}
-            names = list(actors)
-            state.update((names, [actors[a][0] for a in names], [actors[a][1] for a in names], [a in done for a in names], None if end == FOREVER else end))
-            state.setTimeoutTimestamp(max(min([*waiting, limit]), now))
-        found = pd.DataFrame(out, columns=["actor", "at", "reason"])
-        for name, value in zip(reversed(group), reversed(key[:n])):
-            found.insert(0, name, [value] * len(found))
-        yield found
+            waiting = found.loc[~found["out"] & ~found["done"], "time"].min()
+            table = pa.Table.from_pandas(found.assign(done=found["done"] | found["out"])[kept], preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            state.update((sink.getvalue().to_pybytes(),))
+            state.setTimeoutTimestamp(max(limit if pd.isna(waiting) else min(int(waiting), limit), now))
+        yield out[group].assign(actor=out["actor"].astype("Int64").mask(out["unknown"].astype(bool)), at=out["at"].astype("int64"), reason=out["reason"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys) + ", actor long, at long, reason string"
-    return plain.groupBy(*group, "cutoff").applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return plain.groupBy("_bucket", "_cutoff").applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class Remembered:
