@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from priorframe.functions.names import last_token, normalize_name, team_tag
+from priorframe.sources.work import materialize
 
 
 def assemble(spine: DataFrame, features: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -75,20 +76,26 @@ def require_clean_split(train: DataFrame, test: DataFrame, epoch: str, keys: lis
 def match_names(props: DataFrame, roster: DataFrame, prop: str, prop_key: str, name: str, entity: str, team: str) -> DataFrame:
     """Entity of each prop by full name, else by last token; several candidates are settled by the team tag or refused.
 
-    Columns: the prop's key, entity (null if none), reason.
+    Columns: the prop's key, entity (null if none), reason. Candidates are counted once for
+    each name and team, so a prop meets at most two rows, however many entities share its name.
+    Names are normalized once and written: inlined in join keys and filters they would be made again for each.
     """
-    p = props.select(prop_key, normalize_name(prop).alias("_full"), team_tag(prop).alias("_tag")).withColumn("_last", last_token(F.col("_full")))
+    p = props.select(prop_key, prop).repartition(prop_key).select(prop_key, normalize_name(prop).alias("_full"), team_tag(prop).alias("_tag"))
+    p = materialize(p.withColumn("_last", last_token(F.col("_full"))), "props")
     r = roster.select(F.col(entity).alias("_entity"), normalize_name(name).alias("_rname"), F.upper(F.col(team)).alias("_team")).filter("_rname <> ''").distinct()
-    r = r.withColumn("_rlast", last_token(F.col("_rname")))
-
-    def resolve(rows: DataFrame, how: str) -> DataFrame:
-        w = Window.partitionBy(prop_key)
-        rows = rows.withColumn("_on", F.coalesce(F.col("_team") == F.col("_tag"), F.lit(False)))
-        rows = rows.withColumn("_any", F.max(F.col("_on").cast("int")).over(w)).filter((F.col("_any") == 0) | F.col("_on"))
-        return rows.groupBy(prop_key).agg(F.when(F.count("_entity") == 1, F.max("_entity")).alias("entity"), F.when(F.count("_entity") == 1, how).otherwise("ambiguous").alias("reason"))
-
-    full = resolve(p.join(r, F.col("_full") == F.col("_rname")), "full_name")
+    r = materialize(r.withColumn("_rlast", last_token(F.col("_rname"))), "roster")
+
+    def resolve(rows: DataFrame, by: str, known: str, how: str) -> DataFrame:
+        teams = r.groupBy(F.col(known).alias(by), F.col("_team").alias("_tag")).agg(F.count("_entity").alias("_n"), F.max("_entity").alias("_e"))
+        # The name alone, and the name with the tag where a candidate is on that team.
+        names = teams.groupBy(by).agg(F.sum("_n").alias("_all_n"), F.max("_e").alias("_all_e"))
+        met = rows.join(names, by).join(teams, [by, "_tag"], "left")
+        found = met.groupBy(prop_key).agg(F.max(F.col("_n").isNotNull()).alias("_on"), F.sum("_n").alias("_n"), F.max("_e").alias("_e"), F.sum("_all_n").alias("_all_n"), F.max("_all_e").alias("_all_e"))
+        n, one = F.when(F.col("_on"), F.col("_n")).otherwise(F.col("_all_n")), F.when(F.col("_on"), F.col("_e")).otherwise(F.col("_all_e"))
+        return found.select(prop_key, F.when(n == 1, one).alias("entity"), F.when(n == 1, how).otherwise("ambiguous").alias("reason"))
+
+    full = resolve(p, "_full", "_rname", "full_name")
     rest = p.join(full, prop_key, "left_anti")
-    last = resolve(rest.join(r, F.col("_last") == F.col("_rlast")), "last_name")
+    last = resolve(rest, "_last", "_rlast", "last_name")
     found = full.unionByName(last)
     return props.select(prop_key).join(found, prop_key, "left").withColumn("reason", F.coalesce("reason", F.lit("no_match")))

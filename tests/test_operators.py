@@ -97,6 +97,22 @@ def test_ambiguous_names_are_refused(spark):
     assert got == {1: (None, "ambiguous"), 2: (2, "full_name"), 3: (3, "last_name"), 4: (None, "no_match")}
 
 
+def test_a_common_name_is_counted_not_expanded(spark):
+    """20,000 props and 20,000 entities of one name: 400,000,000 pairs, of which none are made; keys that repeat, and teams and tags that are null, count as before."""
+    roster = spark.range(20000).select("id", F.lit("Ann Lee").alias("name"), F.when(F.col("id") == 7, "AA").otherwise("BB").alias("team"))
+    roster = roster.unionByName(spark.createDataFrame([(30000, "Cy Roe", None), (30001, "Di Roe", "CC"), (None, "Ed Fox", "DD"), (30002, "Ed Fox", "EE")], "id long, name string, team string"))
+    props = spark.range(20000).select(F.col("id").alias("p"), F.when(F.col("id") == 0, "Ann Lee (AA)").when(F.col("id") == 1, "Bo Lee (AA)").otherwise("Ann Lee").alias("prop"))
+    odd = [(20000, "Cy Roe"), (20001, "X Roe"), (20002, "X Roe (CC)"), (20003, "Ed Fox"), (20004, "Ed Fox (DD)"), (20005, None), (20006, "Cy Roe"), (20006, "Ed Fox (EE)"), (None, "Cy Roe")]
+    props = props.unionByName(spark.createDataFrame(odd, "p long, prop string"))
+    found = joins.match_names(props, roster, "prop", "p", "name", "id", "team")
+    got = {(r.p, r.entity, r.reason): r["count"] for r in found.filter("p IS NULL OR p < 2 OR p >= 20000").groupBy("p", "entity", "reason").count().collect()}
+    assert got == {
+        (0, 7, "full_name"): 1, (1, 7, "last_name"): 1, (20000, 30000, "full_name"): 1, (20001, None, "ambiguous"): 1, (20002, 30001, "last_name"): 1, (20003, 30002, "full_name"): 1,
+        (20004, None, "ambiguous"): 1, (20005, None, "no_match"): 1, (20006, 30002, "full_name"): 2, (None, None, "no_match"): 1,
+    }
+    assert found.filter("p BETWEEN 2 AND 19999 AND reason = 'ambiguous'").count() == 19998
+
+
 def test_missing_columns_and_overlap_are_refused(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     with pytest.raises(ValueError, match="c, d"):
