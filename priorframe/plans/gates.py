@@ -3,16 +3,18 @@
 A feature that fails a gate is rejected there. Gate 1 is measured, not claimed: the log
 is altered from a day on, the features are built again, and no row up to that day, its
 own included, may change. Gates 2 and 5 fit one logistic model for each feature and line
-of a split; all of a split are fitted together, each round being one grouped aggregate
-whose coefficients come back by a join with a small table (features x lines rows).
+of a split; all models of all splits are fitted together: a round reads the rows once, as
+they are, each task adds up the sums of every model, and the coefficients go back with the
+next round (three numbers a model).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def leak_probe(log: DataFrame, build: Callable[[DataFrame], DataFrame], keys: li
 
     A row that is there in one of both tables alone counts as changed.
     """
-    whole = build(log).select(*keys, *features)
+    whole = build(log).select(*keys, *features).persist()
     changed = dict.fromkeys(features, 0)
     for edge in edges:
         start = F.lit(edge).cast("date")
@@ -49,6 +51,7 @@ def leak_probe(log: DataFrame, build: Callable[[DataFrame], DataFrame], keys: li
         row = both.agg(*(F.coalesce(F.count_if(alone | ~F.col(f).eqNullSafe(F.col(f"_{f}"))), F.lit(0)) for f in features)).first()
         for f, n in zip(features, row):
             changed[f] += n
+    whole.unpersist()
     return changed
 
 
@@ -62,6 +65,12 @@ def stacked(df: DataFrame, features: list[str], lines: dict[str, tuple[str, str]
     return rows.select(*split, "feature", "x", "l.line", "l.p", "l.y", logit(F.col("l.p")).alias("lp"))
 
 
+def newton_step(h: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """The step of a round, no coefficient by more than 10."""
+    step = np.linalg.pinv(h) @ slope
+    return step * min(1.0, 10 / max(np.abs(step).max(), 1e-300))
+
+
 def grouped_logistic(rows: DataFrame, keys: list[str], x: list[str], y: str, rounds: int = 25) -> dict[tuple, np.ndarray]:
     """Coefficients (intercept first) of one logistic model for each group; a round is one aggregate over all of them.
 
@@ -88,8 +97,7 @@ def grouped_logistic(rows: DataFrame, keys: list[str], x: list[str], y: str, rou
             h = np.zeros((p, p))
             for (i, j), s in zip(pairs, v):
                 h[i, j] = h[j, i] = s
-            step = np.linalg.pinv(h) @ v[len(pairs) :]
-            step *= min(1.0, 10 / max(np.abs(step).max(), 1e-300))
+            step = newton_step(h, v[len(pairs) :])
             betas[key] = betas[key] + step
             if np.abs(step).max() < 1e-8:
                 open_.discard(key)
@@ -97,43 +105,100 @@ def grouped_logistic(rows: DataFrame, keys: list[str], x: list[str], y: str, rou
     return betas
 
 
-def held_out_gains(df: DataFrame, features: list[str], lines: dict[str, tuple[str, str]], train: Column, test: Column, split: list[str]) -> dict[str, dict]:
-    """For each feature: base and augmented squared error on the test rows (means over lines), gain in per cent, coefficient, and the mean miss.
-
-    The augmented model is logistic in the logit of the base probability and the feature.
+def split_table(df: DataFrame, features: list[str], lines: dict[str, tuple[str, str]], splits: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """By place in their lists: x of a feature, lp (logit of the base probability), p, y and ok (both known) of a line, a and b (a training, a test row) of a split."""
+    logit = lambda p: F.ln(clamp(p) / (1 - clamp(p)))
+    double = lambda c: F.col(c).cast("double")
+    columns = [double(f).alias(f"x{i}") for i, f in enumerate(features)]
+    for j, (p, y) in enumerate(lines.values()):
+        columns += [logit(double(p)).alias(f"lp{j}"), double(p).alias(f"p{j}"), double(y).alias(f"y{j}"), (F.col(p).isNotNull() & F.col(y).isNotNull()).alias(f"ok{j}")]
+    for k, (train, test) in enumerate(splits.values()):
+        columns += [F.coalesce(train, F.lit(False)).alias(f"a{k}"), F.coalesce(test, F.lit(False)).alias(f"b{k}")]
+    return df.select(*columns)
+
+
+def fit_sums(x: np.ndarray, lp: np.ndarray, p: np.ndarray, y: np.ndarray, b: np.ndarray) -> list[float]:
+    """Rows, slope and the six different entries of the Hessian of a logistic model in lp and x."""
+    q = 1 / (1 + np.exp(-np.clip(b[0] + b[1] * lp + b[2] * x, -30, 30)))
+    e, w = y - q, q * (1 - q)
+    wl, wx = w * lp, w * x
+    return [len(x), e.sum(), e @ lp, e @ x, w.sum(), wl.sum(), wx.sum(), wl @ lp, wl @ x, wx @ x]
+
+
+def miss_sums(x: np.ndarray, lp: np.ndarray, p: np.ndarray, y: np.ndarray, b: np.ndarray) -> list[float]:
+    """Rows, squared error of p and of the model, and the model's miss."""
+    with np.errstate(over="ignore"):
+        q = 1 / (1 + np.exp(-(b[0] + b[1] * lp + b[2] * x)))
+    return [len(x), (p - y) @ (p - y), (q - y) @ (q - y), (q - y).sum()]
+
+
+def model_sums(rows: DataFrame, betas: dict[tuple[int, int, int], np.ndarray], side: str, sums: Callable, width: int) -> dict[tuple[int, int, int], np.ndarray]:
+    """sums over the rows (of a split_table) of each model (split, feature, line) on a side ("a" or "b") of its split, in one pass."""
+    models = sorted(betas)
+    wanted = sorted({(k, j) for k, _, j in models})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(models), width))
+        number = {m: i for i, m in enumerate(models)}
+        for batch in batches:
+            column = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+            for k, j in wanted:
+                at = np.flatnonzero(column[f"{side}{k}"] & column[f"ok{j}"])
+                line = [column[f"{c}{j}"][at] for c in ("lp", "p", "y")]
+                for k2, i, j2 in models:
+                    if (k2, j2) == (k, j):
+                        x = column[f"x{i}"][at].astype(float)
+                        seen = ~np.isnan(x)
+                        total[number[k, i, j]] += sums(x[seen], *(c[seen].astype(float) for c in line), betas[k, i, j])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models))), *(pa.array(total[:, c].copy()) for c in range(width))], names=["model", *(f"s{c}" for c in range(width))])
+
+    found = rows.mapInArrow(run, "model long, " + ", ".join(f"s{c} double" for c in range(width))).groupBy("model").agg(*(F.sum(f"s{c}") for c in range(width))).collect()
+    return {m: np.zeros(width) for m in models} | {models[r[0]]: np.array(r[1:], float) for r in found}
+
+
+def held_out_gains(df: DataFrame, features: list[str], lines: dict[str, tuple[str, str]], splits: dict[str, tuple[Column, Column]], rounds: int = 25) -> dict[str, dict[str, dict]]:
+    """By split and feature: base and augmented squared error on the test rows (means over lines), gain in per cent, coefficient, and the mean miss.
+
+    The augmented model is logistic in the logit of the base probability and the feature; a null feature has no row.
     """
-    rows = stacked(df, features, lines, split)
-    sizes = {}
-    for r in rows.groupBy("feature", "line").agg(F.count_if(train).alias("n_train"), F.count_if(test).alias("n_test")).collect():
-        if r["n_train"] >= LEAST_TRAIN and r["n_test"] >= LEAST_TEST:
-            sizes[(r["feature"], r["line"])] = r["n_test"]
-    betas = {k: b for k, b in grouped_logistic(rows.filter(train), ["feature", "line"], ["lp", "x"], "y").items() if k in sizes}
-    if not betas:
-        return {}
-    table = rows.sparkSession.createDataFrame([(*k, *b.tolist()) for k, b in betas.items()], "feature string, line string, _0 double, _1 double, _2 double")
-    met = rows.filter(test).join(F.broadcast(table), ["feature", "line"])
-    q = 1 / (1 + F.exp(-(F.col("_0") + F.col("_1") * F.col("lp") + F.col("_2") * F.col("x"))))
-    miss = lambda p: F.avg((p - F.col("y")) * (p - F.col("y")))
-    out: dict[str, dict] = {}
-    for r in met.groupBy("feature", "line").agg(miss(F.col("p")).alias("base"), miss(q).alias("augmented"), F.avg(q - F.col("y")).alias("bias")).orderBy("feature", "line").collect():
-        out.setdefault(r["feature"], {"base": [], "augmented": [], "bias": []})
-        for c in ("base", "augmented", "bias"):
-            out[r["feature"]][c].append(r[c])
-        out[r["feature"]]["coefficient"] = float(betas[(r["feature"], r["line"])][2])
-    for x in out.values():
-        x["lines"] = len(x["base"])
-        x["base"], x["augmented"], x["bias"] = (float(np.mean(x[c])) for c in ("base", "augmented", "bias"))
-        x["gain_pct"] = 100 * (x["base"] - x["augmented"]) / x["base"] if x["base"] else 0.0
+    rows = split_table(df, features, lines, splits).persist()
+    betas = {(k, i, j): np.zeros(3) for k in range(len(splits)) for i in range(len(features)) for j in range(len(lines))}
+    tested = model_sums(rows, betas, "b", miss_sums, 4)
+    betas = {m: b for m, b in betas.items() if tested[m][0] >= LEAST_TEST}
+    open_ = dict(betas)
+    for _ in range(rounds):
+        if not open_:
+            break
+        for m, v in model_sums(rows, open_, "a", fit_sums, 10).items():
+            if v[0] < LEAST_TRAIN:
+                del betas[m], open_[m]
+                continue
+            step = newton_step(np.array([[v[4], v[5], v[6]], [v[5], v[7], v[8]], [v[6], v[8], v[9]]]), v[1:4])
+            betas[m] = open_[m] = betas[m] + step
+            if np.abs(step).max() < 1e-8:
+                del open_[m]
+    missed = model_sums(rows, betas, "b", miss_sums, 4) if betas else {}
+    rows.unpersist()
+    out: dict[str, dict[str, dict]] = {s: {} for s in splits}
+    line_order = sorted(range(len(lines)), key=list(lines).__getitem__)
+    for k, s in enumerate(splits):
+        for i, f in enumerate(features):
+            of = [(k, i, j) for j in line_order if (k, i, j) in betas]
+            if of:
+                means = np.array([missed[m][1:] / missed[m][0] for m in of])
+                base, augmented, bias = (float(v) for v in means.mean(axis=0))
+                gain = 100 * (base - augmented) / base if base else 0.0
+                out[s][f] = {"base": base, "augmented": augmented, "bias": bias, "coefficient": float(betas[of[-1]][2]), "lines": len(of), "gain_pct": gain}
     return out
 
 
-def noise_floor(df: DataFrame, noise: list[str], lines: dict[str, tuple[str, str]], splits: dict[str, tuple[Column, Column]], split: list[str]) -> float:
+def noise_floor(gains: dict[str, dict[str, dict]], noise: list[str]) -> float:
     """The largest gain of columns that mean nothing, each by the worse of the first two splits; at least 0.
 
     It is what the refit of intercept and slope alone brings, and chance.
     """
-    gains = [held_out_gains(df, noise, lines, *splits[s], split) for s in list(splits)[:2]]
-    return max([0.0, *(min(g[n]["gain_pct"] for g in gains) for n in noise if all(n in g for g in gains))])
+    two = [gains[s] for s in list(gains)[:2]]
+    return max([0.0, *(min(g[n]["gain_pct"] for g in two) for n in noise if all(n in g for g in two))])
 
 
 def partner_correlations(df: DataFrame, claims: dict[str, Claim]) -> dict[str, dict[str, float | None]]:
@@ -149,13 +214,15 @@ def partner_correlations(df: DataFrame, claims: dict[str, Claim]) -> dict[str, d
     return out
 
 
-def feature_gates(df: DataFrame, claims: dict[str, Claim], lines: dict[str, tuple[str, str]], splits: dict[str, tuple[Column, Column]], split: list[str], changed: dict[str, int], noise_floor: float = 0.0) -> list[dict]:
+def feature_gates(df: DataFrame, claims: dict[str, Claim], lines: dict[str, tuple[str, str]], splits: dict[str, tuple[Column, Column]], split: list[str], changed: dict[str, int], noise: list[str] | None = None) -> list[dict]:
     """The five gates of each feature; the first two splits have to gain, in both directions of time, and the last coefficient is judged.
 
     changed is what leak_probe found; a feature that it does not know fails the first gate.
+    noise: columns that mean nothing, whose gain is the least that counts.
     """
     names = list(claims)
-    gains = {s: held_out_gains(df, names, lines, train, test, split) for s, (train, test) in splits.items()}
+    gains = held_out_gains(df, [*names, *(noise or [])], lines, splits)
+    floor = noise_floor(gains, noise or [])
     near = partner_correlations(df, claims)
     first_two = list(splits)[:2]
     out = []
@@ -168,7 +235,7 @@ def feature_gates(df: DataFrame, claims: dict[str, Claim], lines: dict[str, tupl
         low, high = MAGNITUDES.get(claim.magnitude or "", (0.0, np.inf))
         gates = {
             1: changed.get(f, 1) == 0,
-            2: all(x is not None and x > noise_floor for x in pct),
+            2: all(x is not None and x > floor for x in pct),
             3: None if coefficient is None else bool(sign_ok and low <= abs(coefficient) <= high),
             4: not any(r is not None and abs(r) > COLLINEAR for r in near[f].values()),
             5: all(x is not None and x > 0 for x in pct),

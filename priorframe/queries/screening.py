@@ -202,8 +202,7 @@ def feature_gates(spark, sf):
     changed = G.leak_probe(rows, gate_features, ["entity", "day"], "day", list(CLAIMS), EDGES, altered)
     splits = {"a": (e <= 2, e == 3), "b": (e == 3, e <= 2), "c": (e <= 3, e >= 4)}
     table = gate_table(spark, sf).persist()
-    floor = G.noise_floor(table, ["noise_0", "noise_1", "noise_2"], LINES, splits, ["epoch"])
-    out = G.feature_gates(table, CLAIMS, LINES, splits, ["epoch"], changed, floor)
+    out = G.feature_gates(table, CLAIMS, LINES, splits, ["epoch"], changed, ["noise_0", "noise_1", "noise_2"])
     table.unpersist()
     schema = "feature string, gate1 boolean, gate2 boolean, gate3 boolean, gate4 boolean, gate5 boolean, changed_rows long, gain_a double, gain_b double, gain_c double, coefficient double, verdict string, failed_at int"
     return spark.createDataFrame([tuple(x.values()) for x in out], schema)

@@ -73,6 +73,32 @@ def test_grouped_fits_equal_single_fits(world):
         assert np.allclose(got[(f, "a")], one.coef, atol=1e-6) and np.allclose(got[(f, "b")], one.coef, atol=1e-6)
 
 
+def test_models_of_all_splits_are_fitted_in_one_pass_a_round(spark, world):
+    """Equal to single fits on rows with holes, and no more jobs for three splits than for one."""
+    e = F.col("epoch")
+    df = world.withColumn("y2", F.when(F.col("id") % 5 > 0, 1 - F.col("y"))).withColumn("junk", F.when(F.col("id") % 7 == 0, float("nan")).otherwise(F.col("junk")))
+    lines, splits = {"a": ("p", "y"), "b": ("p", "y2")}, {"a": (e <= 2, e >= 3), "b": (e >= 3, e <= 2), "c": (e <= 3, e == 4)}
+
+    def counted(which):
+        spark.sparkContext.setJobGroup(f"gains of {len(which)}", "")
+        out = G.held_out_gains(df, ["x", "junk", "holes"], lines, which)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"gains of {len(which)}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return out, jobs
+
+    got, jobs = counted(splits)
+    assert jobs <= counted({"a": splits["a"]})[1] + 6
+    for s, (train, test) in splits.items():
+        for f in ("x", "junk", "holes"):
+            rows = G.stacked(df, [f], lines, ["epoch"])
+            one = {n: fit.logistic(rows.filter(train & (F.col("line") == n)), ["lp", "x"], "y").coef for n in lines}
+            assert got[s][f]["coefficient"] == pytest.approx(one["b"][2], abs=1e-6) and got[s][f]["lines"] == 2
+            base = rows.filter(test).groupBy("line").agg(F.avg((F.col("p") - F.col("y")) ** 2).alias("v")).agg(F.avg("v")).first()[0]
+            q = {n: 1 / (1 + F.exp(-(F.lit(float(b[0])) + float(b[1]) * F.col("lp") + float(b[2]) * F.col("x")))) for n, b in one.items()}
+            model = rows.filter(test).withColumn("q", F.when(F.col("line") == "a", q["a"]).otherwise(q["b"])).groupBy("line").agg(F.avg((F.col("q") - F.col("y")) ** 2).alias("v")).agg(F.avg("v")).first()[0]
+            assert got[s][f]["base"] == pytest.approx(base, abs=1e-9) and got[s][f]["augmented"] == pytest.approx(model, abs=1e-6)
+
+
 def test_gates_tell_signal_junk_twins_and_leaks_apart(world):
     e = F.col("epoch")
     splits = {"a": (e <= 2, e >= 3), "b": (e >= 3, e <= 2), "c": (e <= 3, e == 4)}
