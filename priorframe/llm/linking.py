@@ -59,6 +59,8 @@ def open_nodes(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 #: Counters of elements; what is broadcast is 4 bytes for each.
 SLOTS = 1 << 20
+#: Bytes of text whose prefixes are made at once: an element becomes a row of some 200 bytes, in Python and in the JVM.
+PREFIX_BYTES = 1 << 18
 #: Columns of the parity bits of a set.
 PARITY = tuple(f"b{i}" for i in range(8))
 #: Pairs of a key that a join row group may try; a key with more is dealt out.
@@ -120,9 +122,10 @@ def parity(element: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
     Sets differ in at least as many elements as in bits.
     """
-    width = 64 * len(PARITY)
-    odd = np.bincount(owner * width + (element >> np.uint64(40)).astype(np.int64) % width, minlength=n * width) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, width), axis=1, bitorder="little").view(np.int64).T
+    bit = (element >> np.uint64(40)).astype(np.int64) % (64 * len(PARITY))
+    words = np.zeros(n * len(PARITY), np.uint64)
+    np.bitwise_xor.at(words, owner * len(PARITY) + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+    return words.view(np.int64).reshape(n, len(PARITY)).T
 
 
 def prefixes(texts: DataFrame, shingles: Callable, threshold: float, weighted: bool) -> DataFrame:
@@ -137,7 +140,7 @@ def prefixes(texts: DataFrame, shingles: Callable, threshold: float, weighted: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for first, past, buf, offsets in textkit.chunks(*textkit.utf8(batch.column(3)), STEP_BYTES):
+            for first, past, buf, offsets in textkit.chunks(*textkit.utf8(batch.column(3)), PREFIX_BYTES):
                 element, owner = units(*shingles(buf, offsets), weighted)
                 order = np.lexsort((element, counts.value[slots(element)], owner))
                 element, owner = element[order], owner[order]

@@ -1,10 +1,12 @@
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
 
 from priorframe.llm import line_dedup as L
+from priorframe.llm import linking
 
 SCHEMA = "doc_id long, text string, node long, n_chars long"
 
@@ -124,3 +126,21 @@ def test_signatures_estimate_similarity():
 def test_empty_table(spark):
     assert L.duplicate_lines(frame(spark, [])).collect() == []
     assert L.drop_duplicate_lines(frame(spark, [])).collect() == []
+
+
+def test_parity_takes_a_word_a_column_not_a_number_a_bit():
+    rng = np.random.default_rng(1)
+    n = 40_000
+    element, owner = rng.integers(0, 1 << 63, 400_000).astype(np.uint64) * np.uint64(2), rng.integers(0, n - 1, 400_000)
+    tracemalloc.start()
+    got = linking.parity(element, owner, n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # a number for each bit would be 164 MB
+    assert got.shape == (len(linking.PARITY), n) and not got[:, n - 1].any()
+    for k in rng.integers(0, n, 50):
+        want = [0] * len(linking.PARITY)
+        for e in element[owner == k]:
+            bit = (int(e) >> 40) % 512
+            want[bit // 64] ^= 1 << bit % 64
+        assert [int(w) for w in got[:, k].view(np.uint64)] == want
