@@ -168,7 +168,7 @@ def doc_key(id_col: str, text: str) -> F.Column:
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc (see doc_key) and removed, the numbers (from 0) of its lines that go, for documents that lose any."""
     named = docs.select(F.col(id_col).alias("id"), doc_key(id_col, text).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    scanned = materialize(scan_lines(named, bands, rows), "lines")
+    scanned = materialize(scan_lines(named, bands, rows), "lines", dictionary=False)
     lines = scanned.select("doc", "line_no", "node")
     buckets = scanned.filter("buckets is not null").select("node", F.explode("buckets").alias("bucket"))
 

@@ -6,9 +6,10 @@ component in one task: a bucket is reduced to two or four of its members by min
 components come from rounds of star contractions, which are joins and minima.
 
 Members of a bucket that then still lie in different components, and of which neither
-stood for the bucket, go on by prefix filtering, which is exact: of two sets that are
-similar enough, the first few elements in a common order have one in common. Rare
-elements come first, so what all members of a hot bucket share is no key.
+stood for the bucket, all meet in it where they are few. In a larger bucket they go on
+by prefix filtering, which is exact: of two sets that are similar enough, the first few
+elements in a common order have one in common. Rare elements come first, so what all
+members of a hot bucket share is no key.
 """
 
 from __future__ import annotations
@@ -47,12 +48,16 @@ def candidate_pairs(bands: DataFrame, global_order: bool = True) -> tuple[DataFr
     return materialize(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs"), members
 
 
-def open_nodes(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """node, label, shared (high halves of the buckets) of nodes that share a bucket with one of another component, where neither stands for the bucket."""
+#: Members of a bucket that all meet in it; those of a larger one meet by their prefixes.
+ALL_MEET = 128
+
+
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, node, label, many (whether more than ALL_MEET are in it) of nodes that share a bucket with one of another component, where neither stands for the bucket."""
     large = members.filter(F.col("n") > F.size("reps") + 1).filter(~F.array_contains("reps", F.col("node"))).select("bucket", "node").distinct()
     known = materialize(large.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "labelled")
-    mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    out = materialize(known.join(mixed.select("bucket"), "bucket", "left_semi").groupBy("node", "label").agg(F.collect_set(F.shiftright("bucket", 32).cast("int")).alias("shared")), "open")
+    mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), (F.count(F.lit(1)) > ALL_MEET).alias("many")).filter("low <> high")
+    out = materialize(known.join(mixed.select("bucket", "many"), "bucket"), "open")
     discard(known)
     return out
 
@@ -191,6 +196,37 @@ def prefix_pairs(texts: DataFrame, shingles: Callable, threshold: float, weighte
     return x.join(y, ["key", "salt"]).filter(met).select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
 
 
+def sketches(texts: DataFrame, shingles: Callable, weighted: bool) -> DataFrame:
+    """node, text to node, size and parity bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, past, buf, offsets in textkit.chunks(*textkit.utf8(batch.column(1)), PREFIX_BYTES):
+                element, owner = units(*shingles(buf, offsets), weighted)
+                size = np.bincount(owner, minlength=past - first)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:past], *(pa.array(c) for c in (size, *parity(element, owner, past - first)))], names=["node", "size", *PARITY])
+
+    return texts.select("node", "text").mapInArrow(run, f"node long, size long, {', '.join(f'{p} long' for p in PARITY)}")
+
+
+def bucket_pairs(members: DataFrame, texts: DataFrame, shingles: Callable, threshold: float, weighted: bool) -> DataFrame:
+    """Pairs (a > b) of members (bucket, node, label) of a bucket that have different labels and that sizes and parity bits leave similar.
+
+    A bucket has at most ALL_MEET members, so each meets no more than that in it.
+    """
+    drawn = materialize(members.select("bucket", "node", "label").join(sketches(texts, shingles, weighted), "node"), "sketches")
+    side = lambda x: drawn.select("bucket", *(F.col(c).alias(c + x) for c in ("node", "label", "size", *PARITY)))
+    apart = sum((F.bit_count(F.col(f"{p}_x").bitwiseXOR(F.col(f"{p}_y"))) for p in PARITY), F.lit(0))
+    met = (
+        (F.col("node_x") > F.col("node_y")) & (F.col("label_x") != F.col("label_y"))
+        & (F.least("size_x", "size_y") >= threshold * F.greatest("size_x", "size_y") - 1e-9)
+        & (apart <= (1 - threshold) / (1 + threshold) * (F.col("size_x") + F.col("size_y")) + 1e-9)
+    )
+    out = materialize(side("_x").join(side("_y"), "bucket").filter(met).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct(), "met")
+    discard(drawn)
+    return out
+
+
 def is_star(pairs: DataFrame) -> bool:
     """Whether each u has one v, and no v is a u."""
     roles = pairs.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(pairs.select(F.col("v").alias("x"), F.lit(0).alias("up")))
@@ -299,13 +335,23 @@ def link(bands: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingles:
     la, lb = (labels.select(F.col("node").alias(n), F.col("label").alias(f"l{n}")) for n in "ab")
     apart = pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
     labels = with_links(labels, check(apart.join(best, ["a", "b"], "left_anti")))
-    left = open_nodes(members, labels)
-    if not left.isEmpty():
-        # Pairs of the first rounds are verified or in one component.
-        rest = materialize(texts.join(left.hint("merge"), "node"), "left")
-        unmet = materialize(prefix_pairs(rest, shingles, threshold, weighted).join(pairs, ["a", "b"], "left_anti"), "unmet")
-        labels = with_links(labels, check(unmet))
-        discard(rest, unmet)
+    left = open_members(members, labels)
+    few, many = left.filter("not many"), left.filter("many")
+    text_of = lambda nodes, name: materialize(texts.join(nodes.hint("merge"), "node"), name)
+    # Pairs of the first rounds are verified or in one component.
+    unmet = lambda found: materialize(found.join(pairs, ["a", "b"], "left_anti"), "unmet")
+    if not few.isEmpty():
+        rest = text_of(few.select("node").distinct(), "left")
+        met = bucket_pairs(few, rest, shingles, threshold, weighted)
+        found = unmet(met)
+        labels = with_links(labels, check(found))
+        discard(rest, met, found)
+    if not many.isEmpty():
+        # The high halves of the buckets go with a node.
+        rest = text_of(many.groupBy("node", "label").agg(F.collect_set(F.shiftright("bucket", 32).cast("int")).alias("shared")), "left")
+        found = unmet(prefix_pairs(rest, shingles, threshold, weighted))
+        labels = with_links(labels, check(found))
+        discard(rest, found)
     discard(pairs, members, texts, best, left)
     return labels
 

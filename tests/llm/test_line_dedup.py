@@ -4,6 +4,7 @@ import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from priorframe.llm import line_dedup as L
 from priorframe.llm import linking
@@ -144,3 +145,20 @@ def test_parity_takes_a_word_a_column_not_a_number_a_bit():
             bit = (int(e) >> 40) % 512
             want[bit // 64] ^= 1 << bit % 64
         assert [int(w) for w in got[:, k].view(np.uint64)] == want
+
+
+@pytest.mark.parametrize("all_meet", [linking.ALL_MEET, 1])
+def test_members_of_small_buckets_meet_without_prefixes(spark, monkeypatch, all_meet):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    boilerplate, rows = text(150), []
+    for i in range(50):
+        own = text(22)
+        rows += [(2 * i, boilerplate + own), (2 * i + 1, boilerplate + own[:12] + text(10) if i % 3 else boilerplate + text(22))]
+    prefixes, made = linking.prefixes, []
+    monkeypatch.setattr(linking, "ALL_MEET", all_meet)
+    monkeypatch.setattr(linking, "prefixes", lambda *a: made.append(1) or prefixes(*a))
+    got, want = agreement(spark, rows, frame(spark, rows))
+    assert len(want) >= 30 and got == want
+    # A larger bucket goes by prefixes, with the same result.
+    assert bool(made) == (all_meet == 1)
