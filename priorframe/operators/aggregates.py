@@ -13,14 +13,14 @@ def count_when(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0)).cast("long")
 
 
-def sums_in_order(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """Sum of value by keys, added row after row in a total order: floating-point sums that come out the same however rows are dealt.
+def sums_in_order(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Sums by keys under their names, added row after row in a total order: floating-point sums that come out the same however rows are dealt.
 
-    A running sum over a sorted group, which can spill; its last row is the sum.
+    A sum over a whole sorted group, which can spill; all rows of a group hold it, so it matters not which is taken.
     """
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = df.withColumn("_sum", F.sum(value).over(upto))
-    return running.groupBy(*keys).agg(F.max_by("_sum", F.struct(*order)).alias(name))
+    whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    added = df.withColumn("_sums", F.struct(*(F.sum(c).over(whole).alias(name) for name, c in sums.items())))
+    return added.groupBy(*keys).agg(F.first("_sums").alias("_sums")).select(*keys, "_sums.*")
 
 
 def classify(df: DataFrame, column: str, vocabularies: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -112,11 +112,17 @@ def ceiling(rows: DataFrame, entity: str, value: str, least: int) -> DataFrame:
     return sd.select("n", "sd", (F.col("sd") * F.sqrt(F.lit(2 / 3.141592653589793))).alias("mae"), (2 * normal_cdf(3 / F.col("sd")) - 1).alias("within3"))
 
 
-def weighted_cover_mean(df: DataFrame, keys: list[str], value: str, weight: str, least: float = 0.5) -> DataFrame:
-    """Weighted mean over rows with a value; null where they cover less than least of the weight, not a number where the covered weight is zero as all weight is."""
-    covered = F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))
-    mean = ratio(F.sum(F.col(value) * F.col(weight)), covered)
-    return df.groupBy(*keys).agg(F.when(ratio(covered, F.sum(weight)) >= least, mean).alias("mean"))
+def weighted_cover_mean(df: DataFrame, keys: list[str], value: str, weight: str, least: float = 0.5, order: list[str] | None = None) -> DataFrame:
+    """Weighted mean over rows with a value; null where they cover less than least of the weight, not a number where the covered weight is zero as all weight is.
+
+    order: a total order of rows to add in, so that a cover of just least, or a mean at an edge of rounding, doesn't hang on how rows are dealt.
+    """
+    sums = {"_covered": F.when(F.col(value).isNotNull(), F.col(weight)), "_all": F.col(weight), "_top": F.col(value) * F.col(weight)}
+    if order is None:
+        added = df.groupBy(*keys).agg(*(F.sum(c).alias(name) for name, c in sums.items()))
+    else:
+        added = sums_in_order(df, keys, order, sums)
+    return added.select(*keys, F.when(ratio("_covered", "_all") >= least, ratio("_top", "_covered")).alias("mean"))
 
 
 def mix_tvd(recent: DataFrame, season: DataFrame, entity: str, kind: str, share: str, least: float = 0.9) -> DataFrame:

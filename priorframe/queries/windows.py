@@ -221,7 +221,7 @@ for _rule, _bin in (
   SELECT CAST(len(list_filter(e, lambda x: v > x)) AS INTEGER) AS bin, count(*) AS n FROM ep, q GROUP BY 1""")
 def quantile_bins(spark, sf):
     # Many episodes have equal sums, and edges lie among them: sums are added in the order of the log.
-    ep = A.sums_in_order(log(spark, sf), ["entity", "day"], ["event_id", "value"], "value", "v")
+    ep = A.sums_in_order(log(spark, sf), ["entity", "day"], ["event_id", "value"], {"v": F.col("value")})
     return ranking.equal_count_bins(ep, "v", ["entity", "day"], 10, "quantile").groupBy(F.col("bin").cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
