@@ -228,7 +228,7 @@ def csoe(spark, sf):
 @query("weighted_cover_mean", f"WITH {LOG} SELECT entity, day, round(CASE WHEN sum(CASE WHEN k >= 40 THEN value END) / sum(value) >= 0.5 THEN sum(CASE WHEN k >= 40 THEN k * value END) / sum(CASE WHEN k >= 40 THEN value END) END, 6) AS mean FROM log GROUP BY ALL")
 def cover_mean(spark, sf):
     e = log(spark, sf).withColumn("x", F.when(F.col("k") >= 40, F.col("k")))
-    return A.weighted_cover_mean(e, ["entity", "day"], "x", "value").select("entity", "day", r("mean"))
+    return A.weighted_cover_mean(e, ["entity", "day"], "x", "value", order=["event_id", "value", "k"]).select("entity", "day", r("mean"))
 
 
 @query("mix_tvd", f"""WITH {LOG}, s AS (SELECT entity, kind, count(*) / sum(count(*)) OVER (PARTITION BY entity)::DOUBLE AS b FROM log GROUP BY entity, kind), n AS (SELECT entity, count(*) AS t FROM log WHERE day >= DATE '2024-01-20' GROUP BY entity),
