@@ -104,6 +104,29 @@ def test_battery_matches_plain_python(spark):
         assert r.b.p == pytest.approx(math.exp(-half) * (1 + half + half * half / 2), abs=1e-4)
 
 
+def test_battery_of_rows_equals_the_battery(spark):
+    rng = random.Random(4)
+    rows = [(e, "".join(rng.choice(S.ALPHABETS[e][:k]) for _ in range(n))) for e in S.ALPHABETS for k in (1, 3, 99) for n in (20, 33, 191)] + [("hex", "0123456789ABCDEFAB" * 2)]
+    df = spark.createDataFrame(rows, "enc string, token string")
+    want = [tuple(r.b) for r in df.select(S.battery(F.col("token"), F.col("enc")).alias("b")).collect()]
+    got = [tuple(r) for r in S.battery_of_rows(df).collect()]
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-9)
+
+
+def test_natural_strings_are_made_of_all_words(spark):
+    """Every letter of every text is in a string, but for texts and blocks of fewer than 20 characters."""
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(n)) for n in (30, 64, 65, 127, 128, 700, 5000)] + ["", "Too few, words", "ab" * 30 + "\né" * 100]
+    for text in texts:
+        got = S.natural_strings(spark.createDataFrame([(text,)], "t string")).collect()
+        words = re.findall("[a-z]+", text.lower())
+        blocks = max(len(words) // S.BLOCK, 1)
+        parts = [words[k * S.BLOCK : (k + 1) * S.BLOCK if k + 1 < blocks else None] for k in range(blocks)]
+        want = Counter(len("".join(p)) for p in parts if len("".join(p)) >= S.SHORTEST)
+        letters = sum(len(r.token.replace("-", "")) for r in got)
+        assert letters == sum(n * k for n, k in want.items()) and all(S.SHORTEST <= len(r.token) < 2 * S.LENGTH_BINS[-1] for r in got)
+
+
 def test_cut_of_the_false_discovery_control():
     row = lambda enc, at, cent, natural, n: {"enc": enc, "bin": at, "cent": cent, "natural": natural, "n": n}
     nulls = [row("alnum", 3, 0, True, 990), row("alnum", 3, 20, True, 10)]
