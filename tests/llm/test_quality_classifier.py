@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from priorframe.llm import quality_classifier as Q
 from priorframe.llm import textkit
@@ -48,6 +49,26 @@ def test_held_out_accuracy_on_a_made_world(spark):
     assert {r.doc_id: r.score for r in again.collect()} == pytest.approx({i: by[i].score for i in truth}, rel=1e-6)
 
 
+def test_all_labelled_rows_are_learned_from(spark):
+    """In shares: each document is in one (a rare kind in several of its half), and held-out ones are told apart."""
+    docs, labels = world(700)
+    d, y = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, LABELS)
+    rows = d.select(F.col("doc_id").cast("string").alias("id"), "text").join(y.select(F.col("doc_id").cast("string").alias("id"), (F.col("quality") > 0).alias("good")), "id")
+    totals = {good: sum(q == good for _, q, _ in labels) for good in (True, False)}
+    for of, copies in ((totals, 1), ({True: totals[True], False: 10}, 4)):
+        dealt = Q.dealt(rows, of, 8, 0).collect()
+        assert {r.id for r in dealt} == {str(i) for i, _, _ in labels} and {r.share for r in dealt} == set(range(8))
+        assert all(r.share % 2 == r.half for r in dealt) and len({(r.id, r.share) for r in dealt}) == len(dealt)
+        assert max(sum(r.id == str(i) for r in dealt) for i, q, _ in labels if not q) == copies
+    model = Q.train(d, y, share_rows=100)
+    truth = {i: q for i, q, _ in labels}
+    scored = Q.score_documents(d, model).collect()
+    held = [r.predicted == truth[r.doc_id] for r in scored if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert len(held) > 100 and np.mean(held) > 0.95
+    again = Q.train(spark.createDataFrame(docs[::-1] * 2, SCHEMA), y, share_rows=100)
+    assert again.weights == pytest.approx(model.weights, abs=1e-9) and again.cut == pytest.approx(model.cut, abs=1e-9)
+
+
 def test_held_out_rows_of_documents(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
