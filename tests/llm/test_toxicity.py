@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from priorframe.llm import toxicity as X
@@ -69,6 +70,22 @@ def test_one_class_no_labels_and_empty_table(spark):
     assert run(spark, [], labels).collect() == []
 
 
+def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
+    """In shares: no text comes to the driver, words of every text are counted, and held-out rows are told apart."""
+    docs, labels = world(900)
+    monkeypatch.setattr(X, "fit", lambda *_: pytest.fail("fitted on the driver"))
+    d, y = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, LABELS)
+    model = X.train(d, y, one_set=200, share_rows=120)
+    learned = [t for i, t, _, _ in docs if zlib.crc32(str(i).encode()) % 5 != 0]
+    buckets, first = X.buckets_of(pa.array(learned))
+    pair = np.unique(np.stack([buckets, np.repeat(np.arange(len(learned)), np.diff(first))]), axis=1)
+    known, n = np.unique(pair[0][pair[0] >= 0], return_counts=True)
+    assert model.buckets.tolist() == known[n > 1].tolist()
+    truth = {i: t for i, _, t in labels}
+    held = [r.predicted == truth[r.doc_id] for r in X.score_documents(d, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(held) > 100 and np.mean(held) > 0.93
+
+
 def test_repeated_ids_give_one_text(spark, monkeypatch):
     """An id on many rows is one text of the sample, whatever the order of the rows."""
     docs, labels = world(60)
